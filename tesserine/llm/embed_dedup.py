@@ -23,7 +23,7 @@ from .components import components, union
 
 THRESHOLD = 0.9
 #: Rows of a tile (two are in memory at once), of a block within it, and vectors that fit the axes.
-TILE, BLOCK, FIT = 8192, 512, 4096
+TILE, BLOCK, FIT = 4096, 512, 4096
 _SLACK = 1e-9
 
 
@@ -153,6 +153,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         at = np.flatnonzero(count)
         return pa.table({"row": rows[at], "n": count[at], "root": rows[labels[at]]}, schema=pa.schema([("row", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
+    # As many partitions as pairs of tiles, up to a limit: their rows are few, but each is much work.
+    many = min(4096, max(1, sizes.select(F.sum(F.col("tiles").cast("long") * (F.col("tiles") + 1) / 2)).first()[0] or 1))
+    pairs = pairs.repartition(int(many), "dim", "i", "j")
     found = stored(pairs.groupBy("dim", "i", "j").applyInArrow(meet, "row long, n long, root long"), "tile_links")
     roots = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
