@@ -117,8 +117,11 @@ class Profiles:
 def training_rows(docs: DataFrame, train: Column, *, id_col: str, text_col: str, lang_col: str, fit: int) -> DataFrame:
     """lang, text of at most ``fit`` documents of each language, chosen by hash of the id."""
     ids = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    by = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= fit).select("_id", "_lang").distinct()
+    # A language may have most rows: the first of each of its shards, then the first of those.
+    near = ids.withColumn("_h", F.xxhash64("_id")).withColumn("_s", F.pmod("_h", F.lit(64)))
+    for by in (W.partitionBy("_lang", "_s"), W.partitionBy("_lang")):
+        near = near.withColumn("_n", F.row_number().over(by.orderBy("_h", "_id"))).where(F.col("_n") <= fit)
+    chosen = stored(near.select("_id", "_lang").distinct(), "lang_ids")
     return docs.where(train).join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & (docs[lang_col].cast("string") == chosen["_lang"]), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
