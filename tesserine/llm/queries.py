@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, exact_dedup, language, language_model, mixing, packing, quality, simhash, toxicity
+from . import embed_dedup, exact_dedup, language, language_model, mixing, packing, quality, simhash, token_file, toxicity
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_table(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
