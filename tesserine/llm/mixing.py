@@ -109,7 +109,10 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     p = p.groupBy("_id", "_size").agg(F.max_by(F.struct(*[c for c in p.columns if c not in ("_id", "_size")]), F.col("_taken")).alias("_p")).select("_id", "_size", "_p.*")
     found = docs.withColumn("_n", size).join(p, docs["doc_id"].eqNullSafe(p["_id"]) & (F.col("_n") == F.col("_size")))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    chosen = F.filter(words, lambda _, i: F.expr("chosen") * (F.floor((F.col("start") + i) / F.col("block")) + 1) + F.col("turn") >= F.col("blocks") * (F.floor((F.col("chosen") * F.floor((F.col("start") + i) / F.col("block")) + F.col("turn")) / F.col("blocks")) + 1))
+    # The block of a word, and whether it is chosen: the count of chosen blocks rises there. Words after the last full block are in none.
+    block_of = lambda i: F.floor((F.col("start") + i) / F.col("block"))
+    rises = lambda j: F.floor(((j + 1) * F.col("chosen") + F.col("turn")) / F.col("blocks")) > F.floor((j * F.col("chosen") + F.col("turn")) / F.col("blocks"))
+    chosen = F.filter(words, lambda _, i: (block_of(i) < F.col("blocks")) & rises(block_of(i)))
     extra = F.when(F.col("_taken") > F.col("passes") * F.col("_n"), F.array_join(chosen, " "))
     text = F.concat_ws("\n", F.when(F.col("passes") > 0, F.concat_ws("\n", F.array_repeat(F.col("text"), F.col("passes").cast("int")))), extra)
     out = found.withColumn("text", text)
