@@ -88,7 +88,7 @@ def lookup_key(c: Column | str) -> Column:
     key = F.lower(normalize_spaces(c))
     key = normalize_spaces(F.regexp_replace(strip_diacritics(key), r"(?U)[^a-z0-9\s]+", " "))
     for ending in fixed.KEY_SUFFIXES:
-        key = F.when(key.endswith(ending), F.trim(F.regexp_replace(key, f"{ending}$", ""))).otherwise(key)
+        key = F.trim(F.regexp_replace(key, f"{ending}$", ""))
     return key
 
 

@@ -1,9 +1,10 @@
-"""Text generation metrics: ROUGE-1, -2, -L and BLEU, as columns over token arrays."""
+"""Text generation metrics: ROUGE-1, -2, -L and BLEU, over token lists."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +17,11 @@ def tokens(c: Column | str) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def shared(a: Column, b: Column) -> Column:
-    """How many items two lists share, repeats counted as often as both have them."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    """Runs of n words, by zipping the list with itself shifted: a lambda that looked into the list would compute it anew each time."""
+    if n == 1:
+        return words
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(ngrams(words, n - 1), 1, count), F.slice(words, n, count), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def f_measure(hits: Column, found: Column, wanted: Column) -> Column:
@@ -31,47 +29,68 @@ def f_measure(hits: Column, found: Column, wanted: Column) -> Column:
     return F.when((hits == 0) | (found == 0) | (wanted == 0), 0.0).otherwise(2 * p * r / (p + r))
 
 
-def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
-    a, b = ngrams(tokens(prediction), n), ngrams(tokens(reference), n)
-    return f_measure(shared(a, b), F.size(a), F.size(b))
+def overlap(df: DataFrame, keys: list[str], a: Column, b: Column, sizes: tuple[int, ...]) -> DataFrame:
+    """keys, n, hits, found, wanted: for each size the n-grams that two token lists share, as often as both have them, and have.
+
+    n-grams become rows and meet by a grouped count, so long texts cost no more than their length.
+    """
 
+    def marked(words: Column, n: int, mine: int) -> Column:
+        return F.transform(ngrams(words, n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(mine).alias("mine"), g.alias("g")))
 
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by a row of lengths folded over the first list."""
-    start = F.transform(b, lambda _: F.lit(0))
+    every = F.flatten(F.array(*(marked(words, n, mine) for words, mine in ((a, 1), (b, 0)) for n in sizes)))
+    sides = df.select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")
+    counted = sides.groupBy(*keys, "n", "g").agg(F.sum("mine").alias("p"), F.sum(1 - F.col("mine")).alias("r"))
+    return counted.groupBy(*keys, "n").agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("found"), F.sum("r").alias("wanted"))
 
-    def next_row(row: Column, x: Column) -> Column:
-        # Each new length needs the one to its left in the same row, which the fold carries at the end of its list.
-        def step(out: Column, y: Column) -> Column:
-            j = F.size(out)
-            left = F.when(j > 0, F.element_at(out, -1)).otherwise(0)
-            above, corner = F.element_at(row, j + 1), F.when(j > 0, F.try_element_at(row, F.greatest(j, F.lit(1)))).otherwise(0)
-            return F.concat(out, F.array(F.when(x == y, corner + 1).otherwise(F.greatest(left, above))))
 
-        return F.aggregate(b, F.array().cast("array<int>"), step)
+def rouge_n(df: DataFrame, keys: list[str], prediction: str, reference: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """keys and rouge1, rouge2, ... of each row; 0 where either text has no such n-gram."""
+    met = overlap(df, keys, tokens(prediction), tokens(reference), sizes)
+    scored = met.groupBy(*keys).agg(*(F.max(F.when(F.col("n") == n, f_measure(F.col("hits"), F.col("found"), F.col("wanted")))).alias(f"rouge{n}") for n in sizes))
+    return df.select(*keys).join(scored, keys, "left").fillna(0.0, [f"rouge{n}" for n in sizes])
 
-    final = F.aggregate(a, start, next_row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(final, -1))
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each item of the second list."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | (1 << i)
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
+    """ROUGE-L of two texts. A subsequence is beyond the built-in functions, so batches of token lists go through Python."""
+
+    def lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([longest_common(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
     a, b = tokens(prediction), tokens(reference)
-    return f_measure(longest_common(a, b), F.size(a), F.size(b))
+    return f_measure(F.pandas_udf(lengths, "long")(a, b), F.size(a), F.size(b))
 
 
 def corpus_bleu(df: DataFrame, prediction: str, reference: str, *, most: int = 4) -> DataFrame:
     """One row, bleu: clipped n-gram precisions of the corpus and its brevity penalty, 0 if any precision is."""
-    each = df.select(T.words_of(T.normalize_spaces(prediction)).alias("p"), T.words_of(T.normalize_spaces(reference)).alias("r"))
-    sums = each.agg(F.sum(F.size("p")).alias("lp"), F.sum(F.size("r")).alias("lr"), *(F.sum(shared(ngrams(F.col("p"), n), ngrams(F.col("r"), n))).alias(f"h{n}") for n in range(1, most + 1)), *(F.sum(F.size(ngrams(F.col("p"), n))).alias(f"t{n}") for n in range(1, most + 1)))
-    logs = reduce(lambda a, b: a + b, (F.log(F.col(f"h{n}") / F.col(f"t{n}")) for n in range(1, most + 1)))
-    some = reduce(lambda a, b: a & b, (F.col(f"h{n}") > 0 for n in range(1, most + 1)))
-    penalty = F.when(F.col("lp") >= F.col("lr"), 1.0).otherwise(F.exp(1 - F.col("lr") / F.col("lp")))
+    sizes = tuple(range(1, most + 1))
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    met = overlap(keyed, ["_row"], T.words_of(T.normalize_spaces(prediction)), T.words_of(T.normalize_spaces(reference)), sizes)
+    sums = met.agg(*(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in sizes for c in ("hits", "found", "wanted")))
+    logs = reduce(lambda a, b: a + b, (F.log(F.col(f"hits{n}") / F.col(f"found{n}")) for n in sizes))
+    some = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"hits{n}") > 0, F.lit(False)) for n in sizes))
+    penalty = F.when(F.col("found1") >= F.col("wanted1"), 1.0).otherwise(F.exp(1 - F.col("wanted1") / F.col("found1")))
     return sums.select(F.round(F.when(some, penalty * F.exp(logs / most)).otherwise(0.0), 4).alias("bleu"))
 
 
 def corpus_rouge(df: DataFrame, prediction: str, reference: str) -> DataFrame:
-    p, r = F.col(prediction), F.col(reference)
-    return df.agg(*(F.round(F.avg(c), 4).alias(n) for c, n in ((rouge_n(p, r, 1), "rouge1"), (rouge_n(p, r, 2), "rouge2"), (rouge_l(p, r), "rougeL"))))
+    """One row of means: rouge1, rouge2, rougeL."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    each = rouge_n(keyed, ["_row"], prediction, reference).join(keyed.select("_row", rouge_l(F.col(prediction), F.col(reference)).alias("rougeL")), "_row")
+    return each.agg(*(F.round(F.avg(c), 4).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
 
 
 def compare_runs(runs: dict[str, DataFrame], metrics: list[str]) -> DataFrame:

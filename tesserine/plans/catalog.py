@@ -185,8 +185,8 @@ def representative_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.representative_cases(evaluation.misses(_results(spark, sf_dir)), 30).select("id", "position")
 
 
-@query(_RESULTS + """, s AS (SELECT round(count(*) FILTER (hit_keyword_at_k) / count(*), 4) AS k, round(count(*) FILTER (hit_category_at_k) / count(*), 4) AS c, round(count(*) FILTER (hit_keyword_at_1) / count(*), 4) AS k1 FROM r),
-g AS (SELECT CASE WHEN k >= 0.8 AND c >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS retrieval_status, k1 < k AS deeper FROM s)
+@query(_RESULTS + """, u AS (SELECT round(count(*) FILTER (hit_keyword_at_k) / count(*), 4) AS k, round(count(*) FILTER (hit_category_at_k) / count(*), 4) AS c, round(count(*) FILTER (hit_keyword_at_1) / count(*), 4) AS k1 FROM r),
+g AS (SELECT CASE WHEN k >= 0.8 AND c >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS retrieval_status, k1 < k AS deeper FROM u)
 SELECT retrieval_status AS overall_status, 'PASS' AS validation_status, 'PASS' AS build_status, retrieval_status, retrieval_status AS filtered_status,
   CAST(1 + (retrieval_status = 'FAIL')::INTEGER + deeper::INTEGER AS INTEGER) AS n_recommendations FROM g""")
 def report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,7 +497,7 @@ def kb_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preparation.group_by_text(table(spark, sf_dir, "documents"), "text", "doc_id", order="doc_id")
 
 
-_SPLIT_SQL = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents), p AS (SELECT doc_id, lang, CASE WHEN at <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN at <= floor(n * 0.9::DOUBLE) THEN 'test' ELSE 'val' END AS split FROM s)"
+_SPLIT_SQL = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents), p AS (SELECT doc_id, lang, CASE WHEN pos <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN pos <= floor(n * 0.9::DOUBLE) THEN 'test' ELSE 'val' END AS split FROM s)"
 
 
 @query(f"WITH {_SPLIT_SQL} SELECT doc_id, split FROM p")
@@ -658,13 +658,12 @@ f{n} AS (SELECT conv_id, turn, CASE WHEN h = 0 OR len(p) = 0 OR len(r) = 0 THEN
 @query(f"WITH {_TOKENS_SQL}, {_f_sql(1)}, {_f_sql(2)} SELECT f1.conv_id, f1.turn, round(f1.rouge, 6) AS rouge1, round(f2.rouge, 6) AS rouge2 FROM f1 JOIN f2 ON f1.conv_id = f2.conv_id AND f1.turn = f2.turn")
 def rouge_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROUGE-1 and -2 of each turn against the next."""
-    p, r = F.col("prediction"), F.col("reference")
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_n(p, r, 1), 6).alias("rouge1"), F.round(metrics.rouge_n(p, r, 2), 6).alias("rouge2"))
+    return metrics.rouge_n(_pairs(spark, sf_dir), ["conv_id", "turn"], "prediction", "reference").withColumns({c: F.round(c, 6) for c in ("rouge1", "rouge2")})
 
 
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-L folds rows of a table of lengths, so it is tested against a model in Python instead."""
+    """A longest common subsequence is beyond SQL, so it is tested against a model in Python instead."""
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("prediction"), F.col("reference")), 6).alias("rougeL"))
 
 

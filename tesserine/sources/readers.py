@@ -41,8 +41,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, st
     """Rows of a JSON lines file, columns as in ``schema``; ``strict`` fails at a bad line, else it is in _corrupt."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    known = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(T.StructType([*known.fields, T.StructField("_corrupt", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    known = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = F.from_json("value", f"{known}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("j")).select("j.*")
 
 
 def read_jsonl_numbered(spark: SparkSession, path: str, schema: str, *, strict: bool = True) -> DataFrame:
