@@ -154,3 +154,11 @@ def render_error_report(missed: DataFrame, *, n: int = 20, cases: int = 30) -> s
     chosen = representative_cases(missed, cases).orderBy("position").select("id", "expected_keyword", "top_keyword", "top_score", "error_type").collect()
     parts += ["## Cases\n", markdown_table(["id", "expected", "found", "score", "type"], [list(r) for r in chosen])]
     return "\n".join(parts) + "\n"
+
+
+def render_gated_report(report: DataFrame) -> str:
+    """The one row of ``gated_report`` as Markdown."""
+    row = report.first()
+    sections = [("Validation", "validation_status"), ("Index build", "build_status"), ("Retrieval", "retrieval_status"), ("Retrieval with category filter", "filtered_status")]
+    parts = ["# Retrieval report", f"\nOverall: **{row['overall_status']}**\n", markdown_table(["Section", "Status"], [[name, row[c]] for name, c in sections]), ""]
+    return "\n".join([*parts, "## Recommendations\n", *(f"- {r}" for r in row["recommendations"] or ["None."])]) + "\n"

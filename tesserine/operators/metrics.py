@@ -93,6 +93,11 @@ def corpus_rouge(df: DataFrame, prediction: str, reference: str) -> DataFrame:
     return each.agg(*(F.round(F.avg(c), 4).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
 
 
+def align(predictions: DataFrame, references: DataFrame, *, by: str = "row_index") -> DataFrame:
+    """by, prediction, reference: rows of the same number in both tables."""
+    return predictions.select(by, "prediction").join(references.select(by, "reference"), by)
+
+
 def compare_runs(runs: dict[str, DataFrame], metrics: list[str]) -> DataFrame:
     """One row per run with the same metrics; what a run lacks is 0."""
     each = [df.select(F.lit(name).alias("run"), *(F.coalesce(F.col(m), F.lit(0.0)).alias(m) if m in df.columns else F.lit(0.0).alias(m) for m in metrics)) for name, df in runs.items()]

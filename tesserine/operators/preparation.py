@@ -123,6 +123,11 @@ def training_texts(records: DataFrame) -> DataFrame:
     return out.where("question <> '' AND answer <> ''")
 
 
+def chat_texts(texts: DataFrame, form: str = "<|user|>\n%s\n\n%s\n<|assistant|>\n%s") -> DataFrame:
+    """``text``: context, question and answer of ``training_texts`` in the form of a chat."""
+    return texts.withColumn("text", F.format_string(form, "context", "question", "answer"))
+
+
 def loss_per_epoch(log: DataFrame) -> DataFrame:
     """epoch, train_loss, eval_loss: the least of each per whole epoch of a training log (epoch, loss, eval_loss)."""
     return log.groupBy(F.floor("epoch").alias("epoch")).agg(F.min("loss").alias("train_loss"), F.min("eval_loss").alias("eval_loss"))

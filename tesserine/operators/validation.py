@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
 
 
-def earlier_valid(df: DataFrame, key: str, valid: Column, *, order: str = "row_index") -> Column:
-    """Whether an earlier row that is valid in itself has the same key: the state of a sequential check."""
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return F.max(F.when(valid, 1)).over(before).isNotNull()
+def mark_repeats(df: DataFrame, key: str, valid: Column, *, into: str, order: str = "row_index") -> DataFrame:
+    """``df`` with whether an earlier row that is valid in itself has the same key: the state of a sequential check.
+
+    That is so if the first valid row of the key comes before. The firsts are a
+    minimum that combines on the map side, so a key with very many rows is none of one task's.
+    """
+    first = df.where(valid).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, F.col(key) == F.col("_key"), "left").withColumn(into, F.coalesce(F.col("_first") < F.col(order), F.lit(False))).drop("_key", "_first")
 
 
 def parse_documents(raw: DataFrame, *, column: str = "raw", order: str = "row_index") -> DataFrame:
@@ -39,7 +42,7 @@ def check_documents(docs: DataFrame, *, strict: bool = True) -> DataFrame:
     formed = F.size(parts) >= 3
     count = F.when(F.col("count_whole"), F.col("source_count")).otherwise(F.size("source_image_ids").cast("bigint"))
     own_errors = blank("doc_id") | blank("content") | ~F.col("has_metadata") | blank("keyword") | blank("category") | (F.lit(strict) & ~blank("category") & ~F.col("category").isin(fixed.CATEGORIES))
-    seen = docs.withColumn("_seen", ~blank("doc_id") & earlier_valid(docs, "doc_id", ~own_errors)).withColumn("_count", count)
+    seen = mark_repeats(docs, "doc_id", ~own_errors, into="_seen").withColumn("_count", count)
 
     def issue(when: Column, level: str, field: str, name: str, *values: Column) -> Column:
         message = F.format_string(fixed.ISSUES[name], *values) if values else F.lit(fixed.ISSUES[name])
@@ -104,14 +107,13 @@ def check_record_ids(records: DataFrame, *, order: str = "row_index") -> DataFra
     image = T.text_or_empty("image_id")
     formed = image.rlike(r"(?s)^(.+)_q(\d+)$")
     fill = lambda c, value: F.coalesce(F.nullif(T.text_or_empty(c), F.lit("")), value) if c in records.columns else value
-    known = records.withColumn("_image", image).withColumn("_formed", formed)
-    again = earlier_valid(known, "_image", F.col("_formed"), order=order)
-    problem = F.when(F.col("_image") == "", "missing").when(~F.col("_formed"), "format").when(again, "duplicate")
+    known = mark_repeats(records.withColumn("_image", image).withColumn("_formed", formed), "_image", F.col("_formed"), into="_again", order=order)
+    problem = F.when(F.col("_image") == "", "missing").when(~F.col("_formed"), "format").when(F.col("_again"), "duplicate")
     return known.withColumns({
         "problem": problem,
         "base_image_id": fill("base_image_id", F.regexp_extract("_image", r"(?s)^(.+)_q(\d+)$", 1)),
         "question_id": fill("question_id", F.concat(F.lit("q"), F.regexp_extract("_image", r"(?s)^(.+)_q(\d+)$", 2))),
-    }).drop("_image", "_formed")
+    }).drop("_image", "_formed", "_again")
 
 
 def require_valid_ids(records: DataFrame, *, order: str = "row_index") -> DataFrame:

@@ -158,6 +158,7 @@ def test_gate(spark):
     summary = spark.sql("SELECT 0 AS no_result_count, 0.9D AS topk_keyword_accuracy, 0.95D AS topk_category_accuracy, 0.5D AS top1_keyword_accuracy")
     r = evaluation.gated_report(ok, build, summary, summary.limit(0)).first()
     assert r["overall_status"] == "PASS" and r["filtered_status"] == "FAIL" and len(r["recommendations"]) == 2
+    assert "| Index build | PASS |" in evaluation.render_gated_report(evaluation.gated_report(ok, build, summary, summary))
     r = evaluation.gated_report(ok.limit(0), build, summary, summary).first()
     assert r["overall_status"] == "FAIL" and r["validation_status"] == "FAIL"
 
@@ -194,6 +195,8 @@ def test_preparation(spark):
     assert len(docs) == 1 and docs[0]["source_image_ids"].split("|")[-1].endswith("_q2") and docs[0]["doc_id"].startswith("am_thuc|pho|phở|")
     row = spark.sql("SELECT array('b', 'a', null, ' a ', '') AS s").select(preparation.distinct_symbolism(F.col("s")).alias("x")).first()
     assert row["x"] == "a b"
+    pairs = preparation.training_texts(spark.sql("SELECT '' AS retrieve_context, 'c' AS cultural_context, NULL AS standalone_question, 'q' AS question, 'a' AS answer_label"))
+    assert preparation.chat_texts(pairs).first()["text"].endswith("c\n\nq\n<|assistant|>\na")
     numbers = spark.sql("SELECT explode(array('3', 'x', null, 'true', '2.0')) AS s").select(preparation.whole_number(F.col("s")).alias("x")).collect()
     assert [r["x"] for r in numbers] == [3, 0, 0, 0, 2]
 
@@ -208,6 +211,8 @@ def test_metrics(spark):
     same = spark.createDataFrame([("a b c d e", "a b c d e")], "p string, r string")
     assert metrics.corpus_bleu(same, "p", "r").first()["bleu"] == 1.0 and metrics.corpus_bleu(df, "p", "r").first()["bleu"] >= 0
     assert metrics.corpus_rouge(same, "p", "r").first()["rougeL"] == 1.0
+    met = metrics.align(spark.sql("SELECT 1 AS row_index, 'p' AS prediction"), spark.sql("SELECT explode(array(1, 2)) AS row_index, 'r' AS reference"))
+    assert met.count() == 1
     runs = metrics.compare_runs({"a": spark.sql("SELECT 0.5D AS m"), "b": spark.sql("SELECT 1 AS other")}, ["m"])
     assert {r["run"]: r["m"] for r in runs.collect()} == {"a": 0.5, "b": 0.0}
 

@@ -52,3 +52,20 @@ def test_sentence_stream_equals_batch(spark, tmp_path):
     assert got == text
     chunks = answers.clean_chunks(spark.table("sentences")).where("request_id = 'r1'").orderBy("part", "chunk_at").collect()
     assert "".join(r["chunk"] for r in chunks) == "Nem nướng ngon. Món này cay! Hết"
+
+
+def test_rewrite_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from tesserine.operators import rewriting
+
+    rows = spark.createDataFrame([(i, "phở", "Món này là gì?", "") for i in range(4)], "row_index long, keyword string, question string, vision_caption string")
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        answers.rewrite_stream(stream, rewriting.apply_rules, lambda df, i: seen.extend(r["standalone_question"] for r in df.collect()), checkpoint=str(tmp_path / "cp")).awaitTermination(120)
+
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    run()
+    rows.limit(2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert seen == ["Phở là gì?"] * 6
