@@ -126,7 +126,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     spark = vectors.sparkSession
     e = F.col("e")
     good = F.coalesce((F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
-    taken = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e")).select("vec_id", F.when(good, e).alias("e"), F.monotonically_increasing_id().alias("row"))
+    # Single precision is shuffled as it is and widened where it is used; anything else is widened first.
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    taken = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e")).select("vec_id", F.when(good, e).alias("e"), F.monotonically_increasing_id().alias("row"))
     taken = stored(taken, "vectors")
     valid = taken.where("e is not null").select("row", "e", F.size("e").alias("dim"))
     turn = {}
