@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that f uses more than once: as a lambda's variable it is computed once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def text_or_empty(c: Column | str) -> Column:
     """The text without white space around it; null is empty."""
     return strip(F.coalesce(_col(c).cast("string"), F.lit("")))
@@ -165,18 +171,21 @@ def rewrite_question(keyword: Column | str, question: Column | str) -> Column:
     for when, then in parts[1:]:
         chain = chain.when(when, then)
     usable = (k != "") & (q != "") & ~F.contains(F.lower(q), F.lower(k))
-    return F.when(usable, capitalize_first(chain))
+    return F.when(usable, once(chain, capitalize_first))
 
 
 def replace_keyword(text: Column | str, raw: Column | str, normalized: Column | str) -> Column:
     """A text with a keyword, and then its lookup key, replaced whatever their letter case; then capitalized."""
-    t, r, n = F.coalesce(_col(text), F.lit("")), normalize_spaces(raw), normalize_spaces(normalized)
-    key = lookup_key(r)
     literal = lambda c: F.concat(F.lit("(?iu)"), F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1"))
-    into = F.regexp_replace(n, r"([\\$])", r"\\$1")
-    once = F.regexp_replace(t, literal(r), into)
-    twice = F.when((key != "") & (key != F.lower(r)), F.regexp_replace(once, literal(key), into)).otherwise(once)
-    return F.when((t == "") | (r == "") | (r == n), t).otherwise(capitalize_first(twice))
+    into = lambda n: F.regexp_replace(n, r"([\\$])", r"\\$1")
+
+    def replaced(t: Column, r: Column, n: Column) -> Column:
+        first = F.regexp_replace(t, literal(r), into(n))
+        second = once(lookup_key(r), lambda key: F.when((key != "") & (key != F.lower(r)), F.regexp_replace(first, literal(key), into(n))).otherwise(first))
+        return F.when((t == "") | (r == "") | (r == n), t).otherwise(once(second, capitalize_first))
+
+    given = F.struct(F.coalesce(_col(text), F.lit("")).alias("t"), normalize_spaces(raw).alias("r"), normalize_spaces(normalized).alias("n"))
+    return once(given, lambda g: replaced(g["t"], g["r"], g["n"]))
 
 
 def word_count(c: Column | str) -> Column:
@@ -263,18 +272,20 @@ def _clean_sentence(s: Column) -> Column:
     s = strip(F.regexp_replace(strip(s), _ignoring_case(fixed.LEADING_VISUAL), ""))
     s = _trim_marks(_without_phrases(s))
     s = strip(F.regexp_replace(s, _ignoring_case(fixed.LEADING_CLASSIFIER), ""))
-    s = strip(F.regexp_replace(s, _ignoring_case(fixed.APPOSITION), fixed.APPOSITION_AS))
-    return capitalize_first(s)
+    return strip(F.regexp_replace(s, _ignoring_case(fixed.APPOSITION), fixed.APPOSITION_AS))
 
 
 def sanitize_answer(c: Column | str) -> Column:
     """An answer without talk of pictures: sentence by sentence, and whole if no sentence is left."""
-    answer = text_or_empty(c)
+    return once(text_or_empty(c), _sanitized)
+
+
+def _sanitized(answer: Column) -> Column:
     sentences = F.split(F.replace(answer, F.lit("\n"), F.lit(" ")), rf"(?U)(?<=[{fixed.SENTENCE_ENDS}])\s+")
-    kept = F.filter(F.transform(sentences, _clean_sentence), lambda s: (s != "") & ~s.rlike(_ignoring_case(fixed.VISUAL_TERMS)))
+    kept = F.filter(F.transform(F.transform(sentences, _clean_sentence), capitalize_first), lambda s: (s != "") & ~s.rlike(_ignoring_case(fixed.VISUAL_TERMS)))
     joined = F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), r"(?U)\s+([,.!?])", "$1"), r"\.{2,}", ".")
     whole = _trim_marks(_without_phrases(strip(F.regexp_replace(answer, _ignoring_case(fixed.LEADING_VISUAL), ""))))
-    return F.when(joined != "", joined).otherwise(whole)
+    return once(joined, lambda j: F.when(j != "", j).otherwise(whole))
 
 
 def postprocess_answer(c: Column | str) -> Column:

@@ -75,6 +75,13 @@ def apply_model(records: DataFrame, remaining: DataFrame, rewriter: Rewriter) ->
     }).drop("_text", "_asked")
 
 
+def parse_rewrites(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """The rows of ``answers`` for each rewrite in a model's JSON list (maybe fenced): index, standalone_question; bad items and bad lists give none."""
+    items = F.from_json(T.strip_code_fence(column), "array<struct<index: int, standalone_question: string>>")
+    good = F.filter(items, lambda x: x["index"].isNotNull() & (T.text_or_empty(x["standalone_question"]) != ""))
+    return answers.select("*", F.explode(good).alias("_x")).select(*answers.columns, F.col("_x.index").alias("index"), T.strip(F.col("_x.standalone_question")).alias("standalone_question"))
+
+
 def cache_rows(records: DataFrame, model: str) -> DataFrame:
     """Rewrites of a model as rows of the cache."""
     return records.where(F.col("rewrite_method") == "llm").select(T.rewrite_key("vision_caption", "question").alias("cache_key"), "standalone_question", "vision_caption", "question", F.lit(model).alias("model"))

@@ -130,6 +130,11 @@ def test_rewriting(spark):
     assert rewriting.rewrite_stats(done.limit(0)).first()["total_questions"] == 0
 
 
+def test_parse_rewrites(spark):
+    df = spark.createDataFrame([(1, '```json\n[{"index": 0, "standalone_question": " a? "}, {"index": 1, "standalone_question": ""}, {"standalone_question": "b"}]\n```'), (2, "not json"), (3, None)], "batch int, answer string")
+    assert [(r["batch"], r["index"], r["standalone_question"]) for r in rewriting.parse_rewrites(df).collect()] == [(1, 0, "a?")]
+
+
 def results(spark):
     queries = spark.createDataFrame([(str(i), k, "c") for i, k in enumerate(["áo dài", "áo dài", "phở", "", "x y"])], "id string, expected_keyword string, expected_category string")
     hits = spark.createDataFrame([("0", 1, "d", "nón", "c", "", 0.9, 0.1), ("0", 2, "e", "áo dài cách tân", "d", "", 0.8, 0.2), ("1", 1, "d", "nón", "e", "", 0.7, 0.3), ("2", 1, "f", "bún", "c", "", 0.6, 0.4), ("3", 1, "f", "bún", "c", "", 0.5, 0.5)], "id string, rank int, doc_id string, keyword string, category string, subcategory string, score double, distance double")
