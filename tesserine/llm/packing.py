@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, texts
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Items of a group, groups that meet at the next level, and free tokens with which a bin is nearly full.
@@ -45,10 +45,10 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder("word", path)
+        known = encoder("word", path)
         for batch in small_batches(batches, "text"):
             at, out = [], []
-            for row, ids in enumerate(encoder.encode(texts(batch.column("text")))):
+            for row, ids in enumerate(known.encode(texts(batch.column("text")))):
                 for piece, start, length, part in cut(ids + end, capacity):
                     at.append(row)
                     out.append((piece, start, length, zlib.crc32(part), *([part] if with_ids else [])))

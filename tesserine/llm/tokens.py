@@ -9,9 +9,14 @@ that the tokenizer gives for the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-import struct
+import sys
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain, filterfalse
 
 #: Letters of the plain range, for use in a character class.
 _L = "a-zA-Z\u00b5\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
@@ -20,8 +25,8 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+"
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+"
 #: Any but Basic Latin, Latin-1 and Latin Extended A without controls, the hard space and hyphen, ordinal signs, raised digits, fractions and dotted I.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f]")
-#: Words kept by a worker before it starts anew; bounds its memory, not what is encoded.
-KNOWN = 600_000
+#: Words that a worker meets before it drops those not met since it last did so; bounds its memory, not what is encoded.
+KNOWN = 250_000
 
 
 class Encoder:
@@ -45,18 +50,58 @@ class Encoder:
         self.lower = kind == "word"
         self.words = re.compile(WORD_PATTERN if kind == "word" else BYTE_PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Very long texts are cut into words like any other."""
+        with no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = [self.words(x.lower() if self.lower else x) if UNUSUAL.search(x) is None else None for x in texts]
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(w for w in cut if w))))
         if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list(set().union(*(w for w in cut if w)).difference(self.known))
+            self.older, self.known = self.known, {}
+            new = list(set(chain.from_iterable(w for w in cut if w)))
+        if self.older:
+            again = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(again)
+            new = [w for w in new if w not in again]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.known.update(zip(part, self._ids(part), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) if w is not None else self._ids([x])[0] for w, x in zip(cut, texts, strict=True)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_HELD: dict[tuple[str, str | None], Encoder] = {}
+
+
+def encoder(kind: str, path: str | None = None) -> Encoder:
+    """The worker's encoder, which goes on knowing its words in the worker's next tasks."""
+    if (kind, path) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, path] = Encoder(kind, path)
+    return _HELD[kind, path]
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for reference cycles, of which words and their ids have none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
