@@ -134,6 +134,8 @@ def test_language_model_counts(make, corpus):
         assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 * len(t)
         assert r["score"] < 0 and math.isfinite(r["open_score"])
     assert language_model.score_held_out(docs.limit(0)).count() == 0
+    again = {r["doc_id"]: r for r in language_model.score_held_out(docs.repartition(7, "text")).collect()}
+    assert all(again[i]["n_known"] == r["n_known"] and abs(again[i]["base_score"] - r["base_score"]) < 1e-6 for i, r in got.items())
 
 
 def test_language_model_is_a_distribution():
