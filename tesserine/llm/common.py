@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, in the sense of every operator here: a run of anything but ASCII white space.
@@ -78,8 +77,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_00
         step = max(1, int(batch.num_rows * most / max(size, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def spread(df: DataFrame, column: str = "text") -> DataFrame:
-    """Only for reading: keep ``df`` as its scan splits it, with the columns an operator asks for."""
-    return df.withColumn(column, F.col(column).cast(T.StringType()))
