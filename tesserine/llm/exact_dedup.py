@@ -75,7 +75,7 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows that share both text and id, one stays.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep)
+    groups = stored(exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep), "exact_groups")
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
     # An id that is dropped for one text may be kept for another: the text decides too.
     norm = F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"), 256)

@@ -189,4 +189,5 @@ def identify_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, *, least: float = 0.0, **options) -> DataFrame:
     """``docs`` without documents in no language, and those whose score is below ``least``; all columns stay."""
     found = identify_held_out(docs, **options).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone")).distinct()
+    found = stored(found, "rejected")  # of a size that Spark then knows: if it is small, texts aren't shuffled
     return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(found["_gone"]), "left_anti")

@@ -32,7 +32,6 @@ SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: A cell with more rows is cut into chunks, and each pair of chunks is a cell of its own.
 CELL = 4096
 _LOW = np.uint64(0x5555555555555555)
-_BYTES = np.frombuffer(bytes(bin(i).count("1") for i in range(256)), dtype=np.uint8)
 
 
 def shingle_hashes(text: bytes, words_each: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -231,4 +230,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest id; all columns stay."""
     found = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    found = stored(found, "near_copies")  # of a size that Spark then knows: if it is small, texts aren't shuffled
     return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(found["gone_id"]), "left_anti")
