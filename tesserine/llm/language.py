@@ -94,7 +94,7 @@ class Profiles:
     def __init__(self, letters: list[int], profiles: dict[str, np.ndarray]):
         self.alphabet = Alphabet(letters)
         self.names = sorted(profiles)
-        self.rank = np.full((sum(ALPHABET**n for n in ORDERS), len(self.names)), -1, dtype=np.int32)
+        self.rank = np.full((sum(ALPHABET**n for n in ORDERS), len(self.names)), -1, dtype=np.int16)  # PROFILE places fit
         for k, name in enumerate(self.names):
             self.rank[profiles[name], k] = np.arange(len(profiles[name]))
 
