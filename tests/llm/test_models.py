@@ -170,3 +170,42 @@ def test_seating():
 def test_rare_letters_and_columns(make):
     docs = make([(1, "\x00  𝔘 日", None, None), (3, "a\nb", None, None)])
     assert language_model.score_held_out(docs.withColumn("word", F.lit(1))).count() == 2
+
+
+def test_words_before_count(make):
+    """What follows a word is told from the same words in another order."""
+    pair = "red apple blue plum green pear"
+    docs = make([(i, " ".join(random.Random(i).sample(["red apple", "blue plum", "green pear"], 3)), None, None) for i in range(300)] + [(1000, pair, None, None), (1001, "apple red plum blue pear green", None, None)])
+    got = {r["doc_id"]: r for r in language_model.score_held_out(docs).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 3
+    assert np.mean([r["score"] - r["base_score"] for i, r in got.items() if i < 300]) > 0
+
+
+def test_context_restaurants_are_distributions(spark, make):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40)]
+    counts, before = Counter(), Counter()
+    for t in texts:
+        w = language_model.tokens(t.encode())
+        counts.update(w)
+        before.update(zip([b"", *w], w, strict=False))
+    dealt, _ = language_model.deal(make([(i, t, None, None) for i, t in enumerate(texts)]), F.lit(True), share=200)
+    pairs = language_model.word_pairs(dealt, most=50).cache()
+    name = dict(zip(language_model.word_hash(list(counts)).tolist(), counts, strict=True))
+    assert {(name[r["u"]], name[r["w"]]): r["c"] for r in pairs.where("lead").collect()} == dict(before)
+    table = spark.createDataFrame([(w.decode(), c) for w, c in counts.items()], "word string, c long")
+    vocabulary, discount = language_model.seat_contexts(table, pairs)
+    rows = vocabulary.collect()
+    assert {r["word"].encode(): r["c"] for r in rows} == dict(counts)
+    assert sum(r["k"] for r in rows) == sum(r["t1"] for r in rows) >= len(before)  # every table is a customer of the parent
+    model, _ = language_model.fit(vocabulary.select("word", F.col("k").alias("c")))
+    p = {r["word"].encode(): 10 ** r["log"] for r in language_model.predicted(vocabulary, spark.sparkContext.broadcast(model), "log").collect()}
+    at = {r["word"].encode(): r for r in rows}
+    for u, r in at.items():
+        mass = (1 + discount * r["t1"]) / (1 + r["cu"]) * (sum(p.values()) + 10 ** model.unknown())
+        for w in (w for b, w in before if b == u):
+            c = np.array([before[u, w]])
+            key = language_model.pair_key(*(language_model.word_hash([x]) for x in (u, w)))
+            mass += (c - discount * language_model.seat_pairs(key, c, language_model.context_strength(np.array([r["t0"]]), np.array([at[w]["log0"]], dtype=np.float32), discount), discount))[0] / (1 + r["cu"])
+        assert abs(mass - 1) < 0.1  # the parent's tables are drawn anew
