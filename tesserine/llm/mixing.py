@@ -98,22 +98,21 @@ def before(at: str) -> Column:
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: all columns, without documents of which nothing is taken.
 
-    A text is its whole copies, one to a line, and then the words of the chosen
-    blocks; ``n_chars``, where there is such a column, is its new length. ids must
+    A text is its whole copies, one to a line, and then as many words as chosen blocks
+    take of it: one run of words from a seeded start, whatever the block size, so that small
+    blocks don't make texts of scattered words; ``n_chars``, where there is such a column, is its new length. ids must
     be unique; rows that share an id are mixed as one draw each would be.
     """
     plan = plan_mix(docs, **options)
-    p = plan.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "passes", "start", "block", "chosen", "blocks", "turn")
+    p = plan.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "passes")
     # Rows that share both id and size have the same choice to make: pair them off by rank.
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     p = p.groupBy("_id", "_size").agg(F.max_by(F.struct(*[c for c in p.columns if c not in ("_id", "_size")]), F.col("_taken")).alias("_p")).select("_id", "_size", "_p.*")
     found = docs.withColumn("_n", size).join(p, docs["doc_id"].eqNullSafe(p["_id"]) & (F.col("_n") == F.col("_size")))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    # The block of a word, and whether it is chosen: the count of chosen blocks rises there. Words after the last full block are in none.
-    block_of = lambda i: F.floor((F.col("start") + i) / F.col("block"))
-    rises = lambda j: F.floor(((j + 1) * F.col("chosen") + F.col("turn")) / F.col("blocks")) > F.floor((j * F.col("chosen") + F.col("turn")) / F.col("blocks"))
-    chosen = F.filter(words, lambda _, i: (block_of(i) < F.col("blocks")) & rises(block_of(i)))
-    extra = F.when(F.col("_taken") > F.col("passes") * F.col("_n"), F.array_join(chosen, " "))
+    more = F.col("_taken") - F.col("passes") * F.col("_n")
+    start = F.pmod(F.xxhash64(F.lit(SEED), "_id", "_n"), F.col("_n") - more + 1)
+    extra = F.when(more > 0, F.array_join(F.slice(words, (start + 1).cast("int"), more.cast("int")), " "))
     text = F.concat_ws("\n", F.when(F.col("passes") > 0, F.concat_ws("\n", F.array_repeat(F.col("text"), F.col("passes").cast("int")))), extra)
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -246,3 +246,16 @@ def test_registry():
     found = queries.queries()
     assert [n for n in found if n.startswith("op")] and "pipeline" in found and set(queries.oracle_sql()) <= set(found)
     assert {re.match(r"op(\d+)_", n)[1] for n in found if n.startswith("op")} == {str(i) for i in range(1, 11)}
+
+
+def test_tiny_source_leaves_texts_in_runs(make):
+    """With single-word blocks, what is taken of a text besides whole copies is still one run of its words."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "ab"[i % 2]) for i in range(200)] + [(999, "tiny", "en", "c")]
+    docs = make(rows)
+    assert {r["block"] for r in mixing.plan_mix(docs).select("block").collect()} == {1}
+    text, cut = {r[0]: r[1] for r in rows}, 0
+    for r in mixing.mixed_texts(docs).collect():
+        *whole, last = r["text"].split("\n")
+        assert all(x == text[r["doc_id"]] for x in whole) and f" {last} " in f" {text[r['doc_id']]} "
+        cut += last != text[r["doc_id"]]
+    assert cut > 50
