@@ -186,8 +186,17 @@ def identify_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return scored.select("doc_id", (F.pmod(id_hash(F.col("doc_id")), F.lit(folds)) == out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.0, **options) -> DataFrame:
-    """``docs`` without documents in no language, and those whose score is below ``least``; all columns stay."""
-    found = identify_held_out(docs, **options).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone")).distinct()
-    found = stored(found, "rejected")  # of a size that Spark then knows: if it is small, texts aren't shuffled
-    return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(found["_gone"]), "left_anti")
+def keep_identified(docs: DataFrame, *, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out: int = 2) -> DataFrame:
+    """``docs`` without documents in no language, and those whose score is below ``least``; all columns stay.
+
+    Each row is decided by its own text, whatever other rows share its id.
+    """
+    model = fit(docs, F.pmod(id_hash(F.col(id_col)), F.lit(folds)) != out, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text_col):
+            found = [shared.value.predict(x) for x in texts(batch.column(text_col).cast(pa.string()))]
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -153,3 +153,11 @@ def test_suffix_bound_never_prunes_a_link():
     got = {tuple(sorted(p)) for i, j in embed_dedup.compare(u, r, every, every, 0.9, block=32) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
     assert got == want
+
+
+def test_near_copies_go_by_row_not_by_id(make):
+    """A near copy without an id, or with a repeated one, leaves the other rows of that id."""
+    a, b = "one two three four five six seven", "quite another text of words alone"
+    rows = [(1, a, None, None), (None, a, None, None), (None, b, None, None), (7, a, None, None), (7, "red " + b + " blue green", None, None)]
+    left = {(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(make(rows)).collect()}
+    assert left == {(1, a), (None, b), (7, rows[-1][1])}

@@ -209,3 +209,9 @@ def test_context_restaurants_are_distributions(spark, make):
             key = language_model.pair_key(*(language_model.word_hash([x]) for x in (u, w)))
             mass += (c - discount * language_model.seat_pairs(key, c, language_model.context_strength(np.array([r["t0"]]), np.array([at[w]["log0"]], dtype=np.float32), discount), discount))[0] / (1 + r["cu"])
         assert abs(mass - 1) < 0.1  # the parent's tables are drawn anew
+
+
+def test_rejected_rows_go_by_row_not_by_id(make, corpus):
+    rows = [(None, None, None, None), (None, "the house and the water", "en", "s"), (5000, "12 !", "en", None), (5000, "das haus und das wasser", "de", None)]
+    left = [(r["doc_id"], r["text"]) for r in language.keep_identified(make(corpus + rows)).collect()]
+    assert len(left) == len(corpus) + 2 and {(None, rows[1][1]), (5000, rows[3][1])} <= set(left)
