@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, forget=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("simhash_dedup", near_copies), ("mix_sources", mix_sources), ("best_fit_packing", pack_sequences)]

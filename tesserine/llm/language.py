@@ -5,9 +5,9 @@ document is compared to each language's profile by out-of-place distance: for
 each of its own n-grams, how many places its rank there is from its rank here,
 and a full ``profile`` places if the language lacks it. The nearest profile wins.
 
-Letters are lower-cased and mapped to an alphabet of ``ALPHABET`` codes, the most
-frequent letters of the training texts and one code for all others, so that an
-n-gram is a small integer; anything that isn't a letter parts words.
+Letters are lower-cased; anything that isn't a letter parts words. An n-gram of up to
+three code points is one 63-bit number, so that no two letters of any script are
+taken for one another.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import id_hash, rows, small_batches, stored, texts
 
-#: n-gram lengths, entries of a profile, letter codes (0 is a gap), most training documents of a language.
-ORDERS, PROFILE, ALPHABET, FIT = (1, 2, 3), 400, 128, 3000
+#: n-gram lengths (three at most), entries of a profile, most training documents of a language, and shards that each language's are found in.
+ORDERS, PROFILE, FIT, SHARDS = (1, 2, 3), 400, 3000, 64
 UNKNOWN = "und"
-_OTHER = ALPHABET - 1
+#: A gap, as a code point that is no letter, and the bits of a code point.
+_GAP, _BITS = 1, 21
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -43,40 +44,27 @@ def is_letter(points: np.ndarray) -> np.ndarray:
     return low
 
 
-class Alphabet:
-    """Maps letters to codes 1 to ALPHABET - 1; whatever isn't a letter is 0."""
+def letters(text: str) -> np.ndarray:
+    """Code points with one gap before, between and after words; empty if there is no letter."""
+    points = codepoints(text.lower()).astype(np.int64)
+    points = np.concatenate(([_GAP], np.where(is_letter(points), points, _GAP), [_GAP]))
+    points = points[np.r_[True, (points[1:] != _GAP) | (points[:-1] != _GAP)]]
+    return points if len(points) > 1 else points[:0]
 
-    def __init__(self, letters: list[int]):
-        self.code = np.where(_LETTER, _OTHER, 0).astype(np.int64)
-        for i, c in enumerate(letters[: ALPHABET - 2]):
-            if c < len(self.code):
-                self.code[c] = i + 1
 
-    def encode(self, text: str) -> np.ndarray:
-        """Codes with one gap before, between and after words; empty if there is no letter."""
-        points = codepoints(text.lower())
-        codes = self.code[np.minimum(points, 0x1FFFF)]
-        if len(points) and points.max() >= 0x20000:
-            codes = np.where(points >= 0x20000, np.where(is_letter(points), _OTHER, 0), codes)
-        codes = np.concatenate(([0], codes, [0]))
-        keep = np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]
-        codes = codes[keep]
-        return codes if len(codes) > 1 else codes[:0]
-
-
-def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of all orders, and their counts. No n-gram is a gap alone."""
-    if not len(codes):
+    if not len(points):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    out, base = [], 0
+    out = []
     for n in ORDERS:
-        if len(codes) < n:
+        if len(points) < n:
             break
-        value = np.zeros(len(codes) - n + 1, dtype=np.int64)
-        for i in range(n):
-            value = value * ALPHABET + codes[i : len(codes) - n + 1 + i]
-        out.append((value if n > 1 else value[value > 0]) + base)
-        base += ALPHABET**n
+        value = points[: len(points) - n + 1].copy()
+        for i in range(1, n):
+            value <<= _BITS
+            value |= points[i : len(points) - n + 1 + i]
+        out.append(value if n > 1 else value[value != _GAP])
     every = np.concatenate(out)
     every.sort()
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
@@ -89,24 +77,35 @@ def top(gram: np.ndarray, count: np.ndarray, most: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
-    """A fitted model: the alphabet and the profile of each language, best first."""
+    """A fitted model: the profile of each language, best first.
+
+    Held as three arrays of ``PROFILE`` entries a language, sorted by n-gram.
+    """
 
-    def __init__(self, letters: list[int], profiles: dict[str, np.ndarray]):
-        self.alphabet = Alphabet(letters)
+    def __init__(self, profiles: dict[str, np.ndarray]):
         self.names = sorted(profiles)
-        self.rank = np.full((sum(ALPHABET**n for n in ORDERS), len(self.names)), -1, dtype=np.int16)  # PROFILE places fit
-        for k, name in enumerate(self.names):
-            self.rank[profiles[name], k] = np.arange(len(profiles[name]))
+        gram = np.concatenate([profiles[x] for x in self.names] or [np.zeros(0, dtype=np.int64)])
+        rank = np.concatenate([np.arange(len(profiles[x])) for x in self.names] or [gram])
+        lang = np.repeat(np.arange(len(self.names)), [len(profiles[x]) for x in self.names])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.rank, self.lang = gram[order], rank[order].astype(np.int32), lang[order].astype(np.int32)
+
+    def distances(self, mine: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of a document's n-grams, best first, to each language."""
+        first = np.searchsorted(self.gram, mine, side="left")
+        many = np.searchsorted(self.gram, mine, side="right") - first
+        place = np.repeat(np.arange(len(mine)), many)
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(place))
+        saved = np.bincount(self.lang[at], weights=PROFILE - np.abs(self.rank[at] - place), minlength=len(self.names))
+        return PROFILE * len(mine) - saved
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score from 0 to 1): how much nearer the first profile is than the second."""
-        codes = self.alphabet.encode(text or "")
-        if not len(codes) or not self.names:
+        points = letters(text or "")
+        if not len(points) or not self.names:
             return UNKNOWN, 0.0
-        mine = top(*grams(codes))
-        place = self.rank[mine]
-        apart = np.where(place < 0, PROFILE, np.abs(place - np.arange(len(mine))[:, None]))
-        total = apart.sum(axis=0)
+        mine = top(*grams(points))
+        total = self.distances(mine)
         best = int(np.argmin(total))  # ties: the first name
         if len(total) == 1:
             return self.names[0], 1.0 - float(total[0]) / (PROFILE * len(mine))
@@ -115,41 +114,33 @@ class Profiles:
 
 
 def training_rows(docs: DataFrame, train: Column, *, id_col: str, text_col: str, lang_col: str, fit: int) -> DataFrame:
-    """lang, text of at most ``fit`` documents of each language, chosen by hash of the id."""
-    ids = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    # A language may have most rows: the first of each of its shards, then the first of those.
-    near = ids.withColumn("_h", F.xxhash64("_id")).withColumn("_s", F.pmod("_h", F.lit(64)))
-    for by in (W.partitionBy("_lang", "_s"), W.partitionBy("_lang")):
-        near = near.withColumn("_n", F.row_number().over(by.orderBy("_h", "_id"))).where(F.col("_n") <= fit)
-    chosen = stored(near.select("_id", "_lang").distinct(), "lang_ids")
-    return docs.where(train).join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & (docs[lang_col].cast("string") == chosen["_lang"]), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    """lang, text of about ``fit`` documents of each language, chosen by hash of id and text; repeated rows count once."""
+    held = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("turn"), F.col(text_col).cast("string").alias("text"))
+    # A language may have most rows: each of its shards finds its own first ones, and only their hashes meet,
+    # several times as many as are to be chosen, so that the last hash to choose is among them.
+    shard = W.partitionBy("lang", "shard").orderBy("turn")
+    near = held.select("lang", "turn", F.pmod("turn", F.lit(SHARDS)).alias("shard")).distinct()
+    near = near.withColumn("n", F.row_number().over(shard)).where(F.col("n") <= -(-4 * fit // SHARDS) + 64)
+    met = F.sort_array(F.collect_list("turn"))  # 4 ``fit`` + 65 ``SHARDS`` numbers at most, whatever the corpus
+    last = stored(near.groupBy("lang").agg(met.alias("met")).select("lang", F.element_at("met", F.least(F.lit(fit), F.size("met"))).alias("last")), "lang_last")
+    return held.join(last, "lang").where(F.col("turn") <= F.col("last")).dropDuplicates(["lang", "turn"]).select("lang", "text")
 
 
 def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT) -> Profiles:
     """Profiles of every language among the rows of ``train``.
 
-    At most ``most`` documents of each language are read, whole. What comes to the
-    driver is the alphabet and ``PROFILE`` n-grams of each language.
+    About ``most`` documents of each language are read, whole. What comes to the
+    driver is ``PROFILE`` n-grams of each language.
     """
     sample = stored(training_rows(docs, train, id_col=id_col, text_col=text_col, lang_col=lang_col, fit=most), "lang_fit")
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            points = codepoints("".join(texts(batch.column("text"))).lower())
-            value, n = np.unique(points[is_letter(points)], return_counts=True)
-            yield rows(pa.schema([("letter", pa.int64()), ("n", pa.int64())]), [value.astype(np.int64), n])
-
-    counted = sample.select("text").mapInArrow(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    found = [r["letter"] for r in counted.orderBy(F.desc("n"), "letter").limit(ALPHABET - 2).collect()]
-    alphabet = Alphabet(found)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
-                by.setdefault(lang, []).append(alphabet.encode(text))
-            for lang, codes in by.items():
-                gram, n = grams(np.concatenate(codes))
+                by.setdefault(lang, []).append(letters(text))
+            for lang, points in by.items():
+                gram, n = grams(np.concatenate(points))
                 yield rows(pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]), [[lang] * len(gram), gram, n])
 
     tallied = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -157,7 +148,7 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     profiles: dict[str, dict[int, int]] = {}
     for r in ranked.toLocalIterator():
         profiles.setdefault(r["lang"], {})[r["rank"]] = r["gram"]
-    return Profiles(found, {k: np.array([v[i] for i in sorted(v)], dtype=np.int64) for k, v in profiles.items()})
+    return Profiles({k: np.array([v[i] for i in sorted(v)], dtype=np.int64) for k, v in profiles.items()})
 
 
 def identify(docs: DataFrame, model: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,15 +2,21 @@
 
 The table of sources gets its targets by filling water: each source has its
 weight's share of all words up to ``max_repeat`` times its own size, and what it
-can't take is reshared by weight. Sources are dealt into shards of about
-``shard_tokens`` words, so that a source with a third of all rows is many tasks'.
-A shard whose share of the target is t gets a block for each Sainte-Lague
-quotient t / (k + 1/2), k = 0, 1, ..., that is at least the block size: those are
-the highest quotients, as many as there are blocks to give, so the quota is the
-integer nearest to t / block. No global sort is needed to find them. Whole passes
-over the shard come first; the blocks of the last, partial pass are chosen
-evenly from a seeded start, and since that choice has a closed form, no block
-is ever a row.
+can't take is reshared by weight. A source's text is blocks of equal size,
+``block_tokens`` words or a 256th of the source where that is less, so that a small
+source decides about its own blocks only.
+
+The number of blocks is fixed first: as many as the targets make together. They go to
+the sources with the highest quotients votes / (k + 1/2), k = 0, 1, ..., where a source's
+votes are its target in blocks. Sources are dealt into shards of about
+``shard_tokens`` words, so that a source with a third of all rows is many tasks', and a
+source's blocks go to its shards in the same way, by the words they hold.
+
+No quotient is ranked that can't matter: a divisor that gives out too few blocks for
+certain and one that gives out too many leave about two quotients for each shard
+between them, and only those compete. Whole passes over a shard come first; the
+blocks of the last, partial pass are chosen evenly from a seeded start, and since that
+choice has a closed form, no block is ever a row.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, keyed, stored
 
 SEED, BLOCK, SHARD, REPEAT = "mix-1", 64, 1 << 20, 3
 
@@ -50,33 +56,57 @@ def source_targets(sizes: DataFrame, *, max_repeat: int = REPEAT, weights: int =
     )
 
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, block_tokens: int = BLOCK, shard_tokens: int = SHARD, max_repeat: int = REPEAT) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, passes, start, block, chosen, blocks, turn.
+def apportion(units: DataFrame, *, by: list[str], tie: str) -> DataFrame:
+    """``units`` with a column quota: each group's ``seats``, one for each of its highest quotients votes / (k + 1/2).
+
+    units: rows with votes (double, not negative) and seats (long, the same for all of
+    a group), ``tie`` telling the units of a group apart; of equal quotients the
+    first by it wins. A group without votes gets none.
+    """
+    group = W.partitionBy(*by)
+    votes, half = F.col("votes"), F.col("_n") / 2 + 1
+    counted = units.withColumns({"_total": F.sum("votes").over(group), "_n": F.count(F.lit(1)).over(group)})
+    bound = lambda seats: F.when(F.col("_total") > 0, F.floor(votes * F.greatest(seats, F.lit(0.0)) / F.col("_total") + 0.5)).otherwise(0).cast("long")
+    sure = counted.withColumns({"_sure": bound(F.col("seats") - half), "_most": bound(F.col("seats") + half)})
+    sure = sure.withColumn("_open", F.col("seats") - F.sum("_sure").over(group))
+    each = F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_most") - 1))
+    competing = sure.withColumn("_k", F.explode_outer(each)).withColumn("_quotient", votes / (F.col("_k") + 0.5))
+    place = F.row_number().over(group.orderBy(F.col("_quotient").desc_nulls_last(), tie, "_k"))
+    won = competing.withColumn("_won", (F.col("_k").isNotNull() & (place <= F.col("_open"))).cast("long"))
+    return won.groupBy(*units.columns).agg((F.max("_sure") + F.sum("_won")).alias("quota"))
+
+
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, block_tokens: int = BLOCK, shard_tokens: int = SHARD, max_repeat: int = REPEAT, key_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, passes, quota, block and, if asked for, key.
 
     taken: the words that the mix takes of it, repeats counted, never over
     ``max_repeat`` times its size; it comes from ``passes`` whole copies and the
-    words of chosen blocks. Null text has size 0. An empty table gives no rows; if
-    every text is empty, all targets are 0. Equal ids order by size. The block
-    size is ``block_tokens``, or less where a source is so small that blocks of
-    that size could not come near its target (a 256th of the smallest source).
+    words of chosen blocks. quota: the blocks of its shard. Null text has size 0. An empty table
+    gives no rows; if every text is empty, all targets are 0. Documents of a shard stand in the order of a seeded
+    hash of id and text; repeated rows are documents of their own, alike but for their places.
     """
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    turn = _digits(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
+    key = (F.col(key_col) if key_col else F.lit(0)).alias("key")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), turn.alias("turn"), key), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat=max_repeat)
-    every = W.partitionBy()
-    small = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
-    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.coalesce(small, F.lit(0)) / 256)).cast("long")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
-    t = targets.select(F.col("source").alias("source_t"), "source_size", "target", "block", "shards")
-    dealt = (
-        sized.join(t, sized["source"].eqNullSafe(t["source_t"]))
-        .withColumn("turn", _digits(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .withColumn("shard", F.pmod(F.col("turn"), F.col("shards")))
+    targets = (
+        targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.expr("source_size div 256"))).cast("long"))
+        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
+        .withColumn("number", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
+        .withColumn("votes", F.col("target") / F.col("block"))
+        .withColumn("seats", F.floor(F.sum("votes").over(W.partitionBy()) + 0.5).cast("long"))
     )
-    shard = W.partitionBy("source", "shard")
+    columns = ["number", "source_size", "target", "block", "shards"]
+    sources = stored(apportion(targets.select(F.col("source").alias("source_t"), *columns, "votes", "seats"), by=[], tie="number").select("source_t", *columns, "quota"), "sources")
+    dealt = sized.join(sources, sized["source"].eqNullSafe(sources["source_t"])).withColumn("shard", F.pmod(F.col("turn"), F.col("shards")))
+    held = dealt.groupBy("number", "shard").agg(F.sum("size").alias("held"), F.max("quota").alias("seats"), F.sum("size").cast("double").alias("votes"))
+    shards = apportion(held, by=["number"], tie="shard").select("number", "shard", "held", "quota")
+    shard = W.partitionBy("number", "shard")
     at = shard.orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    laid = dealt.withColumn("held", F.sum("size").over(shard)).withColumn("stop", F.sum("size").over(at)).withColumn("start", F.col("stop") - F.col("size"))
-    full = F.col("target") * F.col("held") / F.greatest(F.col("source_size"), F.lit(1))
     quota = (
-        laid.withColumn("quota", F.floor(full / F.col("block") + 0.5).cast("long"))
+        dealt.drop("quota").join(shards, ["number", "shard"])
+        .withColumn("stop", F.sum("size").over(at)).withColumn("start", F.col("stop") - F.col("size"))
         .withColumn("give", F.least(F.col("quota") * F.col("block"), F.col("held") * max_repeat))
         .withColumn("passes", F.expr("give div greatest(held, 1)"))
         .withColumn("blocks", F.expr("greatest(held div block, 1)"))
@@ -84,7 +114,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("turn", F.pmod(_digits(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")), F.lit(":"), F.col("shard").cast("string")), F.col("blocks")))
     )
     part = before("stop") - before("start")
-    return quota.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "passes", "start", "block", "chosen", "blocks", "turn")
+    return quota.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "passes", "quota", "block", *(["key"] if key_col else []))
 
 
 def before(at: str) -> Column:
@@ -95,52 +125,53 @@ def before(at: str) -> Column:
     )
 
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: all columns, without documents of which nothing is taken.
+def mixed_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", seed: str = SEED, **options) -> DataFrame:
+    """``docs`` as the mix takes them: all columns, whatever their names, without documents of which nothing is taken.
 
     A text is its whole copies, one to a line, and then as many words as chosen blocks
     take of it: one run of words from a seeded start, whatever the block size, so that small
-    blocks don't make texts of scattered words; ``n_chars``, where there is such a column, is its new length. ids must
-    be unique; rows that share an id are mixed as one draw each would be.
+    blocks don't make texts of scattered words; ``chars_col``, where there is such a column, is its new length.
+    Each row takes what the plan gives to that very row, whatever other rows share its id.
     """
-    plan = plan_mix(docs, **options)
-    p = plan.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "passes")
-    # Rows that share both id and size have the same choice to make: pair them off by rank.
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    p = p.groupBy("_id", "_size").agg(F.max_by(F.struct(*[c for c in p.columns if c not in ("_id", "_size")]), F.col("_taken")).alias("_p")).select("_id", "_size", "_p.*")
-    found = docs.withColumn("_n", size).join(p, docs["doc_id"].eqNullSafe(p["_id"]) & (F.col("_n") == F.col("_size")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    more = F.col("_taken") - F.col("passes") * F.col("_n")
-    start = F.pmod(F.xxhash64(F.lit(SEED), "_id", "_n"), F.col("_n") - more + 1)
+    held = keyed(docs, "mixed_rows")
+    of = lambda c: F.col(f"row.`{c}`")
+    ids = held.select("key", of(id_col).alias("doc_id"), of(text_col).alias("text"), of(source_col).alias("source"))
+    plan = plan_mix(ids, seed=seed, key_col="key", **options).where("taken > 0").select("key", "size", "taken", "passes")
+    words = F.regexp_extract_all(of(text_col), F.lit(WORD), F.lit(0))
+    more = F.col("taken") - F.col("passes") * F.col("size")
+    start = F.pmod(F.xxhash64(F.lit(seed), of(id_col), of(text_col)), F.col("size") - more + 1)
     extra = F.when(more > 0, F.array_join(F.slice(words, (start + 1).cast("int"), more.cast("int")), " "))
-    text = F.concat_ws("\n", F.when(F.col("passes") > 0, F.concat_ws("\n", F.array_repeat(F.col("text"), F.col("passes").cast("int")))), extra)
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
-
-
-_TARGETS_SQL = f"""
-n AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM {{docs}}),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
-r AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS BIGINT) AS weight FROM s),
-l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * {REPEAT}) OVER (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, least(source_size * {float(REPEAT)}, CAST(max(level) OVER () AS DOUBLE) * weight) AS target,
-  CAST(floor(greatest(1, least({BLOCK}, coalesce(min(CASE WHEN source_size > 0 THEN source_size END) OVER (), 0) / 256))) AS BIGINT) AS block,
-  CAST(greatest(1, ceil(source_size / {SHARD})) AS BIGINT) AS shards FROM l)"""
+    text = F.concat_ws("\n", F.when(F.col("passes") > 0, F.concat_ws("\n", F.array_repeat(of(text_col), F.col("passes").cast("int")))), extra)
+    new = {text_col: F.col("mixed"), chars_col: F.char_length("mixed")}
+    found = held.join(plan, "key").select("row", text.alias("mixed"))
+    return found.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else of(c)).alias(c) for c in docs.columns])
 
 
 def oracle_sql(docs: str = "documents") -> str:
+    """The plan in SQL: there all quotients up to each unit's bound are ranked."""
     before = lambda at: f"(block * ((least({at} // block, blocks) * chosen + turn) // blocks) + CASE WHEN {at} // block < blocks THEN ((({at} // block + 1) * chosen + turn) // blocks - (({at} // block) * chosen + turn) // blocks) * ({at} % block) ELSE 0 END)"
     digits = lambda x: f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
     return f"""
-WITH {_TARGETS_SQL.format(docs=docs)},
-d AS (SELECT n.doc_id, n.source, n.size, t.source_size, t.target, t.block, {digits(f"'{SEED}:' || coalesce(CAST(n.doc_id AS VARCHAR), '')")} AS turn, t.shards FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
-h AS (SELECT *, turn % shards AS shard FROM d),
-p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS held, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM h),
-q AS (SELECT * REPLACE ({digits(f"'{SEED}:' || coalesce(source, '') || ':' || shard")} AS turn), stop - size AS start, least(CAST(floor(target * held / greatest(source_size, 1) / block + 0.5) AS BIGINT) * block, held * {REPEAT}) AS give, greatest(held // block, 1) AS blocks FROM p),
-f AS (SELECT * REPLACE (turn % blocks AS turn), give // greatest(held, 1) AS passes FROM q),
-c AS (SELECT *, least((give - passes * held) // block, held // block) AS chosen FROM f)
-SELECT doc_id, size, source_size, target, passes * size + {before('stop')} - {before('start')} AS taken FROM c
+WITH n AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  {digits(f"'{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))")} AS turn FROM {docs}),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY source ASC NULLS LAST) AS BIGINT) AS number FROM s),
+w AS (SELECT *, 1 + (number - 1) % 3 AS weight FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * {REPEAT}) OVER (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY source_size / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, number, source_size, least(source_size * {float(REPEAT)}, CAST(max(level) OVER () AS DOUBLE) * weight) AS target,
+  CAST(greatest(1, least({BLOCK}, source_size // 256)) AS BIGINT) AS block, CAST(greatest(1, ceil(source_size / {SHARD})) AS BIGINT) AS shards FROM l),
+v AS (SELECT *, target / block AS votes, CAST(floor(sum(target / block) OVER () + 0.5) AS BIGINT) AS seats, sum(target / block) OVER () AS total, count(*) OVER () AS units FROM t),
+a AS (SELECT number, seats, votes / (k + 0.5) AS quotient, k FROM v, unnest(range(0, least(seats, CAST(floor(votes * (seats + units / 2 + 1) / greatest(total, 1e-9) + 1.5) AS BIGINT)))) AS u(k) WHERE votes > 0),
+b AS (SELECT number, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, number, k) AS place FROM a) WHERE place <= seats GROUP BY number),
+d AS (SELECT n.*, v.number, v.source_size, v.target, v.block, n.turn % v.shards AS shard, coalesce(b.quota, 0) AS seats FROM n JOIN v ON n.source IS NOT DISTINCT FROM v.source LEFT JOIN b USING (number)),
+h AS (SELECT number, shard, CAST(sum(size) AS BIGINT) AS held, max(seats) AS seats FROM d GROUP BY number, shard),
+g AS (SELECT *, count(*) OVER (PARTITION BY number) AS units, sum(held) OVER (PARTITION BY number) AS total FROM h),
+e AS (SELECT number, shard, seats, held / (k + 0.5) AS quotient, k FROM g, unnest(range(0, least(seats, CAST(floor(held * (seats + units / 2 + 1) / greatest(total, 1) + 1.5) AS BIGINT)))) AS u(k) WHERE held > 0),
+f AS (SELECT number, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY quotient DESC, shard, k) AS place FROM e) WHERE place <= seats GROUP BY number, shard),
+p AS (SELECT d.*, h.held, coalesce(f.quota, 0) AS quota, CAST(sum(size) OVER (PARTITION BY d.number, d.shard ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM d JOIN h USING (number, shard) LEFT JOIN f USING (number, shard)),
+q AS (SELECT * REPLACE ({digits(f"'{SEED}:' || coalesce(source, '') || ':' || shard")} AS turn), stop - size AS start, least(quota * block, held * {REPEAT}) AS give, greatest(held // block, 1) AS blocks FROM p),
+c AS (SELECT * REPLACE (turn % blocks AS turn), give // greatest(held, 1) AS passes FROM q),
+x AS (SELECT *, least((give - passes * held) // block, held // block) AS chosen FROM c)
+SELECT doc_id, size, source_size, target, CAST(passes * size + {before('stop')} - {before('start')} AS BIGINT) AS taken FROM x
 """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, texts
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Items of a group, groups that meet at the next level, and free tokens with which a bin is nearly full.
@@ -34,10 +34,11 @@ def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, b
         yield piece, at // 4, len(part) // 4, part
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit).
 
-    Null text counts as empty: a piece of the end id alone.
+    Null text counts as empty: a piece of the end id alone. forget: drop a worker's words at the end of each
+    task, where the memory is worth more than meeting them again.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shape = source.select("doc_id", F.lit(0).alias("piece"), *(F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32")), *([F.lit(b"").alias("ids")] if with_ids else []))
@@ -46,7 +47,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder("word", path)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             at, out = [], []
             for row, ids in enumerate(known.encode(texts(batch.column("text")))):
                 for piece, start, length, part in cut(ids + end, capacity):
@@ -55,6 +56,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = [pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *cols], names=names)
+        if forget:
+            known.forget()
 
     return source.mapInArrow(run, shape.schema)
 
@@ -124,7 +127,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP, fan_
         rest = rest.select("item", "length", F.pmod(F.col("grp"), F.lit(groups)).alias("grp"))
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = False, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = False, group: int = GROUP, forget: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
 
     Documents longer than ``capacity`` tokens (end id included) are cut into pieces
@@ -133,6 +136,6 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     joining ids gives the sequences. Repeated rows and null ids are pieces like
     any other; an empty table gives no rows.
     """
-    each = pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, path=path, with_ids=with_ids)
+    each = pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, path=path, with_ids=with_ids, forget=forget)
     each = stored(each.withColumn("item", F.monotonically_increasing_id()), "pieces")
     return each.join(pack(each.select("item", "length"), capacity=capacity, group=group), "item").drop("item")

@@ -22,10 +22,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, small_batches, stored, utf8
+from .common import keyed, rows, small_batches, stored, utf8
 from .components import components, union
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -58,20 +58,15 @@ def fingerprint(text: bytes, words_each: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def text_digest(text: Column) -> Column:
-    """Tells rows that share an id by their texts."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the text, fp (the fingerprint's bits as a signed long); null text counts as empty."""
-    source = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    out = source.select("doc_id", "digest", F.lit(0).cast("long").alias("fp"))
+    """doc_id, fp (the fingerprint's bits as a signed long); null text counts as empty."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = source.select("doc_id", F.lit(0).cast("long").alias("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             fp = np.fromiter((fingerprint(x, words_each) for x in utf8(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return source.mapInArrow(run, out.schema)
 
@@ -223,26 +218,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``max_bits`` differing bits (null ids lose to any other); kept marks its row.
     An empty table gives no rows; repeated rows are each returned.
     """
-    return _grouped(docs, id_col=id_col, text_col=text_col, words_each=words_each, max_bits=max_bits).drop("digest")
-
-
-def _grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``near_duplicates`` with the digest of each row's text."""
     each = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words_each=words_each), "fingerprints")
     groups = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     roots = stored(components(fingerprint_links(groups, max_bits=max_bits)), "roots")
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(known, "fp").select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return each.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that of the smallest id; all columns stay.
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id; all columns stay, whatever their names.
 
-    An id that goes for one text may stay for another: the text decides too.
+    Null ids come after any other. Rows are told apart by a key of their own, so that rows
+    that share an id stay or go each by its text. An empty table stays empty.
     """
-    found = _grouped(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "digest").distinct()
-    found = stored(found, "near_copies")  # of a size that Spark then knows: if it is small, texts aren't shuffled
-    same = docs[options.get("id_col", "doc_id")].eqNullSafe(found["gone_id"]) & (text_digest(docs[options.get("text_col", "text")]) == found["digest"])
-    return docs.join(found, same, "left_anti")
+    held = keyed(docs, "near_rows")
+    name = F.col(f"row.`{id_col}`")
+    ids = held.select(F.struct(name.isNull().alias("none"), name.alias("id"), F.col("key")).alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    # Stored, so of a size that Spark then knows: if it is small, texts aren't shuffled.
+    gone = stored(near_duplicates(ids, words_each=words_each, max_bits=max_bits).where(~F.col("kept")).select("doc_id.key"), "near_copies")
+    return held.join(gone, "key", "left_anti").select("row.*")

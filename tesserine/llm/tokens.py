@@ -25,8 +25,13 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+"
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+"
 #: Any but Basic Latin, Latin-1 and Latin Extended A without controls, the hard space and hyphen, ordinal signs, raised digits, fractions and dotted I.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f]")
-#: Words that a worker meets before it drops those not met since it last did so; bounds its memory, not what is encoded.
-KNOWN = 250_000
+#: Bytes of words and ids that a worker holds before it drops those not met since it last did so (twice as many at most), and the
+#: longest word it holds. They bound its memory, not what is encoded.
+HELD_BYTES, LONGEST = 36_000_000, 64
+#: Bytes of text to encode at a time: their words are in memory one by one.
+TEXT_BYTES = 2_000_000
+#: Bytes of an entry beside its word and ids, and words that go through the tokenizer at a time.
+_ENTRY, _PART = 180, 2_000
 
 
 class Encoder:
@@ -49,8 +54,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.lower = kind == "word"
         self.words = re.compile(WORD_PATTERN if kind == "word" else BYTE_PATTERN).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words, as at the end of a job that others follow in the same worker."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,19 +72,25 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = [self.words(x.lower() if self.lower else x) if UNUSUAL.search(x) is None else None for x in texts]
+        if self.size > HELD_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
         new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(w for w in cut if w))))
-        if len(self.known) > KNOWN:
-            self.older, self.known = self.known, {}
-            new = list(set(chain.from_iterable(w for w in cut if w)))
         if self.older:
             again = {w: self.older[w] for w in new if w in self.older}
-            self.known.update(again)
+            self._hold(again)
             new = [w for w in new if w not in again]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
+        for at in range(0, len(new), _PART):
+            part = new[at : at + _PART]
+            self._hold(dict(zip(part, self._ids(part), strict=True)))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self._ids([x])[0] for w, x in zip(cut, texts, strict=True)]
+        out = [b"".join(map(get, w)) if w is not None else self._ids([x])[0] for w, x in zip(cut, texts, strict=True)]
+        for w in [w for w in new if len(w) > LONGEST]:
+            self.size -= len(w) + len(self.known.pop(w)) + _ENTRY
+        return out
+
+    def _hold(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + _ENTRY * len(found)
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -36,9 +36,26 @@ def test_exact_drop_keeps_one_row_and_all_columns(make):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0 and exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
-def test_exact_runs_no_python(make):
-    plan = exact_dedup.merge_runs(exact_dedup.digests(make(EDGE)))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+def test_exact_rounds_sort_and_merge(spark, make):
+    """Executed as it is planned: a sort and a sorted aggregate in every round, and no Python."""
+    merged = exact_dedup.merge_runs(exact_dedup.digests(make(EDGE)))
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.search("Python|Arrow|Pandas|HashAggregate", plan)
+    rounds = 4  # 64 runs, four at a time, down to one
+    assert len(re.findall(r"SortAggregate\(", plan)) >= rounds and len(re.findall(r"[ -]Sort \[", plan)) >= rounds
+
+
+def test_exact_drop_goes_by_row_and_normalised_text(make):
+    rows = [(7, "A b", None, None), (7, "a b", None, None), (7, None, None, None), (7, "", None, None), (None, "A B", None, None), (8, "c", None, None), (None, "d", None, None), (None, "D", None, None)]
+    clash = ", key long, row int, doc_id2 int, none boolean, id int, digest string, size int, stays long"
+    docs = make([(*r, 1, 2, 3, True, 4, "x", 5, 6) for r in rows], clash)
+    for keep in ("max", "min"):
+        left = exact_dedup.drop_copies(docs, keep=keep)
+        assert left.columns == docs.columns
+        assert sorted(((r["doc_id"] or 0, (r["text"] or "").lower(), r["key"]) for r in left.collect())) == [(0, "d", 1), (7, "", 1), (7, "a b", 1), (8, "c", 1)]
+    left = {(r["doc_id"], (r["text"] or "").lower()) for r in simhash.drop_near_copies(docs).collect()}
+    assert {(7, "a b"), (8, "c"), (None, "d")} <= left
 
 
 def slow_fingerprint(text):

@@ -77,6 +77,38 @@ def test_mix_edges(make):
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
 
 
+def brute_apportionment(votes, seats):
+    """One seat after another to the highest quotient."""
+    got = [0] * len(votes)
+    for _ in range(seats if any(votes) else 0):
+        got[max(range(len(votes)), key=lambda i: (votes[i] / (got[i] + 0.5), -i))] += 1
+    return got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_apportionment_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    groups = [([rng.choice([0.0, 1.0, 2.0, rng.uniform(0, 5), rng.uniform(0, 300), rng.paretovariate(0.5)]) for _ in range(rng.randrange(1, 30))], rng.randrange(200)) for _ in range(12)]
+    rows = [(g, i, v, seats) for g, (votes, seats) in enumerate(groups) for i, v in enumerate(votes)]
+    got = {(r["g"], r["i"]): r["quota"] for r in mixing.apportion(spark.createDataFrame(rows, "g int, i int, votes double, seats long"), by=["g"], tie="i").collect()}
+    for g, (votes, seats) in enumerate(groups):
+        assert [got[g, i] for i in range(len(votes))] == brute_apportionment(votes, seats)
+
+
+def test_mix_rows_are_apart_and_names_may_clash(make):
+    """Rows that share id and size take their own shares; internal names are free for other columns."""
+    rows = [(None if i % 3 else 5, " ".join(f"w{i % 7 if i % 2 else i}" for _ in range(50)), "en", "ab"[i % 2]) for i in range(200)]
+    names = ["start", "block", "turn", "passes", "_n", "_id", "key", "row", "quota", "size", "mixed", "number", "shard", "votes", "seats", "stop"]
+    docs = make([(*r, *range(len(names))) for r in rows], "".join(f", {n} int" for n in names))
+    plan, out = mixing.plan_mix(docs).collect(), mixing.mixed_texts(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sum(len(words(r["text"])) for r in got) == sum(r["taken"] for r in plan) and all([r[n] for n in names] == list(range(len(names))) for r in got)
+    target = {r["source"]: r["target"] for r in plan}
+    for s, t in target.items():
+        assert abs(sum(r["taken"] for r in plan if r["source"] == s) - t) <= 0.02 * t
+
+
 def test_mix_equals_sql(make, tmp_path):
     docs = make([(i, "w " * (i % 30), "en", ["a", "b", None, "c"][i % 4]) for i in range(500)])
     docs.write.parquet(str(tmp_path / "d"))
@@ -249,10 +281,10 @@ def test_registry():
 
 
 def test_tiny_source_leaves_texts_in_runs(make):
-    """With single-word blocks, what is taken of a text besides whole copies is still one run of its words."""
+    """A small source has small blocks, others don't; what is taken of a text besides whole copies is one run of its words."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "ab"[i % 2]) for i in range(200)] + [(999, "tiny", "en", "c")]
     docs = make(rows)
-    assert {r["block"] for r in mixing.plan_mix(docs).select("block").collect()} == {1}
+    assert {(r["source"], r["block"]) for r in mixing.plan_mix(docs).select("source", "block").collect()} == {("a", 23), ("b", 23), ("c", 1)}
     text, cut = {r[0]: r[1] for r in rows}, 0
     for r in mixing.mixed_texts(docs).collect():
         *whole, last = r["text"].split("\n")

@@ -42,9 +42,42 @@ def test_language_without_training(make):
     assert [r["lang_pred"] for r in got] == ["und"] and language.identify_held_out(make([])).count() == 0
 
 
+def brute_profile(texts, most=400):
+    """n-grams of one to three letters or gaps, most frequent first, ties by the letters' numbers (a gap is 1)."""
+    n = Counter()
+    for text in texts:
+        marked = "\1" + "\1".join("".join(c if c.isalpha() else "\1" for c in text.lower()).replace("\1", " ").split()) + "\1"
+        n.update(marked[i : i + k] for k in (1, 2, 3) for i in range(len(marked) - k + 1) if marked[i : i + k] != "\1")
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(n, key=lambda g: (-n[g], number(g)))[:most], number
+
+
 def test_out_of_place_distance():
-    profiles = language.Profiles([ord(c) for c in "ab"], {"x": np.array([1, 2]), "y": np.array([2])})
-    assert profiles.predict("aab")[0] == "x" and profiles.predict("bbb")[0] in ("x", "y") and profiles.predict("...") == ("und", 0.0)
+    fit = {"x": "aab abba é 日本", "y": "bbb 日語 кот", "z": "кит кот"}
+    names, ranked = list(fit), {k: brute_profile([t]) for k, t in fit.items()}
+    profiles = language.Profiles({k: np.array([number(g) for g in grams]) for k, (grams, number) in ranked.items()})
+    for text in ("aab", "bbb", "日本語", "кот и кит", "q"):
+        mine, number = brute_profile([text])
+        want = [sum(abs(ranked[k][0].index(g) - i) if g in ranked[k][0] else 400 for i, g in enumerate(mine)) for k in names]
+        assert profiles.distances(language.top(*language.grams(language.letters(text)))).tolist() == want
+        assert profiles.predict(text)[0] == names[want.index(min(want))]
+    assert profiles.predict("...") == ("und", 0.0)
+
+
+def test_language_equals_brute_force(make, corpus):
+    """The whole query against profiles and distances in plain Python."""
+    docs = make(corpus)
+    train = {}
+    for i, text, lang, _ in corpus:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            train.setdefault(lang, []).append(text)
+    ranked = {k: brute_profile(t)[0] for k, t in sorted(train.items())}
+    got = {r["doc_id"]: r for r in language.identify_held_out(docs).collect()}
+    for i, text, *_ in corpus[::5]:
+        mine = brute_profile([text])[0]
+        far = {k: sum(abs(p.index(g) - at) if g in p else 400 for at, g in enumerate(mine)) for k, p in ranked.items()}
+        first, second = sorted(far.values())[:2]
+        assert got[i]["lang_pred"] == min(far, key=far.get) and abs(got[i]["score"] - (second - first) / second) < 1e-12
 
 
 def marks(spark, rows):
