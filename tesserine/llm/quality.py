@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import id_hash, rows, small_batches, stored, utf8
 
-#: Rows of the embedding table, its width, byte lengths of character n-grams, and most training documents.
-BUCKETS, WIDTH, NGRAMS, FIT = 1 << 17, 8, (3, 4), 4000
+#: Rows of the embedding table, its width, byte lengths of character n-grams, most training documents, and most bytes of their texts.
+BUCKETS, WIDTH, NGRAMS, FIT, FIT_BYTES = 1 << 17, 8, (3, 4), 4000, 128 << 20
 EPOCHS, RATE, SEED = 12, 0.5, 11
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,15 +107,19 @@ def train(sample: list[tuple[bytes, int]], *, epochs: int = EPOCHS, rate: float
     return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str, text_col: str, label_col: str, fit: int) -> list[tuple[bytes, int]]:
-    """At most ``fit`` labelled rows of ``train``, chosen by hash of the id, in order of that hash."""
-    mark = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    known = mark.where(F.col("_id").isNotNull()).withColumnRenamed("_id", id_col).where(train).withColumnRenamed(id_col, "_id")
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(fit)
+def training_rows(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str, text_col: str, label_col: str, fit: int, fit_bytes: int = FIT_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``fit`` labelled rows of ``train``, chosen by hash of the id, in order of that hash, until their texts have ``fit_bytes``."""
+    known = labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    chosen = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(fit)
     chosen = stored(chosen, "fit")
-    found = docs.join(chosen, docs[id_col] == chosen["_id"]).select(F.col("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"), "_label")
-    taken = [(r["_id"], bytes(r["_text"]), r["_label"]) for r in found.orderBy(F.xxhash64("_id"), "_id").limit(fit).toLocalIterator()]
-    return [(text, label) for _, text, label in taken]
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text")).join(chosen, "_id")
+    taken, size = [], 0
+    for r in found.orderBy(F.xxhash64("_id"), "_id", "_text").limit(fit).toLocalIterator():
+        taken.append((bytes(r["_text"]), r["_label"]))
+        size += len(r["_text"])
+        if size >= fit_bytes:
+            break
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT) -> Model:

@@ -9,11 +9,12 @@ windows tell, and its score the share of toxic documents among training document
 at that distance, made monotone.
 
 Toxic documents are ordinary text for the most part, and dictionaries trained on
-two samples of ordinary text differ by chance far more than by a few words. So the
-toxic material is distilled first: fragments that toxic training documents have in many
-different surroundings and ordinary ones hardly at all. Both dictionaries share
-their ordinary material, trained by zstandard, but for the end, where one has the
-toxic fragments, so that a difference in length is about these alone.
+two samples of ordinary text differ by chance far more than by a few words. So the samples
+that zstandard trains the toxic dictionary on are distilled first: of the training half's toxic
+documents, those stretches that toxic ones have in many different surroundings and ordinary ones hardly at all. What of
+them enters the dictionary, how often and in which order, is the trainer's choice. The other dictionary is trained on
+ordinary text, and as common ground it also stands before the toxic one's material, so that a
+difference in length is about that material.
 """
 
 from __future__ import annotations
@@ -30,15 +31,17 @@ from pyspark.sql import functions as F
 from .common import id_hash, small_batches, utf8
 from .quality import training_rows
 
-#: Bytes of a window and of a dictionary, compression level, and most training documents of either label.
+#: Bytes of a window and of the ordinary dictionary, compression level, and most training documents of either label.
 WINDOW, DICTIONARY, LEVEL, FIT = 96, 16 << 10, 8, 3000
-#: Bytes of a toxic fragment (the shortest is zstandard's shortest match here), texts and surroundings that it has at least, times as
-#: common as in ordinary texts at least, times as many texts that have it, and fragments at most.
 #: Stands before each window and in both dictionaries, so that a window always has a match and is never stored as it is.
 LEAD = bytes(range(0x80, 0xC0)) + b" "
-#: Bytes saved that count as most, and windows that make up a document's distance.
+#: Bytes saved that count as most, and windows that make up a document's distance: the most telling of all its windows.
 MOST, TOP = 12, 5
-FRAGMENT, CONTEXTS, RATIO, HELD, FRAGMENTS = (5, 7), 6, 30.0, 5.0, 400
+#: Bytes of a toxic fragment (the shortest is zstandard's shortest match here), surroundings that it has at least, times as
+#: common as in ordinary texts at least, and times as many texts that have it.
+FRAGMENT, CONTEXTS, RATIO, HELD = (5, 7), 6, 30.0, 5.0
+#: Least bytes of the toxic dictionary, its bytes for each byte of distinct fragments, and occurrences in one training sample.
+TOXIC, REPEATS, TOGETHER = 512, 4, 8
 
 
 def normal(text: bytes) -> bytes:
@@ -90,11 +93,11 @@ def distil(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     good = (rate >= RATIO) & (held_by >= HELD)
     gram, against = gram[good], against[good]
     clean = set(gram[against == 0].tolist())
-    rest = np.unique(np.concatenate([_grams(t, True)[0] for t in ordinary[:1000]])) if ordinary else None
+    rest = np.unique(np.concatenate([_grams(t, True)[0] for t in ordinary])) if ordinary else None
     texts = list(toxic)
     held = [g[np.isin(g, gram, assume_unique=True)] for g, _ in each]
     chosen: list[bytes] = []
-    while len(chosen) < FRAGMENTS:
+    while True:  # each turn strikes out words of several texts
         value, n = np.unique(np.concatenate(held), return_counts=True)
         picked, passed = None, []
         for k in np.lexsort((value, -n)):
@@ -189,20 +192,34 @@ def unlike(texts: list[bytes], words_each: int = 5, most: float = 0.4) -> list[b
     return kept
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = DICTIONARY) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionary contents; texts are normal ones.
+def occurrences(fragments: list[bytes], texts: list[bytes], together: int = TOGETHER) -> list[bytes]:
+    """Training samples: the fragments as the texts have them, in a fixed random order, several to a sample.
 
-    Both end alike in length: where one has the toxic fragments, parted by a byte
-    that no UTF-8 text has, the other has that byte alone.
+    They are parted by a byte that no UTF-8 text has, so that no match runs over two of them.
     """
-    special = b"\xff" + b"\xff".join(distil(unlike(toxic), unlike(ordinary))[::-1]) + b"\xff"
-    samples = [w for t in ordinary for w in windows(t, 512)][:20000]
+    if not fragments:
+        return []
+    any_of = re.compile(b"|".join(re.escape(f) for f in sorted(fragments, key=len, reverse=True)))
+    found = [f for t in texts for f in any_of.findall(t)]
+    found = [found[i] for i in np.random.default_rng(0).permutation(len(found))]
+    return [b"\xff" + b"\xff".join(found[i : i + together]) + b"\xff" for i in range(0, len(found), together)]
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A zstandard dictionary's content; of samples too few or too small to train on, they themselves."""
     try:
-        base = zstandard.train_dictionary(size, samples, level=3).as_bytes()
-    except zstandard.ZstdError:  # too few or too small
-        base = b"".join(samples)
+        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = DICTIONARY) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionary contents; texts are normal ones. They are of equal length, the ordinary one filled up."""
+    fragments = distil(unlike(toxic), unlike(ordinary))
+    own = trained(max(TOXIC, REPEATS * sum(len(f) + 1 for f in fragments)), occurrences(fragments, toxic))
+    base = trained(size, [w for t in ordinary for w in windows(t, 512)])
     base = base[-(size * 3 // 4) :]  # its content stands at its end, after its tables
-    return LEAD + base + special, LEAD + base + b"\xff" * len(special)
+    return LEAD + base + own, LEAD + base + b"\xff" * len(own)
 
 
 class Model:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -248,3 +249,62 @@ def test_rejected_rows_go_by_row_not_by_id(make, corpus):
     rows = [(None, None, None, None), (None, "the house and the water", "en", "s"), (5000, "12 !", "en", None), (5000, "das haus und das wasser", "de", None)]
     left = [(r["doc_id"], r["text"]) for r in language.keep_identified(make(corpus + rows)).collect()]
     assert len(left) == len(corpus) + 2 and {(None, rows[1][1]), (5000, rows[3][1])} <= set(left)
+
+
+def test_distances_equal_compressed_lengths():
+    """A text's distance from plain zstandard calls, window by window, and its score from the calibration's table."""
+    import zstandard
+
+    rng = random.Random(9)
+    toxic = [(prose(rng, "en") + f" zorgblat {rng.choice(WORDS['en'].split())} " + prose(rng, "en", 9) + " vexnarg").encode() for _ in range(120)]
+    ordinary = [prose(rng, "en", 50).encode() for _ in range(300)]
+    model = toxicity.train(toxic, ordinary)
+    assert any(x in model.contents[0] for x in (b"zorgb", b"vexna")) and b"zorgb" not in model.contents[1]
+    for text in toxic[:5] + ordinary[:5] + [b"", "é 日本 \xa0".encode(), b"zorgblat " * 5000]:
+        plain = []
+        for w in toxicity.windows(b" " + b" ".join(text.lower().split()) + b" "):
+            size = []
+            for c in model.contents:
+                p = zstandard.ZstdCompressionParameters.from_level(8, min_match=5, source_size=96, dict_size=len(c), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
+                d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity.LEAD + w)))
+            plain.append(min(12, max(0, size[1] - size[0])))
+        best = sorted((model.evidence[x] for x in plain), reverse=True)[:5]
+        assert model.distance(text) == int(4 * sum(sorted(best)) + 0.5)
+        assert model.score(text) == model.shares[min(max(model.distance(text) - model.low, 0), len(model.shares) - 1)]
+
+
+def test_classifiers_bear_internal_names(spark, make):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, "en") + (" zorgblat" * 3 if i % 3 == 0 else ""), "en", "s", 1, 2, 3, "t") for i in range(90)]
+    docs = make(rows, ", _id int, _label int, doc int, _text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0), 5, 6) for i in range(90)], "doc_id long, quality int, toxic int, _id int, text int")
+    for module in (quality, toxicity):
+        assert module.classify_held_out(docs, labels).count() == 90
+
+
+def test_quality_score_equals_plain_sums():
+    """A trained model's score from features that plain Python finds."""
+    rng = random.Random(3)
+    sample = [(prose(rng, "en").encode(), 1) for _ in range(40)] + [(prose(rng, "de").upper().encode(), 0) for _ in range(40)]
+    model = quality.train(sample, epochs=3)
+    mask = 2**64 - 1
+    bucket = lambda x: ((x * 0x9E3779B97F4A7C15) & mask) >> 47
+
+    def word_hash(word):
+        total = 0
+        for place, byte in enumerate(b" " + word):
+            m = ((byte + 256 * place) * 0xD6E8FEB86659FD93) & mask
+            total = (total + (m ^ (m >> 29))) & mask
+        m = (0x20 * 0xD6E8FEB86659FD93) & mask
+        return (total - (m ^ (m >> 29))) & mask
+
+    for text in [sample[0][0], sample[-1][0], b"", b"one", b"a  b\tb b", "é à".encode()]:
+        words = re.split(rb"[\x20\x09-\x0d]+", text)
+        raw = re.sub(rb"[\x20\x09-\x0d]+", b" ", b" " + text + b" ")
+        found = [bucket(int.from_bytes(raw[i : i + n], "big") + (n << 8 * n)) for n in (3, 4) for i in range(len(raw) - n + 1)]
+        h = [word_hash(w) for w in words if w]
+        found += [bucket(x ^ 0x5851F42D4C957F2D) for x in h] if h else []
+        found += [bucket(((a ^ b) + lag) & mask) for lag in (1, 2) for a, b in zip(h, h[lag:], strict=False)]
+        logit = model.bias + (sum(model.evidence[x] for x in found) / len(found) if found else 0.0)
+        assert abs(model.score(text) - 1 / (1 + math.exp(-logit))) < 1e-9
