@@ -153,6 +153,21 @@ def test_embeddings_equal_brute_force(spark):
         assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+def test_boxes_part_what_no_link_joins():
+    """Each vector reaches the boxes of all vectors that it links with, and in clusters far apart few others."""
+    rng = np.random.default_rng(6)
+    centers = embed_dedup.unit(rng.normal(size=(12, 6)))
+    u = embed_dedup.unit(np.repeat(centers, 60, axis=0) + 0.02 * rng.normal(size=(720, 6)))
+    r = u @ embed_dedup.axes(u)
+    cuts = embed_dedup.Cuts(r, 16)
+    own, rows, boxes = cuts.near(r, np.sqrt(0.2))
+    reached = set(zip(rows.tolist(), boxes.tolist(), strict=True))
+    assert cuts.boxes == 16 and all((i, own[i]) in reached for i in range(720))
+    for i, j in zip(*np.nonzero(u @ u.T >= 0.9), strict=True):
+        assert (i, own[j]) in reached
+    assert len(reached) < 0.6 * 720 * 16
+
+
 def test_embeddings_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (10, [2.0]), (None, [1.0, 0.0]), (2, [1.0, 0.1]), (11, [1e-30, 0.0])]
     got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
