@@ -206,6 +206,17 @@ def test_token_file_finds_damage():
         token_file.read_file(data[:-3])
 
 
+def test_any_id_and_better_than_order_0():
+    rng = np.random.default_rng(3)
+    big = np.r_[rng.integers(0, 2**31, 3000), 0, 2**32 - 1].astype(np.int64)
+    assert (token_file.read_file(token_file.write_file(big, [1], [len(big)]))[3] == big).all()
+    # Stretches of 1,000 ids, each of one of five kinds with ids of its own that come in no order.
+    ids = np.concatenate([rng.zipf(1.3, 1000) % 400 + 400 * rng.integers(5) for _ in range(300)]).astype(np.int64)
+    n = np.bincount(ids)
+    p = n[n > 0] / len(ids)
+    assert len(token_file.write_file(ids, [1], [len(ids)])) * 8 / len(ids) < 0.95 * -(p * np.log2(p)).sum()
+
+
 def test_repeats_compress():
     ids = np.tile(np.random.default_rng(1).integers(0, 50257, 40), 50)
     assert len(token_file.write_file(ids, [1], [2000])) < 1500
@@ -214,7 +225,7 @@ def test_repeats_compress():
 def test_token_table(make):
     rows = EDGE + [(50 - i, f"text number {i} " * (i % 9), "en", "s") for i in range(30)]
     docs = make([(*r, 1) for r in rows], ", part int").repartition(5)
-    for options in ({}, {"file_ids": 50, "partitions": 3}):
+    for options in ({}, {"file_ids": 50, "part_bytes": 20000}):
         got = token_file.token_table(docs, **options).collect()
         at = 0
         for r in sorted(got, key=lambda r: r["start"]):
