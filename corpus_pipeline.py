@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.llm import exact_dedup, language, mixing, packing, simhash
-from tesserine.llm.common import stored, table
+from tesserine.llm.common import stored, table, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,18 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Paths that ``stored`` wrote within each open ``temporary``.
+_MADE: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, so that a lost executor costs a read rather than a
-    recomputation, and it fixes whatever depends on the order of rows.
+    recomputation, and it fixes whatever depends on the order of rows. keep: let it
+    outlive the ``temporary`` it is written in.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if _MADE and not keep:
+        _MADE[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that were stored within: for who has stored the result with ``keep``."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def keyed(docs: DataFrame, name: str = "keyed") -> DataFrame:
     """key (long), row (a struct of all columns), stored: rows to decide one by one, whatever their ids and columns' names are."""
     return stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), name)

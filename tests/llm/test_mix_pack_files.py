@@ -302,3 +302,12 @@ def test_tiny_source_leaves_texts_in_runs(make):
         assert all(x == text[r["doc_id"]] for x in whole) and f" {last} " in f" {text[r['doc_id']]} "
         cut += last != text[r["doc_id"]]
     assert cut > 50
+
+
+def test_run_leaves_stage_outputs_only(spark, make, pipeline_rows, tmp_path, monkeypatch):
+    """The whole run gives what its stages give, and deletes what they stored on the way."""
+    monkeypatch.setattr("tesserine.llm.common.shared_dir", lambda s: str(tmp_path / "shared"))
+    make(pipeline_rows).withColumn("n_chars", F.length("text").cast("long")).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() > 50
+    assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").iterdir()) == sorted(n for n, _ in corpus_pipeline.STAGES)
