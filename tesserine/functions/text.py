@@ -99,7 +99,7 @@ def lookup_key(c: Column | str) -> Column:
 
 
 def loose_key(c: Column | str) -> Column:
-    """Lower-cased with single spaces; texts must be composed (NFC), as readers leave them."""
+    """Lower-cased with single spaces; texts must be composed (NFC): see ``readers.composed``."""
     return F.lower(normalize_spaces(c))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .contexts import first_wins
+from .validation import beside, counter
 
 
 def seeded(seed: int | str, c: Column) -> Column:
@@ -66,17 +69,28 @@ def sample(records: DataFrame, *, max_per_split: int | None = None, max_per_cate
     return out
 
 
-def split_stats(rows: DataFrame, valid: DataFrame, covered_: DataFrame, deduplicated: DataFrame, final: DataFrame) -> DataFrame:
-    """One row of counts of each stage, and the share of valid records that are covered."""
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    out = n(rows, "raw_count")
-    for df, name in ((valid, "valid_count"), (covered_, "covered_count"), (deduplicated, "deduplicated_count"), (final, "final_count")):
-        out = out.join(n(df, name))
-    return out.withColumn("keyword_coverage_rate", F.when(F.col("valid_count") == 0, 0.0).otherwise(F.col("covered_count") / F.col("valid_count")))
+def split_stats(stages: dict[str, DataFrame], *, category: str = "expected_category") -> DataFrame:
+    """One row: <stage>_count of each stage, the share of valid records that are covered, and categories of the last as a map."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in stages.items()]
+    out = reduce(DataFrame.unionByName, counts).agg(*(F.coalesce(F.max(F.when(F.col("stage") == name, F.col("n"))), F.lit(0)).alias(f"{name}_count") for name in stages))
+    rate = F.when(F.col("valid_count") == 0, 0.0).otherwise(F.col("covered_count") / F.col("valid_count"))
+    out = out.withColumn("keyword_coverage_rate", rate)
+    return beside(out, counter(list(stages.values())[-1], category, into="categories"))
 
 
 def train_test_val(df: DataFrame, by: str, id_col: str, *, seed: int | str = 42) -> DataFrame:
-    """Rows with ``split``: per group in seeded order the first 80% train, the next 10% test, the rest val."""
-    group = W.partitionBy(by)
-    at, n = F.row_number().over(group.orderBy(seeded(seed, F.col(id_col)), id_col)), F.count("*").over(group)
-    return df.withColumn("_at", at).withColumn("_of", n).withColumn("split", F.when(F.col("_at") <= F.floor(F.col("_of") * 0.8), "train").when(F.col("_at") <= F.floor(F.col("_of") * 0.9), "test").otherwise("val")).drop("_at", "_of")
+    """Rows with ``split``: per group in seeded order the first 80% train, the next 10% test, the rest val.
+
+    The order is that of a hash, so rows dealt by its first digits are ranked apart from each other and the ranks
+    of a group are put together from counts: a group with a third of all rows is 4,096 tasks' at most.
+    """
+    key = seeded(seed, F.col(id_col))
+    dealt = df.withColumns({"_key": key, "_head": F.substring(key, 1, 3)})
+    heads = dealt.groupBy(F.col(by).alias("_by"), F.col("_head").alias("_h")).agg(F.count("*").alias("_n"))
+    group = W.partitionBy("_by")
+    counts = heads.select("_by", "_h", (F.sum("_n").over(group.orderBy("_h").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_of"))
+    near = dealt.withColumn("_at", F.row_number().over(W.partitionBy(by, "_head").orderBy("_key", id_col)))
+    found = near.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_head") == F.col("_h")))
+    at = F.col("_before") + F.col("_at")
+    split = F.when(at <= F.floor(F.col("_of") * 0.8), "train").when(at <= F.floor(F.col("_of") * 0.9), "test").otherwise("val")
+    return found.withColumn("split", split).drop("_key", "_head", "_by", "_h", "_before", "_of", "_at")

@@ -65,7 +65,7 @@ def clean_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def unmapped(cleaned: DataFrame) -> DataFrame:
     """keyword_raw, n: plain keywords that no rule changed, most frequent first seen first."""
     left = cleaned.where((F.col("keyword_raw") != "") & ~T.has_vietnamese_accent("keyword_raw") & ~F.col("changed"))
-    return left.groupBy("keyword_raw").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"))
+    return left.groupBy("keyword_raw").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row")).orderBy(F.desc("n"), "first_row", "keyword_raw")
 
 
 def cleaning_summary(cleaned: DataFrame) -> DataFrame:

@@ -82,12 +82,6 @@ def knowledge_documents(items: DataFrame) -> DataFrame:
     return grouped.select("row_index", F.concat_ws("|", blank("f.category"), blank("f.subcategory"), blank("f.keyword"), "_hash").alias("doc_id"), content.alias("content"), "f.keyword", "f.category", "f.subcategory", "f.base_image_id", F.array_join("ids", "|").alias("source_image_ids"), F.size("ids").alias("source_count"))
 
 
-def group_by_text(df: DataFrame, text: str, id_col: str, *, order: str) -> DataFrame:
-    """hash, first_id, ids, n: rows grouped by a short hash of their spaced text, over 20 characters long."""
-    rows = df.withColumn("_text", T.normalize_spaces(text)).where(F.char_length("_text") > 20).withColumn("hash", T.short_hash("_text"))
-    return rows.groupBy("hash").agg(F.min_by(id_col, order).alias("first_id"), F.count_distinct(id_col).alias("n"))
-
-
 def question_counts(items: DataFrame, records: DataFrame) -> DataFrame:
     """category, before (questions of the raw items), and rows of the records per split."""
     before = items.groupBy("category").agg(F.sum(F.size("questions")).alias("before"))

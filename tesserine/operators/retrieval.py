@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +14,6 @@ TILES = (1024, 16384)
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.35
 
 
-def matches_filters(pairs: Iterable[tuple[Column, Column]]) -> Column:
-    """All of (wanted, found) agree, where what isn't wanted (null or blank) agrees with anything."""
-    return reduce(lambda a, b: a & b, ((F.coalesce(w, F.lit("")) == "") | w.eqNullSafe(f) for w, f in pairs), F.lit(True))
-
-
 def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", tiles: tuple[int, int] = TILES) -> DataFrame:
     """query_id, rank, doc_id, score, distance: the k nearest by cosine, at or above the threshold.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,58 +21,65 @@ def mark_repeats(df: DataFrame, key: str, valid: Column, *, into: str, order: st
     return df.join(first, F.col(key) == F.col("_key"), "left").withColumn(into, F.coalesce(F.col("_first") < F.col(order), F.lit(False))).drop("_key", "_first")
 
 
+def _text(value: Column) -> Column:
+    """The text of a variant: of a text, itself; of null, false, zero, an empty list or object, blank; of anything else, what it reads as."""
+    kind, read = F.coalesce(F.schema_of_variant(value), F.lit("VOID")), F.try_variant_get(value, "$", "string")
+    nothing = read.isin("[]", "{}") | F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False))
+    return T.strip(F.coalesce(F.when(kind == "STRING", read).when(kind == "BOOLEAN", F.when(read == "true", "True")).when(~nothing, read), F.lit("")))
+
+
 def parse_documents(raw: DataFrame, *, column: str = "raw", order: str = "row_index") -> DataFrame:
     """Rows of JSON text as typed parts, with what each part is: an array, an object, an integer."""
-    v = F.try_parse_json(F.col(column))
-    text = lambda path: T.strip(F.coalesce(F.nullif(F.nullif(F.try_variant_get(v, path, "string"), F.lit("false")), F.lit("0")), F.lit("")))
-    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
-    return raw.select(
-        F.col(order).alias("row_index"), text("$.doc_id").alias("doc_id"), text("$.content").alias("content"), text("$.schema_version").alias("schema_version"),
-        F.startswith(kind("$.metadata"), F.lit("OBJECT")).alias("has_metadata"),
-        *(text(f"$.metadata.{c}").alias(c) for c in ("keyword", "category", "subcategory", "base_image_id")),
-        F.startswith(kind("$.metadata.source_image_ids"), F.lit("ARRAY")).alias("ids_listed"),
-        F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$.metadata.source_image_ids", "array<string>"), F.array().cast("array<string>")), T.text_or_empty), lambda x: x != "").alias("source_image_ids"),
-        kind("$.metadata.source_count").isin("BIGINT", "BOOLEAN").alias("count_whole"),
-        F.coalesce(F.try_variant_get(v, "$.metadata.source_count", "bigint"), F.try_variant_get(v, "$.metadata.source_count", "boolean").cast("bigint")).alias("source_count"),
+    of = lambda path: F.try_variant_get("v", path, "variant")
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    names = ("keyword", "category", "subcategory", "base_image_id")
+    parts = raw.select(F.col(order).alias("row_index"), F.try_parse_json(F.col(column)).alias("v")).select(
+        "row_index", *(of(f"$.{c}").alias(c) for c in ("doc_id", "content", "schema_version", "metadata")), *(of(f"$.metadata.{c}").alias(c) for c in (*names, "source_image_ids", "source_count"))
     )
+    return parts.select(
+        "row_index", *(_text(F.col(c)).alias(c) for c in ("doc_id", "content", "schema_version")),
+        F.startswith(kind(F.col("metadata")), F.lit("OBJECT")).alias("has_metadata"),
+        *(_text(F.col(c)).alias(c) for c in names),
+        F.startswith(kind(F.col("source_image_ids")), F.lit("ARRAY")).alias("ids_listed"),
+        F.filter(F.transform(F.coalesce(F.try_variant_get("source_image_ids", "$", "array<variant>"), F.array().cast("array<variant>")), _text), lambda x: x != "").alias("source_image_ids"),
+        kind(F.col("source_count")).isin("BIGINT", "BOOLEAN").alias("count_whole"),
+        F.coalesce(F.try_variant_get("source_count", "$", "bigint"), F.try_variant_get("source_count", "$", "boolean").cast("bigint")).alias("source_count"),
+    )
+
+
+#: The checks in their order: level, field and name of the message. A check's number is its place, from 1.
+CHECKS = (
+    ("error", "doc_id", "no_id"), ("error", "doc_id", "duplicate"), ("error", "content", "no_content"), ("warning", "content", "short"),
+    ("error", "metadata", "no_metadata"), ("error", "metadata.keyword", "no_keyword"), ("error", "metadata.category", "no_category"),
+    ("error", "metadata.category", "bad_category"), ("warning", "metadata.category", "bad_category"),
+    ("warning", "metadata.subcategory", "no_subcategory"), ("warning", "metadata.base_image_id", "no_base_image"), ("warning", "metadata.source_image_ids", "ids_not_list"),
+    ("warning", "metadata.source_image_ids", "ids_empty"), ("warning", "metadata.source_count", "count_not_int"), ("warning", "metadata.source_count", "count_differs"),
+    ("warning", "content", "keyword_absent"), ("warning", "doc_id", "id_format"), ("warning", "doc_id", "id_category"), ("warning", "doc_id", "id_subcategory"),
+)
+_ERRORS = [k for k, (level, _, _) in enumerate(CHECKS, 1) if level == "error"]
 
 
 def check_documents(docs: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Parsed documents with ``issues`` (array of level, field, message, in the order of the checks) and ``valid``."""
+    """Parsed documents with ``failed`` (the numbers of the ``CHECKS`` that fail, in order) and ``valid``."""
     blank = lambda c: F.col(c) == ""
     parts = F.split("doc_id", r"\|")
     formed = F.size(parts) >= 3
     count = F.when(F.col("count_whole"), F.col("source_count")).otherwise(F.size("source_image_ids").cast("bigint"))
-    own_errors = blank("doc_id") | blank("content") | ~F.col("has_metadata") | blank("keyword") | blank("category") | (F.lit(strict) & ~blank("category") & ~F.col("category").isin(fixed.CATEGORIES))
-    seen = mark_repeats(docs, "doc_id", ~own_errors, into="_seen").withColumn("_count", count)
-
-    def issue(when: Column, level: str, field: str, name: str, *values: Column) -> Column:
-        message = F.format_string(fixed.ISSUES[name], *values) if values else F.lit(fixed.ISSUES[name])
-        return F.when(when, F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), message.alias("message")))
-
-    listed = F.col("ids_listed")
+    odd = ~blank("category") & ~F.col("category").isin(fixed.CATEGORIES)
+    own_errors = blank("doc_id") | blank("content") | ~F.col("has_metadata") | blank("keyword") | blank("category") | (F.lit(strict) & odd)
+    seen = mark_repeats(docs, "doc_id", ~own_errors, into="_seen").withColumn("source_count", count)
+    listed, some = F.col("ids_listed"), F.size("source_image_ids") > 0
     checks = [
-        issue(blank("doc_id"), "error", "doc_id", "no_id"),
-        issue(F.col("_seen"), "error", "doc_id", "duplicate", F.col("doc_id")),
-        issue(blank("content"), "error", "content", "no_content"),
-        issue(~blank("content") & (F.char_length("content") < 20), "warning", "content", "short"),
-        issue(~F.col("has_metadata"), "error", "metadata", "no_metadata"),
-        issue(blank("keyword"), "error", "metadata.keyword", "no_keyword"),
-        issue(blank("category"), "error", "metadata.category", "no_category"),
-        issue(~blank("category") & ~F.col("category").isin(fixed.CATEGORIES), "error" if strict else "warning", "metadata.category", "bad_category", F.col("category")),
-        issue(blank("subcategory"), "warning", "metadata.subcategory", "no_subcategory"),
-        issue(blank("base_image_id"), "warning", "metadata.base_image_id", "no_base_image"),
-        issue(~listed, "warning", "metadata.source_image_ids", "ids_not_list"),
-        issue(listed & (F.size("source_image_ids") == 0), "warning", "metadata.source_image_ids", "ids_empty"),
-        issue(~F.col("count_whole"), "warning", "metadata.source_count", "count_not_int"),
-        issue(listed & (F.size("source_image_ids") > 0) & (F.col("_count") != F.size("source_image_ids")), "warning", "metadata.source_count", "count_differs"),
-        issue(~blank("keyword") & ~blank("content") & ~F.contains(F.lower("content"), F.lower("keyword")), "warning", "content", "keyword_absent"),
-        issue(~blank("doc_id") & ~formed, "warning", "doc_id", "id_format"),
-        issue(formed & ~blank("category") & (parts[0] != F.col("category")), "warning", "doc_id", "id_category"),
-        issue(formed & ~blank("subcategory") & (F.get(parts, F.lit(1)) != F.col("subcategory")), "warning", "doc_id", "id_subcategory"),
+        blank("doc_id"), F.col("_seen"), blank("content"), ~blank("content") & (F.char_length("content") < 20),
+        ~F.col("has_metadata"), blank("keyword"), blank("category"),
+        F.lit(strict) & odd, F.lit(not strict) & odd,
+        blank("subcategory"), blank("base_image_id"), ~listed,
+        listed & ~some, ~F.col("count_whole"), listed & some & (F.col("source_count") != F.size("source_image_ids")),
+        ~blank("keyword") & ~blank("content") & ~F.contains(F.lower("content"), F.lower("keyword")), ~blank("doc_id") & ~formed,
+        formed & ~blank("category") & (parts[0] != F.col("category")), formed & ~blank("subcategory") & (F.get(parts, F.lit(1)) != F.col("subcategory")),
     ]
-    found = F.array_compact(F.array(*checks))
-    return seen.withColumn("issues", found).withColumn("valid", ~F.exists("issues", lambda i: i["level"] == "error")).withColumn("source_count", F.col("_count")).drop("_seen", "_count")
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(checks, 1))))
+    return seen.withColumn("failed", found).withColumn("valid", ~F.arrays_overlap("failed", F.array(*map(F.lit, _ERRORS)))).drop("_seen")
 
 
 def valid_documents(checked: DataFrame) -> DataFrame:
@@ -81,18 +90,53 @@ def valid_documents(checked: DataFrame) -> DataFrame:
 
 def issue_table(checked: DataFrame) -> DataFrame:
     """One row per issue: row_index, pos, level, doc_id, field, message."""
-    return checked.select("row_index", F.nullif("doc_id", F.lit("")).alias("doc_id"), F.posexplode("issues").alias("pos", "i")).select("row_index", "pos", "i.level", "doc_id", "i.field", "i.message")
+    each = checked.select("row_index", "doc_id", "category", F.posexplode("failed").alias("pos", "k"))
+    of = lambda texts: F.element_at(F.array(*map(F.lit, texts)), F.col("k"))
+    names = [name for _, _, name in CHECKS]
+    message = of([fixed.ISSUES[n] for n in names])
+    for name, value in (("duplicate", "doc_id"), ("bad_category", "category")):
+        message = F.when(F.col("k").isin([k for k, n in enumerate(names, 1) if n == name]), F.format_string(fixed.ISSUES[name], value)).otherwise(message)
+    return each.select("row_index", "pos", of([c[0] for c in CHECKS]).alias("level"), F.nullif("doc_id", F.lit("")).alias("doc_id"), of([c[1] for c in CHECKS]).alias("field"), message.alias("message"))
+
+
+def first_issues(checked: DataFrame, n: int = 30) -> DataFrame:
+    """The first n issues, in order of rows and checks."""
+    return issue_table(checked).orderBy("row_index", "pos").limit(n)
 
 
 def validation_stats(checked: DataFrame) -> DataFrame:
     """One row: total_raw_docs, valid_docs, invalid_docs, error_count, warning_count, unique_keyword_count."""
-    of = lambda level: F.coalesce(F.sum(F.size(F.filter("issues", lambda i: i["level"] == level))), F.lit(0))
+    errors = F.size(F.array_intersect("failed", F.array(*map(F.lit, _ERRORS))))
     return checked.agg(
-        F.count("*").alias("total_raw_docs"), F.count_if("valid").alias("valid_docs"), F.count_if(~F.col("valid")).alias("invalid_docs"), of("error").alias("error_count"), of("warning").alias("warning_count"),
+        F.count("*").alias("total_raw_docs"), F.count_if("valid").alias("valid_docs"), F.count_if(~F.col("valid")).alias("invalid_docs"),
+        F.coalesce(F.sum(errors), F.lit(0)).alias("error_count"), F.coalesce(F.sum(F.size("failed") - errors), F.lit(0)).alias("warning_count"),
         F.count_distinct(F.when(F.col("valid") & (F.col("keyword") != ""), F.col("keyword"))).alias("unique_keyword_count"),
     )
 
 
+def counter(df: DataFrame, by: str, *, into: str, most: int | None = None, order: str = "row_index") -> DataFrame:
+    """One row with a map: how often each value that isn't blank occurs; of the ``most`` most frequent ones, ties as first seen.
+
+    The values must be few (categories, say), or ``most`` given: the map is one row's.
+    """
+    counted = df.where(T.text_or_empty(by) != "").groupBy(F.col(by).alias("key")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    kept = counted if most is None else counted.orderBy(F.desc("n"), "first", "key").limit(most)
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "key", "n")))
+    return kept.agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["n"]))).alias(into))
+
+
+def full_stats(checked: DataFrame, *, top: int = 30) -> DataFrame:
+    """``validation_stats`` with ``categories`` and ``top_keywords`` of the valid documents, as maps, and ``issues`` by level and field."""
+    valid = checked.where("valid")
+    by_field = issue_histogram(checked).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level_field", "n")))).alias("issues"))
+    return beside(validation_stats(checked), counter(valid, "category", into="categories"), counter(valid, "keyword", into="top_keywords", most=top), by_field)
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    return reduce(lambda a, b: a.join(b, "_one"), (df.withColumn("_one", F.lit(1)) for df in rows)).drop("_one")
+
+
 def issue_histogram(checked: DataFrame) -> DataFrame:
     """level_field, n."""
     return issue_table(checked).groupBy(F.concat_ws(":", "level", "field").alias("level_field")).agg(F.count("*").alias("n"))

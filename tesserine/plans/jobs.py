@@ -57,7 +57,9 @@ def build_vector_index(valid: DataFrame, embedder: Embedder, *, index: DataFrame
     """The index with the valid documents in it, embedded; an error if it then lacks any."""
     flat = valid.select("row_index", "schema_version", "doc_id", "content", "metadata.*")
     new = embedder.embed(preparation.embedding_documents(flat), "text")
-    return new if index is None or recreate else retrieval.upsert(index, new, order="row_index")
+    out = new if index is None or recreate else retrieval.upsert(index, new, order="row_index")
+    validation.require_counts(out.select("doc_id").count(), flat.select("doc_id").distinct().count(), "the index")
+    return out
 
 
 def clean_keywords(df: DataFrame, mapping: DataFrame, *, mode: str) -> DataFrame:
@@ -69,7 +71,7 @@ def clean_keywords(df: DataFrame, mapping: DataFrame, *, mode: str) -> DataFrame
 
 
 def build_eval_queries(splits: dict[str, DataFrame], documents: DataFrame, *, max_per_split: int | None = None, max_per_category: int | None = None, seed: int = 42) -> DataFrame:
-    """Eval queries of all splits, each sampled with its own seed; ordered by id within a split."""
+    """Eval queries of all splits, each sampled with its own seed; split after split, ordered by id within each."""
     out = None
     for i, (name, rows) in enumerate(splits.items()):
         kept = evalset.deduplicate(evalset.covered(evalset.build_records(rows, name), documents))
@@ -77,7 +79,7 @@ def build_eval_queries(splits: dict[str, DataFrame], documents: DataFrame, *, ma
         out = chosen if out is None else out.unionByName(chosen)
     if out is None:
         raise ValueError("no splits are given")
-    return out
+    return out.orderBy(F.array_position(F.array(*map(F.lit, splits)), F.col("source_split")), "id")
 
 
 def search_texts(requests: DataFrame, index: DataFrame, embedder: Embedder, *, k: int, threshold: float | None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -17,3 +20,13 @@ def session(app: str = "tesserine", master: str | None = None, **conf: str) -> S
     """The running session, or a new one; keyword arguments are settings with underscores for dots."""
     builder = SparkSession.builder.appName(app).config(map=DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path that driver and executors share, below ``spark.checkpoint.dir``; of a local session without it, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return f"{tempfile.mkdtemp(prefix='tesserine-')}/scratch"
+    return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"

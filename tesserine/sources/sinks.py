@@ -30,9 +30,12 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     out = fs.create(staged, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot move {staged} to {target}")
+    # One step that takes the place of an old file, so that readers find either.
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    full = lambda p: fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(full(staged), full(target), how)
 
 
 def write_stats(row: DataFrame, path: str) -> None:
@@ -41,7 +44,7 @@ def write_stats(row: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str, **partitioning) -> None:
-    """Write a table beside the old one and swap, so that ``df`` may read the old one."""
+    """Write a table beside the old one and swap, so that ``df`` may read the old one; that is deleted once the new one stands."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     staged_path = f"{path}.{uuid.uuid4().hex}"
@@ -50,9 +53,16 @@ def replace_table(df: DataFrame, path: str, **partitioning) -> None:
     if partitioning.get("partition_by"):
         writer = writer.partitionBy(*partitioning["partition_by"])
     writer.parquet(staged_path)
-    fs.delete(target, True)
+    _, old = _fs(spark, f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {target} aside")
     if not fs.rename(staged, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"cannot move {staged} to {target}")
+    if had:
+        fs.delete(old, True)
 
 
 def delete(spark: SparkSession, path: str) -> bool:
