@@ -218,33 +218,78 @@ def test_words_before_count(make):
     assert np.mean([r["score"] - r["base_score"] for i, r in got.items() if i < 300]) > 0
 
 
-def test_context_restaurants_are_distributions(spark, make):
+def test_context_restaurants_are_distributions(make):
+    """Counts and seating against plain counting; each context's probabilities add up to one; scores against the sum over tokens."""
     rng = random.Random(5)
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40)] + ["a zz b", "", "qq qq"]
+    train = [i for i in range(len(texts)) if i < 40]
     counts, before = Counter(), Counter()
-    for t in texts:
-        w = language_model.tokens(t.encode())
+    for i in train:
+        w = language_model.tokens(texts[i].encode())
         counts.update(w)
         before.update(zip([b"", *w], w, strict=False))
-    dealt, _ = language_model.deal(make([(i, t, None, None) for i, t in enumerate(texts)]), F.lit(True), share=200)
-    pairs = language_model.word_pairs(dealt, most=50).cache()
-    name = dict(zip(language_model.word_hash(list(counts)).tolist(), counts, strict=True))
-    assert {(name[r["u"]], name[r["w"]]): r["c"] for r in pairs.where("lead").collect()} == dict(before)
-    table = spark.createDataFrame([(w.decode(), c) for w, c in counts.items()], "word string, c long")
-    vocabulary, discount = language_model.seat_contexts(table, pairs)
-    rows = vocabulary.collect()
-    assert {r["word"].encode(): r["c"] for r in rows} == dict(counts)
-    assert sum(r["k"] for r in rows) == sum(r["t1"] for r in rows) >= len(before)  # every table is a customer of the parent
-    model, _ = language_model.fit(vocabulary.select("word", F.col("k").alias("c")))
-    p = {r["word"].encode(): 10 ** r["log"] for r in language_model.predicted(vocabulary, spark.sparkContext.broadcast(model), "log").collect()}
-    at = {r["word"].encode(): r for r in rows}
-    for u, r in at.items():
-        mass = (1 + discount * r["t1"]) / (1 + r["cu"]) * (sum(p.values()) + 10 ** model.unknown())
-        for w in (w for b, w in before if b == u):
-            c = np.array([before[u, w]])
-            key = language_model.pair_key(*(language_model.word_hash([x]) for x in (u, w)))
-            mass += (c - discount * language_model.seat_pairs(key, c, language_model.context_strength(np.array([r["t0"]]), np.array([at[w]["log0"]], dtype=np.float32), discount), discount))[0] / (1 + r["cu"])
-        assert abs(mass - 1) < 1e-5  # in single precision
+    over = language_model.shares(make([(i, t, None, None) for i, t in enumerate(texts)]), F.col("doc_id") < 40, share=200)
+    assert over.numbers.count() > 3
+    vocabulary, end, pairs, start, final, model, discount = language_model.seat_all(over, 3)
+    assert {r["word"].encode(): r["c"] for r in language_model.vocabulary_rows(vocabulary, "b").collect()} == dict(counts)
+    assert discount == language_model.discount_of(sum(n == 1 for n in before.values()), sum(n == 2 for n in before.values()))
+    hashed = lambda w: language_model.word_hash([w])
+    word = {}
+    for r in end.collect():
+        words, k = language_model.unpacked_words(r["a"]), language_model.unpacked(r["b"], np.uint64)
+        cu, t1 = np.split(language_model.unpacked(r["c"], np.uint64), 2)
+        log = language_model.predicted(words, k, model)
+        word |= {w: (int(k[i]), int(cu[i]), int(t1[i]), float(log[i])) for i, w in enumerate(words)}
+    customers = Counter()
+    for (u, _), n in before.items():
+        customers[u] += n
+    assert {w: x[1] for w, x in word.items() if x[1]} == dict(customers)
+    assert sum(x[0] for x in word.values()) == sum(x[2] for x in word.values()) >= len(before)  # every table is a customer of the parent
+    n, v = sum(counts.values()), len(counts)
+    # What the shares were told at the start, by word.
+    told = {}
+    for r in over.numbers.collect():
+        row = language_model._rows_at(over.path, r["share"]).to_pylist()[0]
+        known = language_model.reply(start, r["share"])
+        t0, log0 = language_model._joined(known, "a", np.uint64), language_model._joined(known, "b", np.float32)
+        told |= {w: (t0[i], log0[i]) for i, w in enumerate(language_model.unpacked_words(row["words"]))}
+    assert {w: int(x[0]) for w, x in told.items() if x[0]} == dict(Counter(u for u, _ in before))
+
+    def own(u, w):
+        if (u, w) not in before:
+            return 0.0
+        c = np.array([before[u, w]])
+        strength = language_model.context_strength(np.array([float(told[u][0])]), np.array([told[w][1]]), discount)
+        t = language_model.seat_pairs(language_model.pair_key(hashed(u), hashed(w)), c, strength, discount)
+        return float((c - discount * t)[0]) / (1 + word[u][1])
+
+    back = lambda u: (1 + discount * word[u][2]) / (1 + word[u][1])
+    parent = lambda w: 10 ** word[w][3] if counts[w] else 10 ** model.unknown()
+    assert abs(sum(parent(w) for w in counts) + 10 ** model.unknown() - 1) < 1e-5
+    for u in customers:
+        assert abs(sum(own(u, w) + back(u) * parent(w) for w in counts) + back(u) * 10 ** model.unknown() - 1) < 1e-5  # in single precision
+    got = {r["doc_id"]: r for r in language_model.score_shares(over, pairs, start, final, model, discount, n, v).collect()}
+    for i, text in enumerate(texts):
+        t = language_model.tokens(text.encode())
+        for name, p in (("score", parent), ("open_score", lambda w: 10 ** word[w][3])):
+            assert got[i][name] == pytest.approx(sum(math.log10(own(u, w) + back(u) * p(w)) for u, w in zip([b"", *t], t, strict=False)), rel=1e-6)
+
+
+def test_reversed_words_score_worse(make):
+    rng = random.Random(8)
+    after = {w: rng.sample(range(30), 3) for w in range(30)}
+
+    def chain():
+        at, out = rng.randrange(30), []
+        for _ in range(40):
+            out.append(f"w{at}")
+            at = rng.choice(after[at])
+        return out
+
+    rows = [(i, " ".join(chain()), None, None) for i in range(200)]
+    both = rows + [(1000 + i, " ".join(reversed(t.split())), None, None) for i, t, *_ in rows[:20]]
+    got = {r["doc_id"]: r for r in language_model.score_held_out(make(both)).collect()}
+    assert np.mean([got[i]["score"] - got[1000 + i]["score"] for i in range(20) if got[i]["held_out"] or not got[1000 + i]["held_out"]]) > 3
 
 
 def test_rejected_rows_go_by_row_not_by_id(make, corpus):
