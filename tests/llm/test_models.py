@@ -231,7 +231,8 @@ def test_context_restaurants_are_distributions(make):
     over = language_model.shares(make([(i, t, None, None) for i, t in enumerate(texts)]), F.col("doc_id") < 40, share=200)
     assert over.numbers.count() > 3
     vocabulary, end, pairs, start, final, model, discount = language_model.seat_all(over, 3)
-    assert {r["word"].encode(): r["c"] for r in language_model.vocabulary_rows(vocabulary, "b").collect()} == dict(counts)
+    rows = vocabulary.select("a", F.col("b").alias("n")).toArrow()
+    assert {w: c for words, n in language_model.vocabulary(rows.to_batches()) for w, c in zip(words, n.tolist(), strict=True)} == dict(counts)
     assert discount == language_model.discount_of(sum(n == 1 for n in before.values()), sum(n == 2 for n in before.values()))
     hashed = lambda w: language_model.word_hash([w])
     word = {}
