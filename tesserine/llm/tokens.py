@@ -27,7 +27,7 @@ BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f]")
 #: Bytes of words and ids that a worker holds before it drops those not met since it last did so (twice as many at most), and the
 #: longest word it holds. They bound its memory, not what is encoded.
-HELD_BYTES, LONGEST = 36_000_000, 64
+HELD_BYTES, LONGEST = 64_000_000, 64
 #: Bytes of text to encode at a time: their words are in memory one by one.
 TEXT_BYTES = 2_000_000
 #: Bytes of an entry beside its word and ids, and words that go through the tokenizer at a time.
