@@ -52,11 +52,9 @@ def letters(text: str) -> np.ndarray:
     return points if len(points) > 1 else points[:0]
 
 
-def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of all orders, and their counts. No n-gram is a gap alone."""
-    if not len(points):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    out = []
+def values(points: np.ndarray) -> np.ndarray:
+    """The n-grams of all orders, as often as they occur. None is a gap alone."""
+    out = [points[:0]]
     for n in ORDERS:
         if len(points) < n:
             break
@@ -65,12 +63,21 @@ def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             value <<= _BITS
             value |= points[i : len(points) - n + 1 + i]
         out.append(value if n > 1 else value[value != _GAP])
-    every = np.concatenate(out)
-    every.sort()
-    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    return np.concatenate(out)
+
+
+def counts(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and how often each occurs."""
+    every = np.sort(every)
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, dtype=np.int64)
     return every[first], np.diff(np.r_[first, len(every)])
 
 
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of one text, and their counts."""
+    return counts(values(points))
+
+
 def top(gram: np.ndarray, count: np.ndarray, most: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, best first; ties by n-gram."""
     return gram[np.lexsort((gram, -count))][:most]
@@ -138,9 +145,9 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
         for batch in small_batches(batches, "text"):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
-                by.setdefault(lang, []).append(letters(text))
-            for lang, points in by.items():
-                gram, n = grams(np.concatenate(points))
+                by.setdefault(lang, []).append(values(letters(text)))  # of each text by itself
+            for lang, found in by.items():
+                gram, n = counts(np.concatenate(found))
                 yield rows(pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]), [[lang] * len(gram), gram, n])
 
     tallied = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
