@@ -65,7 +65,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Texts are equal when identical after lower-casing A-Z. An empty table gives no
     rows. A repeated row is a copy of itself: both have the same id, both count
     in group_size and both are kept if their id is. Null ids lose to any other id;
-    a group of null ids only has keep_id null and its rows are kept.
+    a group of null ids only has keep_id null and its rows are kept. Very long texts are
+    hashed whole. Other columns, whatever their names, have no effect.
     """
     entries = stored(digests(docs, id_col=id_col, text_col=text_col), "digests")
     merged = merge_runs(entries, keep=keep, runs=runs, fan_in=fan_in)

@@ -176,7 +176,9 @@ def identify_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Fit on the rows whose crc32 of the id isn't ``out`` modulo ``folds``; doc_id, held_out, lang_pred, score of all.
 
     Rows whose language is null are no training rows but are identified as any
-    other. Without training rows, every text is ``und``. An empty table gives no rows.
+    other. Without training rows, every text is ``und``. Of languages equally near, the first by
+    name is given. Repeated rows are each identified, and count once in training. Very long texts are read whole. An empty table gives no rows. Other columns,
+    whatever their names, have no effect.
     """
     held = F.pmod(id_hash(F.col(id_col)), F.lit(folds)) == out
     model = fit(docs, ~held, id_col=id_col, text_col=text_col, lang_col=lang_col)

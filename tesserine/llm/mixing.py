@@ -84,6 +84,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words of chosen blocks. quota: the blocks of its shard. Null text has size 0. An empty table
     gives no rows; if every text is empty, all targets are 0. Documents of a shard stand in the order of a seeded
     hash of id and text; repeated rows are documents of their own, alike but for their places.
+    Of equal quotients the first source, or shard, wins. Very long texts are counted whole. Other columns, whatever their names, have no effect.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turn = _digits(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))

@@ -134,7 +134,8 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     of that size, the last maybe shorter; no other is cut. offset is the piece's
     place in its sequence, gapless from 0. Sorting by (sequence_id, offset) and
     joining ids gives the sequences. Repeated rows and null ids are pieces like
-    any other; an empty table gives no rows.
+    any other; an empty table gives no rows. Of bins that an item leaves the same room in, the
+    one last filled takes it. Other columns, whatever their names, have no effect.
     """
     each = pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, path=path, with_ids=with_ids, forget=forget)
     each = stored(each.withColumn("item", F.monotonically_increasing_id()), "pieces")

@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     without words, null ones included, have fingerprint zero, which links like any
     other. component_id is the smallest id reachable over links of at most
     ``max_bits`` differing bits (null ids lose to any other); kept marks its row.
-    An empty table gives no rows; repeated rows are each returned.
+    An empty table gives no rows; repeated rows are each returned. A bit that half the shingles
+    have is 0. Very long texts are hashed whole. Other columns, whatever their names, have no effect.
     """
     each = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words_each=words_each), "fingerprints")
     groups = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")

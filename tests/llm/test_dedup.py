@@ -193,3 +193,12 @@ def test_near_copies_go_by_row_not_by_id(make):
     rows = [(1, a, None, None), (None, a, None, None), (None, b, None, None), (7, a, None, None), (7, "red " + b + " blue green", None, None)]
     left = {(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(make(rows)).collect()}
     assert left == {(1, a), (None, b), (7, rows[-1][1])}
+
+
+def test_simhash_of_a_very_long_text_and_clashing_names(make):
+    rng = random.Random(11)
+    long = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(80_000))
+    docs = make([(1, long, None, None, 1, 2, 3, 4), (2, long + " end", None, None, 1, 2, 3, 4), (3, "short text", None, None, 1, 2, 3, 4)], ", fp long, root long, cell long, key long")
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
+    assert got[1]["fingerprint"] == f"{slow_fingerprint(long):016x}"
