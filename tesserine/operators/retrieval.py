@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a tile of queries and of a tile of the index; a pair of tiles is one task's.
 TILES = (1024, 16384)
+#: So many filters' sizes are broadcast at most; more are joined.
+FILTERS = 10_000
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.35
 
 
@@ -19,60 +24,85 @@ def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshol
 
     by: columns that both tables have; a query with a value there is searched only
     among rows of that value. The threshold applies after the top k, which is the
-    same as before, since both go by score. Ties go to the smaller doc_id. Queries and
-    index are cut into tiles, each pair of tiles multiplies as matrices in one task, and
-    only its top k per query are shuffled; neither side is broadcast. Null and zero
-    vectors find nothing and aren't found.
+    same as before, since both go by score. Ties go to the smaller doc_id. Queries of the same
+    filter and the rows that pass it are cut into tiles, each pair of tiles multiplies as matrices in one task, and
+    only its top k per query are shuffled; neither side is broadcast, and rows that no query asks for
+    go nowhere. Null and zero vectors find nothing and aren't found.
     """
     k = k or DEFAULT_K
     if k < 0:
         raise ValueError("k must be positive")
-    n_queries, n_index = queries.count(), index.count()
-    rows, cols = max(1, -(-n_queries // tiles[0])), max(1, -(-n_index // tiles[1]))
+    blank = F.lit("")
+    values = [F.coalesce(F.col(c).cast("string"), blank) for c in by]
 
-    def side(df: DataFrame, key: str, mine: int, other: int, names: tuple[str, str]) -> DataFrame:
-        dealt = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by)).cast("array<string>").alias("want"), F.pmod(F.xxhash64(F.col(key)), F.lit(mine)).cast("int").alias(names[0]))
-        return dealt.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    def side(df: DataFrame, key: str, wants: Column) -> DataFrame:
+        v = F.col(vector) if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else F.col(vector).cast("array<double>")
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"), F.explode(wants).alias("want"))
 
-    left = side(queries, query_id, rows, cols, ("i", "j"))
-    right = side(index, doc_id, cols, rows, ("j", "i"))
-    shape = left.select(F.col("id").alias("q")).crossJoin(right.select(F.col("id").alias("d"))).select("q", "d", F.lit(0.0).alias("score")).schema
-    n_by = len(by)
+    def want(chosen: tuple[bool, ...]) -> Column:
+        """A filter as text; columns that aren't chosen don't filter."""
+        return F.to_json(F.array(*(F.when(v != "", F.concat(F.lit("="), v)).otherwise(blank) if on else blank for on, v in zip(chosen, values, strict=True))).cast("array<string>"))
+
+    asked = side(queries, query_id, F.array(want((True,) * len(by))))
+    # A row passes a filter on any choice of columns: as many copies here, of which those that are asked for go on.
+    known = side(index, doc_id, F.array_distinct(F.array(*map(want, itertools.product((False, True), repeat=len(by))))))
+    sizes = _sizes(asked, known, tiles)
+    left = asked.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
+    right = known.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "cols").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"))
+    shape = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("d", index.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
 
     def top(q: pa.Table, d: pa.Table) -> pa.Table:
-        out_q, out_d, out_s = [], [], []
-        ids = np.array(d.column("id").to_pylist(), dtype=object)
-        if len(q) and len(d):
-            a, b = _matrix(q), _matrix(d)
-            if a.shape[1] != b.shape[1]:
-                raise ValueError("queries and index have vectors of different lengths")
-            score = np.round(a @ b.T, 9)
-            score[~np.isfinite(score)] = -np.inf
-            for c in range(n_by):
-                want, have = (np.array([x[c] for x in t.column("want").to_pylist()], dtype=object) for t in (q, d))
-                score[(want[:, None] != have[None, :]) & (want != "")[:, None]] = -np.inf
-            order_of = np.argsort(np.argsort(ids, kind="stable"))
-            for r, name in enumerate(q.column("id").to_pylist()):
-                s = score[r]
-                if len(s) > k:  # all that tie with the k-th stay in the race
-                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                else:
-                    near = np.arange(len(s))
-                near = near[np.isfinite(s[near])]
-                near = near[np.lexsort((order_of[near], -s[near]))][:k]
-                out_q += [name] * len(near)
-                out_d += ids[near].tolist()
-                out_s += s[near].tolist()
-        return pa.table({"q": pa.array(out_q, q.schema.field("id").type), "d": pa.array(out_d, d.schema.field("id").type), "score": pa.array(out_s, pa.float64())})
-
-    each = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(top, shape)
+        names = [t.column("id").combine_chunks() for t in (q, d)]
+        at_q, at_d, scores = _nearest(q, d, k) if len(q) and len(d) else (np.zeros(0, dtype=np.int64),) * 3
+        return pa.table({"q": names[0].take(pa.array(at_q)), "d": names[1].take(pa.array(at_d)), "score": pa.array(scores, pa.float64())})
+
+    each = left.groupBy("want", "i", "j").cogroup(right.groupBy("want", "i", "j")).applyInArrow(top, shape)
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc("d")))).where(F.col("rank") <= k)
     kept = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
     return kept.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score", (1 - F.col("score")).alias("distance"))
 
 
+def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFrame:
+    """want, rows, cols: into how many tiles each filter's queries and rows are cut; filters that both sides have.
+
+    Up to FILTERS of them are read here and broadcast; more stay a table to join with.
+    """
+    number = lambda df, most, name: df.groupBy("want").agg(F.ceil(F.count("*") / most).alias(name))
+    both = number(asked, tiles[0], "rows").join(number(known, tiles[1], "cols"), "want")
+    few = both.limit(FILTERS + 1).collect()
+    return both if len(few) > FILTERS else F.broadcast(asked.sparkSession.createDataFrame(few, both.schema))
+
+
+def _nearest(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query of a pair of tiles, by their places in them."""
+    a, b = _matrix(q), _matrix(d)
+    if a.shape[1] != b.shape[1]:
+        raise ValueError("queries and index have vectors of different lengths")
+    by_id = pc.sort_indices(d.column("id")).to_numpy()
+    b = b[by_id]
+    out = []
+    for start in range(0, len(a), 128):
+        score = np.round(a[start : start + 128] @ b.T, 9)
+        score[~np.isfinite(score)] = -np.inf
+        near = np.isfinite(score)
+        if score.shape[1] > k:  # all that tie with the k-th stay in the race
+            near &= score >= np.partition(score, -k, axis=1)[:, -k, None]
+        row, col = np.nonzero(near)
+        s = score[row, col]
+        order = np.lexsort((col, -s, row))
+        row, col, s = row[order], col[order], s[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        out.append((row[best] + start, by_id[col[best]], s[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _matrix(t: pa.Table) -> np.ndarray:
-    v = np.array(t.column("v").to_pylist(), dtype=np.float64)
+    """Unit vectors as rows of a matrix; null components make a vector that is near nothing."""
+    lists = t.column("v").combine_chunks()
+    if pc.min_max(pc.list_value_length(lists))["min"] != pc.min_max(pc.list_value_length(lists))["max"]:
+        raise ValueError("vectors of different lengths")
+    v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return v / np.sqrt((v * v).sum(axis=1))[:, None]
 

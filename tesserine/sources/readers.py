@@ -9,32 +9,35 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def composed(df: DataFrame, *columns: str) -> DataFrame:
-    """Text columns in composed form (NFC). Only texts with combining marks go through Python."""
+    """Text columns in composed form (NFC), over one scan. Of texts without combining marks, Python sees a null."""
 
     def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    marked = F.lit(False)
-    for c in columns:
-        marked = marked | F.coalesce(F.col(c).rlike(r"\p{M}"), F.lit(False))
     fixed = F.pandas_udf(nfc, "string")
-    return df.where(~marked).unionByName(df.where(marked).withColumns({c: fixed(F.col(c)) for c in columns}))
+    return df.withColumns({c: F.coalesce(fixed(F.when(F.col(c).rlike(r"\p{M}"), F.col(c))), F.col(c)) for c in columns})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_index, raw: the lines of a text that aren't blank, numbered from 1 by their place in it.
+    """row_index, raw: the lines of a text that aren't blank, numbered from 1 by their place in it; files go by name.
 
-    Line numbers need the order of the whole input, which only its reader knows, so this is where they are given.
+    Numbers are counts of the lines in the splits before, plus the place in the split, so nothing is sorted. Both
+    come from scans of one plan; a split that one of them cut otherwise is an error.
     """
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(numbered, "row_index long, raw string").where(F.trim("raw") != "")
+    found = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.spark_partition_id().alias("task"), F.col("value").alias("raw"))
+    splits = found.groupBy("file", "start", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lines = found.join(splits.select("file", "start", "task", "first", "n", before.alias("before")), ["file", "start", "task"], "left")
+    place = F.col("at") - F.col("first")
+    number = F.when(place < F.col("n"), F.col("before") + place + 1).otherwise(F.raise_error(F.lit(f"{path} was split anew while it was read")).cast("long"))
+    return lines.select(number.alias("row_index"), "raw").where(F.trim("raw") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True) -> DataFrame:

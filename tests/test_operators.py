@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,48 @@ def test_search_ties_nulls_filters(spark):
     assert retrieval.search(queries.limit(0), index, k=2).count() == 0
 
 
+def test_search_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties, some zero vectors
+    some = lambda n, names: [None if x == 0 else names[x - 1] for x in rng.integers(0, len(names) + 1, n)]
+    index = [(f"d{i:02}", vectors[i].tolist(), c, k) for i, (c, k) in enumerate(zip(some(70, ["x", "y", "=", '"']), some(70, ["m", "n"]), strict=True))]
+    queries = [(f"q{i:02}", vectors[70 + i].tolist(), c, k) for i, (c, k) in enumerate(zip(some(20, ["x", "y", "=", '"', "absent"]), some(20, ["m", "n", ""]), strict=True))]
+    schema = "{} string, embedding array<double>, category string, keyword string"
+    want = set()
+    for q, v, c, k in queries:
+        near = [(round(float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), 9), d) for d, w, dc, dk in index if np.any(v) and np.any(w) and (not c or c == dc) and (not k or k == dk)]
+        want |= {(q, i + 1, d, s) for i, (s, d) in enumerate(sorted(near, key=lambda x: (-x[0], x[1]))[:4])}
+    tables = spark.createDataFrame(queries, schema.format("query_id")), spark.createDataFrame(index, schema.format("doc_id"))
+    for tiles in ((3, 7), (1024, 16384)):
+        got = retrieval.search(*tables, k=4, by=("category", "keyword"), tiles=tiles).select("query_id", "rank", "doc_id", "score")
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_search_with_more_filters_than_are_broadcast(spark, monkeypatch):
+    index = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), F.col("id").alias("shop"))
+    queries = index.select(F.col("doc_id").alias("query_id"), "embedding", "shop")
+    monkeypatch.setattr(retrieval, "FILTERS", 5)
+    got = retrieval.search(queries, index, k=3, by=("shop",)).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(i, i) for i in range(40)]
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    for n in "ba":
+        (tmp_path / f"{n}.txt").write_text("".join("\n" if i % 7 == 3 else f"{n}{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = readers.read_lines(spark, str(tmp_path))
+        got = sorted(map(tuple, lines.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(j * 3000 + i + 1, f"{n}{i}") for j, n in enumerate("ab") for i in range(3000) if i % 7 != 3]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.txt").write_text("")
+    assert readers.read_lines(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_search_plan_has_top_k_before_the_window(spark):
     index = spark.createDataFrame([("b", [1.0, 0.0])], "doc_id string, embedding array<float>")
     plan = retrieval.search(index.withColumnRenamed("doc_id", "query_id"), index, k=2)._jdf.queryExecution().executedPlan().toString()
