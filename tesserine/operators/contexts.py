@@ -79,6 +79,14 @@ def build_context(queries: DataFrame, hits: DataFrame, *, max_chars: int | None
     return asked.join(context_blocks(best, max_chars=max_chars, metadata=metadata), "query_id", "left").fillna("", ["context_block"])
 
 
+def context_list(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, contexts: each query's contexts as ``build_context`` orders them, with their metadata, distance and score; empty without hits."""
+    asked = queries.select("query_id", "query")
+    best = rerank(distinct_subjects(hits.join(asked, "query_id")))
+    listed = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "doc_id", "content", "keyword", "category", "subcategory", "distance", "score"))).alias("contexts"))
+    return asked.select("query_id").join(listed, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast(listed.schema["contexts"].dataType)))
+
+
 def prompt(question: Column, context: Column) -> Column:
     """The prompt for a question; an error if it is blank."""
     q, c = T.text_or_empty(question), T.text_or_empty(context)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plugins import Scorer
 
 
 def tokens(c: Column | str) -> Column:
@@ -93,6 +94,12 @@ def corpus_rouge(df: DataFrame, prediction: str, reference: str) -> DataFrame:
     return each.agg(*(F.round(F.avg(c), 4).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
 
 
+def model_scores(df: DataFrame, prediction: str, reference: str, scorer: Scorer) -> DataFrame:
+    """One row of a plugged-in scorer's means: precision, recall, f1; 0 for no rows."""
+    each = scorer.score(df.select(prediction, reference), prediction, reference)
+    return each.agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("precision", "recall", "f1")))
+
+
 def align(predictions: DataFrame, references: DataFrame, *, by: str = "row_index") -> DataFrame:
     """by, prediction, reference: rows of the same number in both tables."""
     return predictions.select(by, "prediction").join(references.select(by, "reference"), by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ class Settings:
     threshold: float | None = retrieval.DEFAULT_THRESHOLD
     max_chars: int = contexts.MAX_CHARS
     debug: bool = True
+    #: One generation at a time, for a model that can't be shared.
+    serial: bool = False
 
 
 def prepare(items: DataFrame, index: DataFrame, *, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -97,18 +100,51 @@ def evaluate_retrieval(queries: DataFrame, index: DataFrame, embedder: Embedder,
     return results, evaluation.summarize(results, k=k)
 
 
-def answer(requests: DataFrame, index: DataFrame, embedder: Embedder, generator: Generator, settings: Settings = Settings()) -> DataFrame:
-    """One row per request (query_id, question, normalized_question, category, keyword): retrieval_query, answer and, if debugging, context and prompt.
+def search_contents(requests: DataFrame, index: DataFrame, embedder: Embedder, *, k: int, threshold: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, rank, content: what ``search_texts`` finds, contents only."""
+    return search_texts(requests, index, embedder, k=k, threshold=threshold, by=by).select("query_id", "rank", "content")
 
-    A category or keyword that is given always filters.
-    """
+
+def _prepared(requests: DataFrame, index: DataFrame, embedder: Embedder, settings: Settings) -> DataFrame:
+    """query_id, query, context_block, prompt, contexts and filters of requests."""
     asked = requests.select("query_id", T.first_text("normalized_question", "question").alias("query"), T.clean_optional("category").alias("category"), T.clean_optional("keyword").alias("keyword"))
     hits = search_texts(asked, index, embedder, k=settings.top_k, threshold=settings.threshold, by=("category", "keyword"))
-    prompts = contexts.prepare_prompts(requests, hits, max_chars=settings.max_chars)
-    answered = generator.generate(prompts).withColumn("answer", T.postprocess_answer("answer")).withColumnRenamed("query", "retrieval_query")
+    filters = asked.select("query_id", F.struct("category", "keyword").alias("filters"))
+    prompts = contexts.prepare_prompts(requests, hits, max_chars=settings.max_chars).join(filters, "query_id")
+    return prompts.join(contexts.context_list(asked, hits), "query_id") if settings.debug else prompts
+
+
+def _generated(prompts: DataFrame, generator: Generator, settings: Settings) -> DataFrame:
+    answered = generator.generate(prompts.repartition(1) if settings.serial else prompts)
+    answered = answered.withColumn("answer", T.postprocess_answer("answer")).withColumnRenamed("query", "retrieval_query")
     return answered if settings.debug else answered.drop("context_block", "prompt")
 
 
+def answer(requests: DataFrame, index: DataFrame, embedder: Embedder, generator: Generator, settings: Settings = Settings()) -> DataFrame:
+    """One row per request (query_id, question, normalized_question, category, keyword): retrieval_query, filters, answer and, if debugging, context, prompt and the list of contexts.
+
+    A category or keyword that is given always filters.
+    """
+    return _generated(_prepared(requests, index, embedder, settings), generator, settings)
+
+
+def answer_with_timing(requests: DataFrame, index: DataFrame, embedder: Embedder, generator: Generator, settings: Settings = Settings()) -> DataFrame:
+    """As ``answer``, with ``timing``: the seconds that these requests together took to prepare, to generate and in all.
+
+    Each part is run to its end and kept, so that the next doesn't count it again; a lost executor's share is made again.
+    """
+    start = time.perf_counter()
+    prompts = _prepared(requests, index, embedder, settings).persist()
+    prompts.count()
+    ready = time.perf_counter()
+    answered = _generated(prompts, generator, settings).persist()
+    answered.count()
+    done = time.perf_counter()
+    prompts.unpersist()
+    took = {"rag_seconds": ready - start, "generation_seconds": done - ready, "total_seconds": done - start}
+    return answered.withColumn("timing", F.struct(*(F.lit(v).alias(k) for k, v in took.items())))
+
+
 def top_contexts(records: DataFrame, index: DataFrame, embedder: Embedder, *, use_category_filter: bool = True, use_keyword_filter: bool = False, threshold: float | None = None) -> DataFrame:
     """Records with ``retrieve_context``: the content of the nearest document to their question, or blank."""
     by = ("category",) * use_category_filter + ("keyword",) * use_keyword_filter

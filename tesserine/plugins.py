@@ -1,9 +1,10 @@
-"""What a user can plug in: an embedder, a generator and a rewriter, each with an offline stand-in."""
+"""What a user can plug in: an embedder, a generator, a rewriter and a scorer, each with an offline stand-in."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -20,10 +21,51 @@ class Generator(Protocol):
     def generate(self, prompts: DataFrame) -> DataFrame: ...
 
 
+class StreamingGenerator(Protocol):
+    def stream(self, prompts: DataFrame) -> DataFrame:
+        """request_id, seq, token, is_last for each prompt, as ``streaming.answers.stream_sentences`` takes them."""
+        ...
+
+
 class Rewriter(Protocol):
     def rewrite(self, pending: DataFrame) -> DataFrame: ...
 
 
+class Scorer(Protocol):
+    def score(self, df: DataFrame, prediction: str, reference: str) -> DataFrame:
+        """``df`` with precision, recall and f1."""
+        ...
+
+
+def device(wanted: str | None = "auto") -> str:
+    """The device that a model plug-in runs on, found where it runs: the one named, or the best there is."""
+    name = (wanted or "auto").lower()
+    if name != "auto":
+        return name
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    if torch.cuda.is_available():
+        return "cuda"
+    mps = getattr(torch.backends, "mps", None)
+    return "mps" if mps is not None and mps.is_available() else "cpu"
+
+
+#: Names of number types.
+DTYPES = {"float16": "float16", "fp16": "float16", "bfloat16": "bfloat16", "bf16": "bfloat16", "float32": "float32", "fp32": "float32"}
+
+
+def dtype(wanted: str | None, on: str) -> str:
+    """The number type of a model's weights: the one named, or half precision where that is usual."""
+    name = (wanted or "auto").lower()
+    if name == "auto":
+        return "float16" if on == "cuda" else "float32"
+    if name not in DTYPES:
+        raise ValueError(f"unknown number type {wanted}")
+    return DTYPES[name]
+
+
 class HashEmbedder:
     """Character n-grams hashed into a unit vector: the same text always has the same vector. Blank texts are an error."""
 
@@ -60,6 +102,74 @@ class EchoGenerator:
         return prompts.withColumn("answer", F.coalesce(F.nullif(first, F.lit("")), F.nullif(content, F.lit("")), F.lit("Chưa có đủ thông tin.")))
 
 
+    def stream(self, prompts: DataFrame) -> DataFrame:
+        """The same answer, word by word."""
+        words = F.split("answer", "(?<= )")
+        each = self.generate(prompts).select(F.col("query_id").alias("request_id"), F.posexplode(words).alias("seq", "token"), F.size(words).alias("n"))
+        return each.select("request_id", F.col("seq").cast("long").alias("seq"), "token", (F.col("seq") == F.col("n") - 1).alias("is_last"))
+
+
+class BatchRewriter:
+    """Asks ``ask`` for the rewrites of a few rows at a time; what it fails at after all tries has none, and is asked again in the next run.
+
+    ask: rows (keyword, vision_caption, question and their index) to {index: rewrite}. It is made on
+    each executor by ``connect``, so that no client or key is part of a plan; None where there is no key.
+    pause: seconds between the batches of a task; ``tasks`` of them run at once, one by default, so that a limit on requests holds.
+    """
+
+    def __init__(self, connect: Callable[[], Callable[[list[dict]], dict[int, str]] | None], *, size: int = 20, tries: int = 2, wait: float = 1.0, pause: float = 7.0, tasks: int = 1):
+        if size < 1 or tries < 1 or tasks < 1:
+            raise ValueError("size, tries and tasks must be positive")
+        self.connect, self.size, self.tries, self.wait, self.pause, self.tasks = connect, size, tries, wait, pause, tasks
+
+    def _asked(self, ask: Callable[[list[dict]], dict[int, str]], items: list[dict]) -> dict[int, str]:
+        for left in reversed(range(self.tries)):
+            try:
+                return ask(items)
+            except Exception:  # noqa: BLE001 - whatever a client raises
+                if left:
+                    time.sleep(self.wait)
+        return {}
+
+    def rewrite(self, pending: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask, asked_before = self.connect(), False
+            for frame in frames:
+                for at in range(0, len(frame), self.size):
+                    part = frame.iloc[at : at + self.size]
+                    rows = part[["keyword", "vision_caption", "question"]].fillna("").map(lambda x: str(x).strip()).to_dict("records")
+                    if ask is not None and asked_before:
+                        time.sleep(self.pause)
+                    found = self._asked(ask, [{"index": i} | row for i, row in enumerate(rows)]) if ask is not None else {}
+                    asked_before = True
+                    yield part[["row_index"]].assign(standalone_question=[found.get(i) for i in range(len(part))])
+
+        return pending.repartition(self.tasks).mapInPandas(run, "row_index long, standalone_question string")
+
+
+class GreedyMatchScorer:
+    """Each word with the most alike of the other text's words, by the vectors of ``embedder``; with a model's vectors, its usual greedy score."""
+
+    def __init__(self, embedder: HashEmbedder | None = None):
+        self.embedder = embedder or HashEmbedder(256)
+
+    def of(self, prediction: str | None, reference: str | None) -> tuple[float, float, float]:
+        """(precision, recall, f1); a text without words scores 0."""
+        a, b = ((x or "").split() for x in (prediction, reference))
+        if not a or not b:
+            return 0.0, 0.0, 0.0
+        alike = np.array([self.embedder.vector(x) for x in a]) @ np.array([self.embedder.vector(x) for x in b]).T
+        p, r = float(alike.max(axis=1).mean()), float(alike.max(axis=0).mean())
+        return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+    def score(self, df: DataFrame, prediction: str, reference: str) -> DataFrame:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for x, y in batches:
+                yield pd.DataFrame([self.of(*pair) for pair in zip(x, y, strict=True)], columns=["precision", "recall", "f1"])
+
+        return df.withColumn("_s", F.pandas_udf(run, "precision double, recall double, f1 double")(prediction, reference)).select(*df.columns, "_s.*")
+
+
 class KeywordRewriter:
     """Puts the keyword before the question; stands in for a language model."""
 

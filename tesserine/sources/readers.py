@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +84,22 @@ def read_json_or_missing(spark: SparkSession, path: str, schema: str) -> DataFra
     return spark.createDataFrame([()], T.StructType([])).select(F.from_json(F.lit("{}"), schema).alias("j")).select("j.*", F.lit(True).alias("input_missing"))
 
 
+def nested(df: DataFrame, path: str, default: Column) -> Column:
+    """The value at a dotted path; the default where a step of it is missing, isn't a struct, or is null."""
+    found: T.DataType = df.schema
+    for name in path.split("."):
+        if not isinstance(found, T.StructType) or name not in found.names:
+            return default
+        found = found[name].dataType
+    return F.coalesce(F.col(".".join(f"`{x}`" for x in path.split("."))), default)
+
+
+def unwrapped(df: DataFrame, wrapper: str = "summary") -> DataFrame:
+    """Rows of statistics, taken out of the ``wrapper`` struct that some files have around them."""
+    wrapped = wrapper in df.columns and isinstance(df.schema[wrapper].dataType, T.StructType)
+    return df.select(f"`{wrapper}`.*", *(c for c in ("input_missing",) if c in df.columns)) if wrapped else df
+
+
 def read_yaml(path: str) -> dict[str, Any]:
     """A configuration file; needs a YAML parser to be installed."""
     try:

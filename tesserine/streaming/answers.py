@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,10 +59,35 @@ def stream_sentences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("request_id").transformWithStateInPandas(SentenceBuffer(), outputStructType=SENTENCES, outputMode="Append", timeMode="None")
 
 
+class ShownBefore(StatefulProcessor):
+    """Per request, whether a sentence was shown yet."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.any = handle.getValueState("any", "shown boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = pd.concat(list(rows)).sort_values("part")
+        out["later"] = True
+        if not self.any.exists():
+            out.iloc[0, out.columns.get_loc("later")] = False
+            self.any.update((True,))
+        yield out[["request_id", "part", "clean", "later"]]
+
+    def close(self) -> None:
+        pass
+
+
 def clean_chunks(sentences: DataFrame) -> DataFrame:
-    """request_id, part, chunk_at, chunk: sanitized sentences as words to show, with a space between all but at the start."""
-    clean = sentences.withColumn("clean", X.sanitize_answer("sentence")).where("clean <> ''")
-    chunks = F.when(F.col("part") == 0, X.display_chunks("clean")).otherwise(X.display_chunks("clean", leading_space=True))
+    """request_id, part, chunk_at, chunk: sanitized sentences as words to show, with a space between all but before the first that is shown.
+
+    A sentence that nothing is left of shows nothing, so the next may be the first. Of a stream, the request's state tells.
+    """
+    clean = sentences.select("request_id", "part", X.sanitize_answer("sentence").alias("clean")).where("clean <> ''")
+    if clean.isStreaming:
+        clean = clean.groupBy("request_id").transformWithStateInPandas(ShownBefore(), outputStructType="request_id string, part long, clean string, later boolean", outputMode="Append", timeMode="None")
+    else:
+        clean = clean.withColumn("later", F.col("part") > F.min("part").over(W.partitionBy("request_id")))
+    chunks = F.when(F.col("later"), X.display_chunks("clean", leading_space=True)).otherwise(X.display_chunks("clean"))
     return clean.select("request_id", "part", F.posexplode(chunks).alias("chunk_at", "chunk"))
 
 
@@ -103,9 +130,15 @@ def parse_event_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.where((body != "") & v.isNotNull()).select("*", F.try_variant_get(v, "$.type", "string").alias("type"), body.alias("payload")).where("type IS NOT NULL")
 
 
-def rewrite_stream(records: DataFrame, rewrite: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], *, checkpoint: str):
+def rewrite_stream(records: DataFrame, rewrite: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], *, checkpoint: str, pause: float = 0.0):
     """Rewrite a stream of records batch by batch, each stored before the next is asked for; a restart goes on where it stopped.
 
-    How large a batch is, is the source's setting (maxFilesPerTrigger).
+    How large a stored batch is, is the source's setting (maxFilesPerTrigger); ``pause`` seconds pass after each.
+    How many records a request to a model has and how often one is sent, is the rewriter's (``plugins.BatchRewriter``).
     """
-    return records.writeStream.foreachBatch(lambda df, i: sink(rewrite(df), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def run(df: DataFrame, i: int) -> None:
+        sink(rewrite(df), i)
+        time.sleep(pause)
+
+    return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

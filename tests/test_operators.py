@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine.operators import contexts, evalset, evaluation, keywords, metrics, preparation, retrieval, rewriting, validation
 from tesserine.plans import jobs
-from tesserine.plugins import EchoGenerator, HashEmbedder, KeywordRewriter
+from tesserine.plugins import BatchRewriter, EchoGenerator, GreedyMatchScorer, HashEmbedder, KeywordRewriter, device, dtype
 from tesserine.sources import readers, sinks
 
 HIT = "query_id string, rank int, doc_id string, content string, keyword string, category string, subcategory string, score double, distance double"
@@ -305,3 +305,66 @@ def test_index_and_answers(spark):
     assert again.count() == 3
     records = spark.createDataFrame([("r", "phở là gì", "", "am_thuc", "phở", 5)], "query_id string, question string, standalone_question string, category string, keyword string, extra int")
     assert jobs.top_contexts(records, index, embedder).first()["retrieve_context"].startswith("phở")
+    timed = jobs.answer_with_timing(requests, index, embedder, EchoGenerator(), jobs.Settings(threshold=0.1, serial=True)).collect()
+    assert {r["query_id"]: r["answer"] for r in timed} == {k: r["answer"] for k, r in got.items()}
+    assert all(r["timing"]["total_seconds"] >= r["timing"]["rag_seconds"] > 0 for r in timed)
+    assert got["3"]["contexts"] == [] and got["3"]["filters"]["category"] == "other"
+    assert [c["position"] for c in got["2"]["contexts"]] == list(range(1, len(got["2"]["contexts"]) + 1)) and got["2"]["contexts"][0]["content"].startswith("phở")
+    plain = jobs.answer(requests, index, embedder, EchoGenerator(), jobs.Settings(threshold=0.1, debug=False))
+    assert plain.columns == ["query_id", "retrieval_query", "filters", "answer"]
+    asked = requests.select("query_id", F.col("question").alias("query"))
+    assert jobs.search_contents(asked, index, embedder, k=1).where("query_id = '1'").first()["content"].startswith("bún chả")
+
+
+def _client(path):
+    """Answers in capitals; fails at its first request and whenever a question says so."""
+
+    def connect():
+        def ask(items):
+            with open(path, "a") as f:
+                f.write(f"{len(items)}\n")
+            with open(path) as f:
+                if len(f.readlines()) == 1 or any("fail" in x["question"] for x in items):
+                    raise ConnectionError
+            return {x["index"]: x["question"].upper() for x in items if "skip" not in x["question"]}
+
+        return ask
+
+    return connect
+
+
+def test_batch_rewriter(spark, tmp_path):
+    texts = ["a", "b", "skip", " c ", "fail", "d", "e"]
+    rows = spark.createDataFrame([(i, "k", x, None) for i, x in enumerate(texts)], "row_index long, keyword string, question string, vision_caption string").coalesce(1).sortWithinPartitions("row_index")
+    log = tmp_path / "requests"
+    rewriter = BatchRewriter(_client(str(log)), size=1, tries=2, wait=0.0, pause=0.0)
+    got = {r[0]: r[1] for r in rewriter.rewrite(rows).collect()}
+    assert got == {0: "A", 1: "B", 2: None, 3: "C", 4: None, 5: "D", 6: "E"}
+    log.unlink()
+    assert sorted(r[1] for r in BatchRewriter(_client(str(log)), size=4, wait=0.0, pause=0.0).rewrite(rows.where("question <> 'fail'")).collect() if r[1]) == ["A", "B", "C", "D", "E"]
+    assert log.read_text().split() == ["4", "4", "2"]
+    done = rewriting.apply_model(rows.withColumns({"standalone_question": F.col("question"), "rewrite_method": F.lit("pending"), "rewrite_source": F.lit(None).cast("string")}), rows, BatchRewriter(lambda: None))
+    assert {r["rewrite_method"] for r in done.collect()} == {"failed"}
+    with pytest.raises(ValueError):
+        BatchRewriter(lambda: None, size=0)
+
+
+def test_scorer_and_devices(spark):
+    df = spark.createDataFrame([("nem rán ngon", "nem rán ngon"), ("nem", "nem phở"), ("", "x"), (None, None)], "p string, r string")
+    scorer = GreedyMatchScorer()
+    each = scorer.score(df, "p", "r").collect()
+    assert tuple(round(x, 9) for x in tuple(each[0])[2:]) == (1.0, 1.0, 1.0) and round(each[1]["precision"], 9) == 1.0 and each[1]["recall"] < 1.0
+    assert tuple(each[2])[2:] == tuple(each[3])[2:] == (0.0, 0.0, 0.0)
+    means = metrics.model_scores(df, "p", "r", scorer).first()
+    assert means["precision"] == 0.5 and metrics.model_scores(df.limit(0), "p", "r", scorer).first()["f1"] == 0.0
+    assert device("CPU") == "cpu" and device(None) in ("cpu", "cuda", "mps")
+    assert (dtype("auto", "cuda"), dtype(None, "cpu"), dtype("BF16", "cpu")) == ("float16", "float32", "bfloat16")
+    with pytest.raises(ValueError):
+        dtype("int3", "cpu")
+
+
+def test_nested_and_unwrapped(spark):
+    df = spark.sql("SELECT named_struct('a', named_struct('b', 1), 'n', CAST(NULL AS INT)) AS summary, true AS input_missing")
+    values = [readers.nested(df, p, F.lit(-1)) for p in ("summary.a.b", "summary.n", "summary.x", "summary.a.b.c", "none")]
+    assert tuple(df.select(*(v.alias(str(i)) for i, v in enumerate(values))).first()) == (1, -1, -1, -1, -1)
+    assert readers.unwrapped(df).columns == ["a", "n", "input_missing"] and readers.unwrapped(spark.range(1)).columns == ["id"]

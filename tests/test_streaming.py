@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as X
+from tesserine.plugins import EchoGenerator
 from tesserine.streaming import answers, events
 
 
@@ -54,6 +56,31 @@ def test_sentence_stream_equals_batch(spark, tmp_path):
     assert "".join(r["chunk"] for r in chunks) == "Nem nướng ngon. Món này cay! Hết"
 
 
+def test_first_shown_chunk_has_no_space(spark, tmp_path):
+    text = {"r1": ["Trong hình ảnh này ", "Phở ngon. ", "Hết."], "r2": ["Một câu. ", "Hai."]}
+    rows = [(k, i, x) for k, v in text.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, answers.SENTENCES)
+    assert df.where("part = 0 and request_id = 'r1'").select(X.sanitize_answer("sentence")).first()[0] == ""
+    for i in range(3):
+        df.where(f"part = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = answers.clean_chunks(stream).writeStream.format("memory").queryName("shown").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    for shown in (answers.clean_chunks(df), spark.table("shown")):
+        got = {}
+        for r in shown.orderBy("part", "chunk_at").collect():
+            got[r["request_id"]] = got.get(r["request_id"], "") + r["chunk"]
+        assert got == {"r1": "Phở ngon. Hết.", "r2": "Một câu. Hai."}
+
+
+def test_streaming_generator(spark):
+    prompts = spark.createDataFrame([("a", "content:\nPhở ngon lắm. Thêm."), ("b", "")], "query_id string, context_block string")
+    tokens = EchoGenerator().stream(prompts)
+    assert tokens.where("is_last").count() == 2
+    assert {r["request_id"]: r["done"] + r["rest"] for r in answers.batch_sentences(tokens).collect()} == {r["query_id"]: r["answer"] for r in EchoGenerator().generate(prompts).collect()}
+
+
 def test_rewrite_stream_goes_on_where_it_stopped(spark, tmp_path):
     from tesserine.operators import rewriting
 
