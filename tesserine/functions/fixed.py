@@ -98,6 +98,11 @@ Câu hỏi:
 """
 PROMPT_MIDDLE = "\n\nNgữ cảnh văn hóa:\n"
 
+# A user's request in a training chat, with a context and a question.
+CHAT_REQUEST = """Dựa vào ngữ cảnh văn hóa được cung cấp, hãy trả lời câu hỏi sau.
+[Ngữ cảnh]: %s
+[Câu hỏi]: %s"""
+
 # Validation messages.
 ISSUES = {
     "no_id": "Missing or empty doc_id.",

@@ -112,14 +112,22 @@ def whole_number(c: Column) -> Column:
 
 
 def training_texts(records: DataFrame) -> DataFrame:
-    """context, question, answer with their fallbacks, for rows that have all."""
-    out = records.select(T.first_text("retrieve_context", "cultural_context").alias("context"), T.first_text("standalone_question", "question").alias("question"), T.text_or_empty("answer_label").alias("answer"))
-    return out.where("question <> '' AND answer <> ''")
+    """culture_context, standalone_question, answer_label_explainable of every record, each the first of its columns that isn't empty, or empty."""
 
+    def first(*columns: str) -> Column:
+        return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns if c in records.columns), F.lit(""))
 
-def chat_texts(texts: DataFrame, form: str = "<|user|>\n%s\n\n%s\n<|assistant|>\n%s") -> DataFrame:
-    """``text``: context, question and answer of ``training_texts`` in the form of a chat."""
-    return texts.withColumn("text", F.format_string(form, "context", "question", "answer"))
+    return records.select(first("cultural_context", "culture_context").alias("culture_context"), first("standalone_question", "question").alias("standalone_question"), first("answer_label", "answer").alias("answer_label_explainable"))
+
+
+#: A chat as text; a model's own template takes its place.
+CHAT = "<|im_start|>user\n%s<|im_end|>\n<|im_start|>assistant\n%s<|im_end|>\n"
+
+
+def chat_texts(texts: DataFrame, form: str = CHAT) -> DataFrame:
+    """``text``: the chat of each row of ``training_texts``, a user's request with its context and the answer."""
+    asked = F.format_string(fixed.CHAT_REQUEST, "culture_context", "standalone_question")
+    return texts.select(F.format_string(form, asked, "answer_label_explainable").alias("text"))
 
 
 def loss_per_epoch(log: DataFrame) -> DataFrame:

@@ -300,6 +300,17 @@ def small_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_optional("p_name").alias("optional"), T.strip_code_fence(F.concat(F.lit("```json\nx "), "p_brand", F.lit("\n```"))).alias("unfenced"), T.preview("p_type", 10).alias("preview"))
 
 
+@query("SELECT E'<|im_start|>user\\n" + fixed.CHAT_REQUEST.replace("\n", "\\n").replace("%s", "' || CASE WHEN turn % 3 = 0 THEN role ELSE 'about ' || conv_id END || E'", 1).replace("%s", "' || CASE WHEN turn % 2 = 0 THEN 'q' ELSE text END || E'", 1) + "<|im_end|>\\n<|im_start|>assistant\\n' || role || E'<|im_end|>\\n' AS text FROM conversations WHERE text <> ''")
+def chat_training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training chats of records whose fields fall back on others."""
+    c = table(spark, sf_dir, "conversations").where("text <> ''")
+    rows = c.select(
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("about "), F.col("conv_id").cast("string"))).alias("cultural_context"), F.col("role").alias("culture_context"),
+        F.when(F.col("turn") % 2 == 0, "q").alias("standalone_question"), F.col("text").alias("question"), F.lit("").alias("answer_label"), F.col("role").alias("answer"),
+    )
+    return preparation.chat_texts(preparation.training_texts(rows))
+
+
 # ---- streams ----
 
 

@@ -243,8 +243,9 @@ def test_preparation(spark):
     assert len(docs) == 1 and docs[0]["source_image_ids"].split("|")[-1].endswith("_q2") and docs[0]["doc_id"].startswith("am_thuc|pho|phở|")
     row = spark.sql("SELECT array('b', 'a', null, ' a ', '') AS s").select(preparation.distinct_symbolism(F.col("s")).alias("x")).first()
     assert row["x"] == "a b"
-    pairs = preparation.training_texts(spark.sql("SELECT '' AS retrieve_context, 'c' AS cultural_context, NULL AS standalone_question, 'q' AS question, 'a' AS answer_label"))
-    assert preparation.chat_texts(pairs).first()["text"].endswith("c\n\nq\n<|assistant|>\na")
+    pairs = preparation.training_texts(spark.sql("SELECT * FROM VALUES ('', 'c', NULL, 'q', 'a'), ('d', 'x', 's', 'q', NULL) AS t (cultural_context, culture_context, standalone_question, question, answer)"))
+    assert sorted(map(tuple, pairs.collect())) == [("c", "q", "a"), ("d", "s", "")]
+    assert preparation.chat_texts(pairs.where("culture_context = 'c'")).first()["text"].endswith("[Ngữ cảnh]: c\n[Câu hỏi]: q<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n")
     numbers = spark.sql("SELECT explode(array('3', 'x', null, 'true', '2.0')) AS s").select(preparation.whole_number(F.col("s")).alias("x")).collect()
     assert [r["x"] for r in numbers] == [3, 0, 0, 0, 2]
 
@@ -368,3 +369,22 @@ def test_nested_and_unwrapped(spark):
     values = [readers.nested(df, p, F.lit(-1)) for p in ("summary.a.b", "summary.n", "summary.x", "summary.a.b.c", "none")]
     assert tuple(df.select(*(v.alias(str(i)) for i, v in enumerate(values))).first()) == (1, -1, -1, -1, -1)
     assert readers.unwrapped(df).columns == ["a", "n", "input_missing"] and readers.unwrapped(spark.range(1)).columns == ["id"]
+
+
+def test_rouge_l_equals_the_table_of_prefixes(spark):
+    rng = np.random.default_rng(2)
+    pairs = [tuple(" ".join(rng.choice(list("abcde"), rng.integers(0, 90))) for _ in range(2)) for _ in range(150)]
+
+    def model(a, b):
+        a, b = a.split(), b.split()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        p, r = (row[-1] / len(x) if x else 0.0 for x in (a, b))
+        return 2 * p * r / (p + r) if p + r else 0.0
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", metrics.rouge_l(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    assert [round(r["s"] or 0.0, 9) for r in got] == [round(model(*p), 9) for p in pairs]

@@ -89,6 +89,43 @@ def test_sanitize(spark):
     assert one(spark, T.postprocess_answer("t"), t=" ") == ""
 
 
+def model_sanitized(text):
+    def without(pattern, s, by=""):
+        return re.sub(pattern, by, s, flags=re.IGNORECASE)
+
+    def unseen(s):
+        for pattern in fixed.VISUAL_PHRASES:
+            s = without(pattern, s)
+        return model_spaces(s).strip(" ,;:-")
+
+    whole = (text or "").strip()
+    kept = []
+    for s in re.split(rf"(?<=[{fixed.SENTENCE_ENDS}])\s+", whole.replace("\n", " ")):
+        s = unseen(without(fixed.LEADING_VISUAL, s.strip()).strip())
+        s = without(fixed.APPOSITION, without(fixed.LEADING_CLASSIFIER, s).strip(), r"\1 là một ").strip()
+        if s and not re.search(fixed.VISUAL_TERMS, s[0].upper() + s[1:], re.IGNORECASE):
+            kept.append(s[0].upper() + s[1:])
+    joined = re.sub(r"\.{2,}", ".", re.sub(r"\s+([,.!?])", r"\1", " ".join(kept)))
+    return joined or unseen(without(fixed.LEADING_VISUAL, whole).strip())
+
+
+def model_answer(text):
+    text = (text or "").strip()
+    for prefix in fixed.ANSWER_PREFIXES:
+        text = text[len(prefix):].strip() if text.startswith(prefix) else text
+    return model_sanitized(text)
+
+
+def test_sanitizer_equals_model(spark):
+    rng = random.Random(8)
+    parts = ["hình ảnh", "Hình ảnh", "BỨC ẢNH", "ảnh", "ảnh chụp", "này", "đó", "cho thấy", "thể hiện", "mô tả", "trong", "Trong", "qua", "hình", "có thể", "nhìn thấy", "thấy", "rằng", "một", "Một", "các", "đĩa", "món", "chiếc",
+             "phở bò", "áo dài", "đẹp", "là", "của", "ăn", "ớt", ",", ", một", ".", ". ", "..", "!", "? ", "。", "\n", "\t", " - ", ";", ":", "Trả lời:", "Câu trả lời:", "Answer:"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["", None, " "]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.sanitize_answer("t").alias("s"), T.postprocess_answer("t").alias("p")).orderBy("i").collect()
+    for text, r in zip(texts, got, strict=True):
+        assert (text, r["s"], r["p"]) == (text, model_sanitized(text), model_answer(text))
+
+
 def test_sentences_and_chunks(spark):
     assert tuple(one(spark, T.complete_sentences("t"), t="Nem nướng là món ăn Việt Nam. Món này thường")) == ("Nem nướng là món ăn Việt Nam. ", "Món này thường")
     assert tuple(one(spark, T.complete_sentences("t"), t="no end")) == ("", "no end")
