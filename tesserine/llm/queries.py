@@ -6,8 +6,9 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, language, language_model, mixing, packing, quality, simhash, token_file, toxicity
+from . import embed_dedup, exact_dedup, harmonic, language, language_model, mixing, packing, quality, simhash, spelling, token_file, toxicity, whitening
 from .common import table
 
 
@@ -51,6 +52,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_table(table(spark, sf_dir, "documents"))
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
