@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op6_mix_sources": mixing.oracle_sql()}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op6_mix_sources": mixing.oracle_sql(), "op12_spelling_variants": spelling.ORACLE}

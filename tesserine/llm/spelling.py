@@ -228,3 +228,22 @@ def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def grouped(variant_rows: DataFrame) -> DataFrame:
     """root, words, n: the groups that roots make, with the number of their words and all occurrences."""
     return variant_rows.groupBy("root").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+
+
+#: crc32 goes byte by byte over a table that its polynomial makes; letters beyond ASCII become single bytes for levenshtein, which compares bytes.
+ORACLE = """
+WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents),
+each AS (SELECT run, count(*) AS n, encode(doc || run) AS bytes FROM runs GROUP BY doc, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(bytes)), lambda i: CAST(('0x' || substr(hex(bytes), CAST(2 * i + 1 AS INTEGER), 2)) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) AS h FROM each, poly),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS size, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_`{|') AS plain
+  FROM spelt GROUP BY word HAVING sum(n) >= 5 AND length(word) >= 6),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM words a JOIN words b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND levenshtein(a.plain, b.plain) = 1),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n,
+  CASE WHEN b.top >= 5 * w.n THEN (SELECT min(p.other) FROM pairs p WHERE p.word = w.word AND p.other_n = b.top) END AS form FROM words w LEFT JOIN best b ON w.word = b.word),
+steps AS (SELECT word, word AS at FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word JOIN forms e ON e.word = s.at AND e.form IS NULL
+"""
