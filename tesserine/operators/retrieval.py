@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,37 @@ def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshol
     k = k or DEFAULT_K
     if k < 0:
         raise ValueError("k must be positive")
+    each = tile_hits(queries, index, k, nearest, by=by, query_id=query_id, doc_id=doc_id, vectors=(vector, vector), tiles=tiles)
+    ranked = best(each, k)
+    kept = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
+    return kept.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score", (1 - F.col("score")).alias("distance"))
+
+
+def best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of (q, d, score) for each q, with their rank; ties go to the smaller d."""
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc("d")))).where(F.col("rank") <= k)
+
+
+def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]], *, by: tuple[str, ...], query_id: str, doc_id: str, vectors: tuple[str, str], tiles: tuple[int, int] = TILES) -> DataFrame:
+    """q, d, score: of each pair of tiles, what ``near`` finds among the rows that a query's filter passes, k for each query.
+
+    vectors: the columns of the queries and of the index that ``near`` gets as v.
+    """
     blank = F.lit("")
     values = [F.coalesce(F.col(c).cast("string"), blank) for c in by]
 
-    def side(df: DataFrame, key: str, wants: Column) -> DataFrame:
-        v = F.col(vector) if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else F.col(vector).cast("array<double>")
+    def side(df: DataFrame, key: str, vector: str, wants: Column) -> DataFrame:
+        kind = df.schema[vector].dataType
+        v = F.col(vector) if kind in (T.ArrayType(T.FloatType()), T.BinaryType()) else F.col(vector).cast("array<double>")
         return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"), F.explode(wants).alias("want"))
 
     def want(chosen: tuple[bool, ...]) -> Column:
         """A filter as text; columns that aren't chosen don't filter."""
         return F.to_json(F.array(*(F.when(v != "", F.concat(F.lit("="), v)).otherwise(blank) if on else blank for on, v in zip(chosen, values, strict=True))).cast("array<string>"))
 
-    asked = side(queries, query_id, F.array(want((True,) * len(by))))
+    asked = side(queries, query_id, vectors[0], F.array(want((True,) * len(by))))
     # A row passes a filter on any choice of columns: as many copies here, of which those that are asked for go on.
-    known = side(index, doc_id, F.array_distinct(F.array(*map(want, itertools.product((False, True), repeat=len(by))))))
+    known = side(index, doc_id, vectors[1], F.array_distinct(F.array(*map(want, itertools.product((False, True), repeat=len(by))))))
     sizes = _sizes(asked, known, tiles)
     left = asked.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
     right = known.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "cols").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"))
@@ -53,13 +71,10 @@ def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshol
 
     def top(q: pa.Table, d: pa.Table) -> pa.Table:
         names = [t.column("id").combine_chunks() for t in (q, d)]
-        at_q, at_d, scores = _nearest(q, d, k) if len(q) and len(d) else (np.zeros(0, dtype=np.int64),) * 3
+        at_q, at_d, scores = near(q, d, k) if len(q) and len(d) else (np.zeros(0, dtype=np.int64),) * 3
         return pa.table({"q": names[0].take(pa.array(at_q)), "d": names[1].take(pa.array(at_d)), "score": pa.array(scores, pa.float64())})
 
-    each = left.groupBy("want", "i", "j").cogroup(right.groupBy("want", "i", "j")).applyInArrow(top, shape)
-    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc("d")))).where(F.col("rank") <= k)
-    kept = ranked if threshold is None else ranked.where(F.col("score") >= threshold)
-    return kept.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score", (1 - F.col("score")).alias("distance"))
+    return left.groupBy("want", "i", "j").cogroup(right.groupBy("want", "i", "j")).applyInArrow(top, shape)
 
 
 def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFrame:
@@ -73,16 +88,21 @@ def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFr
     return both if len(few) > FILTERS else F.broadcast(asked.sparkSession.createDataFrame(few, both.schema))
 
 
-def _nearest(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of each query of a pair of tiles, by their places in them."""
-    a, b = _matrix(q), _matrix(d)
+    a, b = unit_rows(q), unit_rows(d)
     if a.shape[1] != b.shape[1]:
         raise ValueError("queries and index have vectors of different lengths")
     by_id = pc.sort_indices(d.column("id")).to_numpy()
     b = b[by_id]
+    return nearest_of(lambda part: np.round(a[part] @ b.T, 9), len(a), by_id, k)
+
+
+def nearest_of(scores: Callable[[slice], np.ndarray], n: int, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each of n queries, from the scores of a few at a time over rows in the order ``by_id``."""
     out = []
-    for start in range(0, len(a), 128):
-        score = np.round(a[start : start + 128] @ b.T, 9)
+    for start in range(0, n, 128):
+        score = scores(slice(start, start + 128))
         score[~np.isfinite(score)] = -np.inf
         near = np.isfinite(score)
         if score.shape[1] > k:  # all that tie with the k-th stay in the race
@@ -97,7 +117,7 @@ def _nearest(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
+def unit_rows(t: pa.Table) -> np.ndarray:
     """Unit vectors as rows of a matrix; null components make a vector that is near nothing."""
     lists = t.column("v").combine_chunks()
     if pc.min_max(pc.list_value_length(lists))["min"] != pc.min_max(pc.list_value_length(lists))["max"]:
