@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import retrieval, temporal
 from ..operators.vector_index import VectorIndex, recall
 from ..session import scratch_dir
 from ..sources import versions
+from ..streaming import events
 from .catalog import _KNN, _vectors, query, table
 
 # ---- a vector index by cells ----
@@ -94,3 +95,73 @@ def versioned_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     _changes(spark, sf_dir, path)
     return versions.read(spark, path, version=3).select("o_orderkey", "status")
+
+
+# ---- joins by time ----
+
+
+def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+_PAIRS = "SELECT c.event_id AS click, p.event_id AS purchase FROM events c {how} JOIN events p ON p.event_type = 'purchase' AND c.user_id = p.user_id AND p.ts >= c.ts AND p.ts < c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click'"
+
+
+def _streamed(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """Clicks and purchases as two streams, joined while they come. Far events of no user at the end of each let all others out."""
+    folder = scratch_dir(spark)
+    sides = []
+    for kind in ("click", "purchase"):
+        df = _events(spark, sf_dir, kind)
+        end = df.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(0.0).alias("value"))
+        df.unionByName(end).write.parquet(f"{folder}/{kind}")
+        sides.append(spark.readStream.schema(df.schema).parquet(f"{folder}/{kind}"))
+    joined = events.followed(*sides, how=how).select(F.col("event_id").alias("click"), F.col("next_event_id").alias("purchase"))
+    joined.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(joined.schema).parquet(f"{folder}/out").where("click >= 0")  # a filter on the stream would go below its watermark
+
+
+@query(_PAIRS.format(how=""))
+def stream_followed_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "inner")
+
+
+@query(_PAIRS.format(how="LEFT"))
+def stream_followed_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "left")
+
+
+@query(_PAIRS.format(how="LEFT"))
+def batch_followed_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole tables."""
+    return events.followed(_events(spark, sf_dir, "click"), _events(spark, sf_dir, "purchase"), how="left").select(F.col("event_id").alias("click"), F.col("next_event_id").alias("purchase"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come twice in a stream, once."""
+    folder = scratch_dir(spark)
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for _ in range(2):
+        df.write.mode("append").parquet(f"{folder}/in")
+    stream = events.once(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), "event_id", watermark="60 days").select("event_id", "user_id", "event_type")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+_LAST = "SELECT c.event_id AS purchase, (SELECT max_by(e.event_id, (e.ts, e.event_id)) FROM events e WHERE e.event_type = 'click' AND e.user_id = c.user_id AND e.ts <= c.ts{more}) AS click FROM events c WHERE c.event_type = 'purchase'"
+
+
+@query(_LAST.format(more=""))
+def as_of_last_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last click before it."""
+    found = temporal.as_of_join(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "click"), key="user_id", order="event_id")
+    return found.select(F.col("event_id").alias("purchase"), F.col("last_event_id").alias("click"))
+
+
+@query(_LAST.format(more=" AND e.ts >= c.ts - INTERVAL 2 HOURS").replace("e.user_id = c.user_id", "(e.user_id % 2) = (c.user_id % 2)").replace("c.event_id AS purchase", "c.event_id AS purchase, c.user_id % 2 AS side"))
+def as_of_last_click_of_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two keys, each with half of all rows, and two hours at most."""
+    half = lambda kind: _events(spark, sf_dir, kind).withColumn("side", F.col("user_id") % 2)
+    found = temporal.as_of_join(half("purchase"), half("click").drop("user_id"), key="side", order="event_id", tolerance="2 hours", bucket="6 hours")
+    return found.select(F.col("event_id").alias("purchase"), "side", F.col("last_event_id").alias("click"))

@@ -30,14 +30,25 @@ def pop_sentences(buffer: str) -> tuple[str, str]:
 
 
 class SentenceBuffer(StatefulProcessor):
-    """Per request, the tail of its tokens that ends no sentence yet, and how many parts it has sent."""
+    """Per request, the tail of its tokens that ends no sentence yet, and how many parts it has sent.
+
+    timeout: milliseconds after its last tokens when a request's tail is sent as it is; keep: when
+    what is known of a request is forgotten. Both by the clock.
+    """
+
+    def __init__(self, timeout: int | None = None, keep: int | None = None):
+        self.timeout, self.keep = timeout, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "tail string, sent long")
+        self.handle = handle
+        self.tail = handle.getValueState("tail", "tail string, sent long", self.keep)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _known(self) -> tuple[str, int]:
         known = self.tail.get() if self.tail.exists() else ("", 0)
-        tail, sent = known[0], known[1]
+        return known[0], known[1]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tail, sent = self._known()
         tokens = pd.concat(list(rows)).sort_values("seq")
         out = []
         for token, last in zip(tokens["token"], tokens["is_last"], strict=True):
@@ -48,15 +59,38 @@ class SentenceBuffer(StatefulProcessor):
                 out.append((key[0], sent, done))
                 sent += 1
         self.tail.update((tail, sent))
+        if self.timeout is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if tail:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
+        yield pd.DataFrame(out, columns=["request_id", "part", "sentence"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tail, sent = self._known()
+        out = [(key[0], sent, tail)] if tail.strip() else []
+        self.tail.update(("", sent + len(out)))  # tokens that come after all go on from here
         yield pd.DataFrame(out, columns=["request_id", "part", "sentence"])
 
     def close(self) -> None:
         pass
 
 
-def stream_sentences(tokens: DataFrame) -> DataFrame:
-    """request_id, part, sentence from a stream of (request_id, seq, token, is_last): whole sentences as they end."""
-    return tokens.groupBy("request_id").transformWithStateInPandas(SentenceBuffer(), outputStructType=SENTENCES, outputMode="Append", timeMode="None")
+def stream_sentences(tokens: DataFrame, *, timeout: float | None = None, keep: float | None = None) -> DataFrame:
+    """request_id, part, sentence from a stream of (request_id, seq, token, is_last): whole sentences as they end.
+
+    timeout: seconds without a token after which the tail of a request that never ended is sent, once; None holds it. keep: seconds
+    after which nothing is known of a request any more, by default ten times the timeout; longer than it.
+    Timers go off while the stream runs, with or without new tokens; after a restart, with the first new ones.
+    """
+    if timeout is None:
+        processor, mode = SentenceBuffer(), "None"
+    else:
+        keep = 10 * timeout if keep is None else keep
+        if not 0 < timeout < keep:
+            raise ValueError("timeout must be positive and keep longer than it")
+        processor, mode = SentenceBuffer(int(1000 * timeout), int(1000 * keep)), "ProcessingTime"
+    return tokens.groupBy("request_id").transformWithStateInPandas(processor, outputStructType=SENTENCES, outputMode="Append", timeMode=mode)
 
 
 class ShownBefore(StatefulProcessor):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.temporal import interval_join
+
 
 def _late(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     return df.withWatermark(ts, watermark) if watermark and df.isStreaming else df
@@ -33,3 +35,13 @@ def session_counts(events: DataFrame, *, ts: str = "ts", gap: str = "6 hours", b
 def once(events: DataFrame, key: str, *, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
     """Events without those whose key came before, within the watermark if the table is a stream."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+
+
+def followed(first: DataFrame, then: DataFrame, *, by: str = "user_id", ts: str = "ts", within: str = "1 hour", how: str = "inner", watermark: str = "10 minutes") -> DataFrame:
+    """Events of ``first`` with those of ``then`` of the same ``by`` less than ``within`` later (columns next_...); how="left" keeps events that nothing follows.
+
+    Of two streams, both sides are state until the watermark has passed what could meet them; an event that nothing follows comes out
+    then. An event later than the watermark may meet what is still kept, and nothing that is gone.
+    """
+    streams = first.isStreaming or then.isStreaming
+    return interval_join(first, then, key=by, ts=ts, within=within, how=how, watermark=watermark if streams else None)
