@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import fixed
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: The same characters one by one.
+_WHITE = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def _col(c: Column | str) -> Column:
@@ -35,7 +37,7 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(_col(c), F.lit(_WHITE))
 
 
 def first_text(*cs: Column | str) -> Column:

@@ -15,9 +15,10 @@ def mark_repeats(df: DataFrame, key: str, valid: Column, *, into: str, order: st
     """``df`` with whether an earlier row that is valid in itself has the same key: the state of a sequential check.
 
     That is so if the first valid row of the key comes before. The firsts are a
-    minimum that combines on the map side, so a key with very many rows is none of one task's.
+    minimum that combines on the map side, so a key with very many rows is none of one task's. Rows that aren't valid
+    go into it as nulls: a filter would go below what computes their columns, and compute them once for each condition.
     """
-    first = df.where(valid).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(valid, F.col(order))).alias("_first"))
     return df.join(first, F.col(key) == F.col("_key"), "left").withColumn(into, F.coalesce(F.col("_first") < F.col(order), F.lit(False))).drop("_key", "_first")
 
 
@@ -67,19 +68,23 @@ def check_documents(docs: DataFrame, *, strict: bool = True) -> DataFrame:
     count = F.when(F.col("count_whole"), F.col("source_count")).otherwise(F.size("source_image_ids").cast("bigint"))
     odd = ~blank("category") & ~F.col("category").isin(fixed.CATEGORIES)
     own_errors = blank("doc_id") | blank("content") | ~F.col("has_metadata") | blank("keyword") | blank("category") | (F.lit(strict) & odd)
-    seen = mark_repeats(docs, "doc_id", ~own_errors, into="_seen").withColumn("source_count", count)
     listed, some = F.col("ids_listed"), F.size("source_image_ids") > 0
     checks = [
-        blank("doc_id"), F.col("_seen"), blank("content"), ~blank("content") & (F.char_length("content") < 20),
+        blank("doc_id"), None, blank("content"), ~blank("content") & (F.char_length("content") < 20),
         ~F.col("has_metadata"), blank("keyword"), blank("category"),
         F.lit(strict) & odd, F.lit(not strict) & odd,
         blank("subcategory"), blank("base_image_id"), ~listed,
-        listed & ~some, ~F.col("count_whole"), listed & some & (F.col("source_count") != F.size("source_image_ids")),
+        listed & ~some, ~F.col("count_whole"), listed & some & (count != F.size("source_image_ids")),
         ~blank("keyword") & ~blank("content") & ~F.contains(F.lower("content"), F.lower("keyword")), ~blank("doc_id") & ~formed,
         formed & ~blank("category") & (parts[0] != F.col("category")), formed & ~blank("subcategory") & (F.get(parts, F.lit(1)) != F.col("subcategory")),
     ]
-    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(checks, 1))))
-    return seen.withColumn("failed", found).withColumn("valid", ~F.arrays_overlap("failed", F.array(*map(F.lit, _ERRORS)))).drop("_seen")
+    again = next(k for k, c in enumerate(checks, 1) if c is None)
+    # A row's own checks come before rows are told from others of their id, so that contents needn't be shuffled to be counted.
+    own = docs.withColumns({"_own": F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(checks, 1) if c is not None))), "_fine": ~own_errors, "source_count": count})
+    seen = mark_repeats(own, "doc_id", F.col("_fine"), into="_seen")
+    failed = F.when(F.col("_seen"), F.array_sort(F.array_append("_own", F.lit(again)))).otherwise(F.col("_own"))
+    # One condition on both: a filter on the row's own part would go below its parsing.
+    return seen.withColumns({"failed": failed, "valid": F.when(F.col("_seen"), False).otherwise(F.col("_fine"))}).drop("_seen", "_own", "_fine")
 
 
 def valid_documents(checked: DataFrame) -> DataFrame:
@@ -126,10 +131,28 @@ def counter(df: DataFrame, by: str, *, into: str, most: int | None = None, order
 
 
 def full_stats(checked: DataFrame, *, top: int = 30) -> DataFrame:
-    """``validation_stats`` with ``categories`` and ``top_keywords`` of the valid documents, as maps, and ``issues`` by level and field."""
-    valid = checked.where("valid")
-    by_field = issue_histogram(checked).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level_field", "n")))).alias("issues"))
-    return beside(validation_stats(checked), counter(valid, "category", into="categories"), counter(valid, "keyword", into="top_keywords", most=top), by_field)
+    """``validation_stats`` with ``categories`` and ``top_keywords`` of the valid documents, as maps, and ``issues`` by level and field.
+
+    One row for each thing to count goes into one aggregation by kind and name, and all figures come from its
+    result: the checks run once, not once for each figure. Categories must be few, as their map is one row's.
+    """
+    thing = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    named = lambda kind, c: F.when(F.col("valid") & (T.text_or_empty(c) != ""), thing(kind, F.col(c)))
+    issues = F.transform("failed", lambda k: F.struct(F.lit("issue").alias("kind"), F.element_at(F.array(*(F.lit(f"{level}:{field}") for level, field, _ in CHECKS)), k).alias("name")))
+    each = F.concat(F.array(thing("document", F.col("valid").cast("string"))), F.array_compact(F.array(named("category", "category"), named("keyword", "keyword"))), issues)
+    counted = checked.select("row_index", F.explode(each).alias("e")).groupBy("e.kind", "e.name").agg(F.count("*").alias("n"), F.min("row_index").alias("first"))
+    is_a = lambda kind: F.col("kind") == kind
+    total = lambda what: F.coalesce(F.sum(F.when(what, F.col("n"))), F.lit(0))
+    entries = lambda kind: F.array_sort(F.collect_list(F.when(is_a(kind), F.struct((-F.col("n")).alias("less"), "first", "name", "n"))))
+    as_map = lambda found: F.map_from_entries(F.transform(found, lambda e: F.struct(e["name"], e["n"])))
+    counts = counted.agg(
+        total(is_a("document")).alias("total_raw_docs"), total(is_a("document") & (F.col("name") == "true")).alias("valid_docs"), total(is_a("document") & (F.col("name") == "false")).alias("invalid_docs"),
+        total(is_a("issue") & F.col("name").startswith("error")).alias("error_count"), total(is_a("issue") & F.col("name").startswith("warning")).alias("warning_count"),
+        F.count_if(is_a("keyword")).alias("unique_keyword_count"), as_map(entries("category")).alias("categories"), as_map(F.array_sort(entries("issue"), lambda x, y: F.when(x["name"] < y["name"], -1).otherwise(1))).alias("issues"),
+    )
+    # Keywords are ordered before others rather than filtered, so that both figures share what was counted.
+    first = counted.orderBy(is_a("keyword").desc(), F.desc("n"), "first", "name").limit(top)
+    return beside(counts, first.agg(as_map(entries("keyword")).alias("top_keywords"))).select(*[c for c in counts.columns if c != "issues"], "top_keywords", "issues")
 
 
 def beside(*rows: DataFrame) -> DataFrame:

@@ -41,10 +41,13 @@ def _ranked(counts: DataFrame, name: str, n: int) -> DataFrame:
 def validate(spark: SparkSession, documents: str, *, stats: str | None = None, lenient: bool = False) -> int:
     """1 if a document has an error."""
     checked = validation.check_documents(validation.parse_documents(readers.read_lines(spark, documents)), strict=not lenient)
-    out = validation.beside(validation.full_stats(checked), _listed(validation.first_issues(checked), "first_issues", 30))
-    if stats:
-        sinks.write_stats(out, stats)
-    return int(out.select("error_count").first()[0] > 0)
+    outcome = checked.select("row_index", "doc_id", "category", "keyword", "failed", "valid").persist()  # without contents; parsed once
+    try:
+        if stats:
+            sinks.write_stats(validation.beside(validation.full_stats(outcome), _listed(validation.first_issues(outcome), "first_issues", 30)), stats)
+        return int(bool(outcome.where("NOT valid").take(1)))
+    finally:
+        outcome.unpersist()
 
 
 def build(spark: SparkSession, documents: str, index: str, *, stats: str | None = None, limit: int | None = None, recreate: bool = False, dry_run: bool = False, embedder: Embedder | None = None) -> int:

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     made = session(
         "tests", "local[4]", spark_sql_shuffle_partitions="4", spark_driver_memory="4g", spark_ui_enabled="false", spark_ui_showConsoleProgress="false",
+        spark_sql_codegen_fallback="false",  # a stage that can't be compiled is an error here
         spark_checkpoint_dir=f"file://{shared}", spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     made.sparkContext.setLogLevel("ERROR")
