@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import kept
 from .contexts import first_wins
 from .validation import beside, counter
 
 
 def seeded(seed: int | str, c: Column) -> Column:
-    """A shuffling order that depends on the seed and the id only."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
+    """A shuffling order that depends on the seed and the id only; a null id counts as the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit(""))).cast("binary"))
 
 
 def build_records(rows: DataFrame, split: str) -> DataFrame:
@@ -38,25 +39,91 @@ def covered(records: DataFrame, documents: DataFrame, *, keyword: str = "keyword
     return records.join(known, T.loose_key("expected_keyword") == F.col("_kw"), "left_semi")
 
 
+#: Samples of so many rows are found by ranks, larger ones by counts of hashes; levels of counts for groups.
+RANKED, LEVELS = 10_000, 2
+
+
 def deduplicate(records: DataFrame) -> DataFrame:
     """The first of records with the same question, keyword and category in loose form."""
     return first_wins(records, [T.loose_key(c) for c in ("normalized_question", "expected_keyword", "expected_category")], ["row_index"])
 
 
-def cap_per_group(df: DataFrame, by: str, most: int, *, seed: int | str, id_col: str = "id") -> DataFrame:
-    """At most so many rows of each group, in seeded order."""
+def cap_per_group(df: DataFrame, by: str, most: int, *, seed: int | str, id_col: str = "id", ranked: int = RANKED) -> DataFrame:
+    """At most so many rows of each group, in seeded order. Up to ``ranked`` are found by ranks, of which each task sends no more; more by counts."""
+    if most > ranked:
+        quotas = df.groupBy(F.col(by).alias("_by")).agg(F.lit(most).cast("long").alias("_left"))
+        return first_of_groups(df, by, quotas, seed=seed, id_col=id_col, ranked=ranked)
     rank = W.partitionBy(by).orderBy(seeded(seed, F.col(id_col)), id_col)
     return df.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= most).drop("_n")
 
 
-def balanced_sample(df: DataFrame, by: str, n: int, *, seed: int | str, id_col: str = "id") -> DataFrame:
-    """n rows, one of each group in turn, groups in order."""
-    rank = W.partitionBy(by).orderBy(seeded(seed, F.col(id_col)), id_col)
-    return df.withColumn("_n", F.row_number().over(rank)).orderBy("_n", by).limit(n).drop("_n")
-
+def first_of_groups(df: DataFrame, by: str, quotas: DataFrame, *, seed: int | str, id_col: str = "id", levels: int = LEVELS, ranked: int = RANKED) -> DataFrame:
+    """Of each group the first rows in seeded order, as many as ``quotas`` (_by, _left) says.
 
-def random_cap(df: DataFrame, n: int, *, seed: int | str, id_col: str = "id") -> DataFrame:
-    return df.orderBy(seeded(seed, F.col(id_col)), id_col).limit(n)
+    The order is that of a hash. Rows are counted by its first digits: whole counts that a group's quota covers are in, what lies
+    beyond it is out, and only the one that the quota cuts goes on to the next digits, a 4,096th of a group each time. Ranks
+    are given to what is left of that, and no group is sorted.
+    """
+    rest, out = df.withColumns({"_key": seeded(seed, F.col(id_col)), "_by": F.col(by)}), None
+    for level in range(levels):
+        dealt = rest.withColumn("_head", F.substring("_key", 1 + 3 * level, 3))
+        counts = dealt.groupBy("_by", "_head").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(W.partitionBy("_by").orderBy("_head").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+        cut = counts.withColumn("_before", before).join(quotas.withColumnRenamed("_by", "_g"), F.col("_by").eqNullSafe(F.col("_g"))).where("_before < _left")
+        cut = kept(cut.select("_g", F.col("_head").alias("_h"), (F.col("_before") + F.col("_n") <= F.col("_left")).alias("_whole"), (F.col("_left") - F.col("_before")).alias("_left")))
+        met = dealt.join(cut, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_head") == F.col("_h")))
+        whole = met.where("_whole").select(*df.columns)
+        out = whole if out is None else out.unionByName(whole)
+        rest, quotas = met.where("NOT _whole").select(*df.columns, "_key", "_by"), cut.where("NOT _whole").select(F.col("_g").alias("_by"), "_left")
+    near = rest.withColumn("_n", F.row_number().over(W.partitionBy("_by").orderBy("_key", id_col)))
+    near = near.join(quotas.withColumnRenamed("_by", "_g"), F.col("_by").eqNullSafe(F.col("_g"))).where("_n <= _left").select(*df.columns)
+    return near if out is None else out.unionByName(near)
+
+
+def balanced_sample(df: DataFrame, by: str, n: int, *, seed: int | str, id_col: str = "id", ranked: int = RANKED) -> DataFrame:
+    """n rows, one of each group in turn, groups in order. Beyond ``ranked`` rows, each group's share is worked out from its size."""
+    if n <= ranked:
+        rank = W.partitionBy(by).orderBy(seeded(seed, F.col(id_col)), id_col)
+        return df.withColumn("_n", F.row_number().over(rank)).orderBy("_n", by).limit(n).drop("_n")
+    # A row for each group: with groups by size, the sum of what they give if all give as many as this one, or all they have.
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_c"))
+    upto = W.orderBy("_c", "_by").rowsBetween(W.unboundedPreceding, 0)
+    turns = sizes.select("_by", "_c", F.sum("_c").over(upto).alias("_sum"), F.row_number().over(W.orderBy("_c", "_by")).alias("_i"), F.count("*").over(W.partitionBy()).alias("_m"))
+    turns = turns.withColumn("_all", F.col("_sum") + (F.col("_m") - F.col("_i")) * F.col("_c"))
+    full = turns.agg(F.max(F.when(F.col("_all") <= n, F.struct("_all", "_i", "_c"))).alias("f"), F.max("_m").alias("m")).first()
+    spent, i, each = (full["f"]["_all"], full["f"]["_i"], full["f"]["_c"]) if full["f"] else (0, 0, 0)
+    more, over = divmod(n - spent, full["m"] - i) if full["m"] and full["m"] > i else (0, 0)
+    turn = each + more
+    late = turns.where(F.col("_c") > turn).withColumn("_at", F.row_number().over(W.orderBy("_by"))).select(F.col("_by").alias("_g"), "_at")
+    quotas = sizes.join(late, F.col("_by").eqNullSafe(F.col("_g")), "left").select("_by", (F.least("_c", F.lit(turn)) + F.when(F.col("_at") <= over, 1).otherwise(0)).cast("long").alias("_left"))
+    return first_of_groups(df, by, kept(quotas.where("_left > 0")), seed=seed, id_col=id_col, ranked=ranked)
+
+
+def random_cap(df: DataFrame, n: int, *, seed: int | str, id_col: str = "id", ranked: int = RANKED) -> DataFrame:
+    """n rows, first in seeded order.
+
+    Up to ``ranked`` come as each task's first n. For more, the hash of the last one is found from counts by
+    its digits, a 4,096th of the rows each time, and rows up to it are filtered; nothing is sorted or brought to one task.
+    """
+    key = seeded(seed, F.col(id_col))
+    if n <= ranked:
+        return df.orderBy(key, id_col).limit(n)
+    prefix, left = "", n
+    while True:
+        at = len(prefix)
+        near = df.select(key.alias("k")).where(F.col("k").startswith(prefix))
+        counts = near.groupBy(F.substring("k", at + 1, 3).alias("h")).count().orderBy("h").collect()  # 4,096 at most
+        for r in counts:
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        else:
+            return df  # there are no more than n
+        prefix += r["h"]
+        if r["count"] == left:
+            return df.where(F.substring(key, 1, len(prefix)) <= prefix)
+        if len(prefix) >= 30:  # rows of one id: any of them
+            return df.where(F.substring(key, 1, len(prefix)) < prefix).unionByName(df.where(F.substring(key, 1, len(prefix)) == prefix).limit(left))
 
 
 def sample(records: DataFrame, *, max_per_split: int | None = None, max_per_category: int | None = None, seed: int = 42) -> DataFrame:

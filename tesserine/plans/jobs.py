@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import contexts, evalset, evaluation, keywords, preparation, retrieval, rewriting, validation
 from ..plugins import Embedder, Generator, Rewriter
+from ..session import kept
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class Settings:
     threshold: float | None = retrieval.DEFAULT_THRESHOLD
     max_chars: int = contexts.MAX_CHARS
     debug: bool = True
-    #: One generation at a time, for a model that can't be shared.
+    #: One generation at a time, for a model that can't be shared; of generators that can take turns.
     serial: bool = False
 
 
@@ -86,8 +87,11 @@ def build_eval_queries(splits: dict[str, DataFrame], documents: DataFrame, *, ma
 
 
 def search_texts(requests: DataFrame, index: DataFrame, embedder: Embedder, *, k: int, threshold: float | None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Hits with the index's columns for requests (query_id, query and the filter columns); blank queries find nothing."""
-    asked = embedder.embed(requests.where(F.col("query") != ""), "query")
+    """Hits with the index's columns for requests (query_id, query and the filter columns); blank queries find nothing.
+
+    Embedded requests are kept in a scratch folder, as the search looks at them more than once and a model should not.
+    """
+    asked = kept(embedder.embed(requests.where(F.col("query") != ""), "query"))
     return retrieval.with_documents(retrieval.search(asked, index, k=k, threshold=threshold, by=by), index)
 
 
@@ -108,14 +112,15 @@ def search_contents(requests: DataFrame, index: DataFrame, embedder: Embedder, *
 def _prepared(requests: DataFrame, index: DataFrame, embedder: Embedder, settings: Settings) -> DataFrame:
     """query_id, query, context_block, prompt, contexts and filters of requests."""
     asked = requests.select("query_id", T.first_text("normalized_question", "question").alias("query"), T.clean_optional("category").alias("category"), T.clean_optional("keyword").alias("keyword"))
-    hits = search_texts(asked, index, embedder, k=settings.top_k, threshold=settings.threshold, by=("category", "keyword"))
+    hits = kept(search_texts(asked, index, embedder, k=settings.top_k, threshold=settings.threshold, by=("category", "keyword")))
     filters = asked.select("query_id", F.struct("category", "keyword").alias("filters"))
     prompts = contexts.prepare_prompts(requests, hits, max_chars=settings.max_chars).join(filters, "query_id")
     return prompts.join(contexts.context_list(asked, hits), "query_id") if settings.debug else prompts
 
 
 def _generated(prompts: DataFrame, generator: Generator, settings: Settings) -> DataFrame:
-    answered = generator.generate(prompts.repartition(1) if settings.serial else prompts)
+    in_turn = getattr(generator, "in_turn", None) if settings.serial else None
+    answered = (in_turn() if in_turn else generator).generate(prompts)
     answered = answered.withColumn("answer", T.postprocess_answer("answer")).withColumnRenamed("query", "retrieval_query")
     return answered if settings.debug else answered.drop("context_block", "prompt")
 

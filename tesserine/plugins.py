@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -109,12 +113,57 @@ class EchoGenerator:
         return each.select("request_id", F.col("seq").cast("long").alias("seq"), "token", (F.col("seq") == F.col("n") - 1).alias("is_last"))
 
 
+def _together(tasks: int) -> tuple[int, float]:
+    """(number of this task, a moment that all tasks of its barrier stage agree on)."""
+    if tasks == 1:
+        return 0, time.time()
+    context = BarrierTaskContext.get()
+    return context.partitionId(), max(map(float, context.allGather(str(time.time()))))
+
+
+class CallGenerator:
+    """Answers prompts by ``ask``, a call from prompt to answer that ``connect`` makes once on each task.
+
+    tasks: how many there are; profile: the resources of each, for a model that needs a whole executor's. A generator ``in_turn`` answers
+    one prompt at a time over all tasks: each keeps its prompts and waits for those before it to be done.
+    """
+
+    def __init__(self, connect: Callable[[], Callable[[str], str]], *, tasks: int = 2, profile: ResourceProfile | None = None, turns: bool = False):
+        if tasks < 1:
+            raise ValueError("tasks must be positive")
+        self.connect, self.tasks, self.profile, self.turns = connect, tasks, profile, turns
+
+    def in_turn(self) -> CallGenerator:
+        return CallGenerator(self.connect, tasks=self.tasks, profile=self.profile, turns=True)
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        connect, turns, tasks = self.connect, self.turns and self.tasks > 1, self.tasks
+
+        def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask = connect()
+            for frame in frames:
+                yield frame.assign(answer=[ask(x or "") for x in frame["prompt"]])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if not turns:
+                yield from answers(frames)
+                return
+            mine, _ = _together(tasks)
+            for turn in range(tasks):
+                if turn == mine:
+                    yield from answers(frames)
+                BarrierTaskContext.get().barrier()
+
+        return prompts.repartition(tasks).mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())]), barrier=turns, profile=self.profile)
+
+
 class BatchRewriter:
     """Asks ``ask`` for the rewrites of a few rows at a time; what it fails at after all tries has none, and is asked again in the next run.
 
     ask: rows (keyword, vision_caption, question and their index) to {index: rewrite}. It is made on
     each executor by ``connect``, so that no client or key is part of a plan; None where there is no key.
-    pause: seconds between the batches of a task; ``tasks`` of them run at once, one by default, so that a limit on requests holds.
+    pause: seconds between two requests of all ``tasks`` together, tries included. Several tasks run as a barrier stage, all at once,
+    which takes as many free slots: they agree on a moment and each has every so many-th turn from there.
     """
 
     def __init__(self, connect: Callable[[], Callable[[list[dict]], dict[int, str]] | None], *, size: int = 20, tries: int = 2, wait: float = 1.0, pause: float = 7.0, tasks: int = 1):
@@ -122,8 +171,25 @@ class BatchRewriter:
             raise ValueError("size, tries and tasks must be positive")
         self.connect, self.size, self.tries, self.wait, self.pause, self.tasks = connect, size, tries, wait, pause, tasks
 
-    def _asked(self, ask: Callable[[list[dict]], dict[int, str]], items: list[dict]) -> dict[int, str]:
+    def _turns(self) -> Callable[[], None]:
+        """What waits for the next turn of this task: moments that are ``pause`` apart go to the tasks one after another."""
+        mine, start = _together(self.tasks)
+        every, last, first = self.pause * self.tasks, -1, None
+
+        def wait() -> None:
+            nonlocal last, first
+            if not every:
+                return
+            if first is None:  # a task alone begins at once, several when all have had time to come so far
+                first = time.time() if self.tasks == 1 else start + 1.0 + self.pause * mine
+            last = max(last + 1, math.ceil((time.time() - first) / every - 1e-3))
+            time.sleep(max(0.0, first + last * every - time.time()))
+
+        return wait
+
+    def _asked(self, ask: Callable[[list[dict]], dict[int, str]], items: list[dict], turn: Callable[[], None]) -> dict[int, str]:
         for left in reversed(range(self.tries)):
+            turn()
             try:
                 return ask(items)
             except Exception:  # noqa: BLE001 - whatever a client raises
@@ -133,18 +199,15 @@ class BatchRewriter:
 
     def rewrite(self, pending: DataFrame) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask, asked_before = self.connect(), False
+            ask, turn = self.connect(), self._turns()
             for frame in frames:
                 for at in range(0, len(frame), self.size):
                     part = frame.iloc[at : at + self.size]
                     rows = part[["keyword", "vision_caption", "question"]].fillna("").map(lambda x: str(x).strip()).to_dict("records")
-                    if ask is not None and asked_before:
-                        time.sleep(self.pause)
-                    found = self._asked(ask, [{"index": i} | row for i, row in enumerate(rows)]) if ask is not None else {}
-                    asked_before = True
+                    found = self._asked(ask, [{"index": i} | row for i, row in enumerate(rows)], turn) if ask is not None else {}
                     yield part[["row_index"]].assign(standalone_question=[found.get(i) for i in range(len(part))])
 
-        return pending.repartition(self.tasks).mapInPandas(run, "row_index long, standalone_question string")
+        return pending.repartition(self.tasks).mapInPandas(run, "row_index long, standalone_question string", barrier=self.tasks > 1)
 
 
 class GreedyMatchScorer:
@@ -152,13 +215,23 @@ class GreedyMatchScorer:
 
     def __init__(self, embedder: HashEmbedder | None = None):
         self.embedder = embedder or HashEmbedder(256)
+        self.known: dict[str, list[float]] = {}
+
+    def _vectors(self, words: list[str]) -> np.ndarray:
+        """Each word is embedded once a task, of some ten thousand words held."""
+        if len(self.known) > 20_000:
+            self.known.clear()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self.embedder.vector(w)
+        return np.array([self.known[w] for w in words])
 
     def of(self, prediction: str | None, reference: str | None) -> tuple[float, float, float]:
         """(precision, recall, f1); a text without words scores 0."""
         a, b = ((x or "").split() for x in (prediction, reference))
         if not a or not b:
             return 0.0, 0.0, 0.0
-        alike = np.array([self.embedder.vector(x) for x in a]) @ np.array([self.embedder.vector(x) for x in b]).T
+        alike = self._vectors(a) @ self._vectors(b).T
         p, r = float(alike.max(axis=1).mean()), float(alike.max(axis=0).mean())
         return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
 
