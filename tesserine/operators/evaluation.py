@@ -72,10 +72,18 @@ def misses(results: DataFrame) -> DataFrame:
     return results.where(F.col("hit_keyword_at_k") == F.lit(False)).withColumn("retrieved", slim)
 
 
+def distribution(df: DataFrame, by: str) -> DataFrame:
+    """by, n, share: how often each value occurs, in the order of values; a null or blank one as <missing>."""
+    value = F.coalesce(F.nullif(T.text_or_empty(by), F.lit("")), F.lit("<missing>"))
+    counted = df.groupBy(value.alias(by)).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("_all"))
+    return counted.join(total).select(by, "n", F.round(F.col("n") / F.col("_all"), 4).alias("share")).orderBy(by)
+
+
 def wrong_keywords(missed: DataFrame, n: int = 20) -> DataFrame:
     """expected_keyword, keyword, n, rank: for each expected keyword the keywords found instead, a blank one as <missing>."""
     each = missed.select("row_index", "expected_keyword", F.posexplode("retrieved").alias("pos", "hit")).select(
-        (F.col("row_index") * 10_000 + F.col("pos")).alias("row_index"), "expected_keyword", F.coalesce(F.nullif(T.text_or_empty(F.col("hit.keyword")), F.lit("")), F.lit("<missing>")).alias("keyword")
+        F.struct("row_index", "pos").alias("row_index"), "expected_keyword", F.coalesce(F.nullif(T.text_or_empty(F.col("hit.keyword")), F.lit("")), F.lit("<missing>")).alias("keyword")
     )
     return most_common(each, ["keyword"], n, within=["expected_keyword"]).select("expected_keyword", "keyword", "n", "rank")
 
@@ -83,7 +91,7 @@ def wrong_keywords(missed: DataFrame, n: int = 20) -> DataFrame:
 def wrong_pairs(missed: DataFrame, n: int = 20) -> DataFrame:
     """expected_keyword, keyword, n: pairs of expected and found keywords, most frequent first."""
     each = missed.select("row_index", "expected_keyword", F.posexplode("retrieved").alias("pos", "hit")).select(
-        (F.col("row_index") * 10_000 + F.col("pos")).alias("row_index"), "expected_keyword", T.text_or_empty(F.col("hit.keyword")).alias("keyword")
+        F.struct("row_index", "pos").alias("row_index"), "expected_keyword", T.text_or_empty(F.col("hit.keyword")).alias("keyword")
     ).where("keyword <> ''")
     return most_common(each, ["expected_keyword", "keyword"], n).select("expected_keyword", "keyword", "n")
 
@@ -147,9 +155,10 @@ def render_error_report(missed: DataFrame, *, n: int = 20, cases: int = 30) -> s
     """The error analysis as Markdown; only counts and chosen cases come to the driver."""
     known = with_error_type(missed)
     parts = ["# Keyword misses", f"\nMisses: {missed.count()}\n"]
-    for title, by in (("Expected keywords", "expected_keyword"), ("Categories", "expected_category"), ("Error types", "error_type")):
+    for title, by in (("Expected keywords", "expected_keyword"), ("Categories", "expected_category")):
         found = most_common(known, [by], n).collect()
         parts += [f"## {title}\n", markdown_table([by, "n"], [[r[by], r["n"]] for r in found]), ""]
+    parts += ["## Error types\n", markdown_table(["error_type", "n", "share"], [[r[0], r[1], f"{r[2]:.2%}"] for r in distribution(known, "error_type").collect()]), ""]
     parts += ["## Wrong pairs\n", markdown_table(["expected", "found", "n"], [[r[0], r[1], r[2]] for r in wrong_pairs(missed, n).collect()]), ""]
     chosen = representative_cases(missed, cases).orderBy("position").select("id", "expected_keyword", "top_keyword", "top_score", "error_type").collect()
     parts += ["## Cases\n", markdown_table(["id", "expected", "found", "score", "type"], [list(r) for r in chosen])]

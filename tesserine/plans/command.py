@@ -15,14 +15,25 @@ from pyspark.sql import functions as F
 from ..operators import evalset, evaluation, keywords, preparation, rewriting, validation
 from ..plugins import Embedder, HashEmbedder
 from ..session import session
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from . import jobs
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON lines file with their line numbers, in the schema that the file has."""
-    found = [f for f in spark.read.json(path).schema.fields if f.name != "row_index"]
-    return readers.read_jsonl_numbered(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found))
+#: Changes of an index after which it is compacted.
+CHANGES = 8
+
+
+def records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of a JSON lines file with their line numbers and texts in composed form, in the given schema or, after a scan for it, the one that the file has."""
+    if schema is None:
+        found = [f for f in spark.read.json(path).schema.fields if f.name != "row_index"]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found)
+    return readers.read_jsonl_numbered(spark, path, schema, compose=True)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a stored index."""
+    return versions.read(spark, path)
 
 
 def _listed(df: DataFrame, name: str, n: int, order: str = "row_index") -> DataFrame:
@@ -57,12 +68,18 @@ def build(spark: SparkSession, documents: str, index: str, *, stats: str | None
         return 1
     valid = readers.first_rows(valid, limit)
     flat = valid.select("row_index", "doc_id", "content", "metadata.*")
-    there = spark.read.parquet(index) if readers.exists(spark, index) else None
-    before = there.count() if there is not None else 0
+    there = versions.state(spark, index) is not None
+    before = open_index(spark, index).count() if there else 0
     after = before
     if not dry_run:
-        sinks.replace_table(jobs.build_vector_index(valid, embedder or HashEmbedder(), index=there, recreate=recreate), index)
-        after = spark.read.parquet(index).count()
+        new = jobs.embedded_documents(valid, embedder or HashEmbedder())
+        if there and not recreate:
+            versions.upsert(new, index, order="row_index")
+            if len(versions.state(spark, index)["changes"]) >= CHANGES:
+                versions.compact(spark, index)
+        else:
+            versions.create(new, index, key="doc_id", order="row_index")
+        after = open_index(spark, index).count()
         validation.require_counts(after, flat.select("doc_id").distinct().count(), "the stored index")
     if stats:
         told = preparation.index_stats(preparation.embedding_documents(flat)).withColumns({"dry_run": F.lit(dry_run), "count_before": F.lit(before), "count_after": F.lit(after)})
@@ -71,10 +88,10 @@ def build(spark: SparkSession, documents: str, index: str, *, stats: str | None
     return 0
 
 
-def clean(spark: SparkSession, source: str, mapping: str, out: str, *, mode: str = "processed", report: str | None = None, dry_run: bool = False) -> int:
+def clean(spark: SparkSession, source: str, mapping: str, out: str, *, mode: str = "processed", report: str | None = None, dry_run: bool = False, schema: str | None = None) -> int:
     """Records or documents with normalized keywords; the report has the most frequent keywords that no rule knows."""
-    known = readers.mapping_table(spark, readers.read_yaml(mapping))
-    rows = records(spark, source)
+    known = readers.mapping_table(spark, readers.read_yaml(mapping, spark))
+    rows = records(spark, source, schema)
     if mode == "knowledge":
         rows = rows.select("row_index", "doc_id", "content", *(F.col(f"metadata.{c}").alias(c) for c in ("keyword", "category", "subcategory")))
     done = jobs.clean_keywords(rows, known, mode=mode)
@@ -100,10 +117,10 @@ def eval_queries(spark: SparkSession, splits: dict[str, str], documents: str, ou
     return 0
 
 
-def evaluate(spark: SparkSession, queries: str, index: str, out: str, *, stats: str, k: int = 5, threshold: float | None = None, use_category_filter: bool = False, embedder: Embedder | None = None) -> int:
+def evaluate(spark: SparkSession, queries: str, index: str, out: str, *, stats: str, k: int = 5, threshold: float | None = None, use_category_filter: bool = False, schema: str | None = None, embedder: Embedder | None = None) -> int:
     """Results as a table at ``out``, their summary as JSON."""
-    asked = records(spark, queries)
-    results, _ = jobs.evaluate_retrieval(asked, spark.read.parquet(index), embedder or HashEmbedder(), k=k, threshold=threshold, use_category_filter=use_category_filter)
+    asked = records(spark, queries, schema)
+    results, _ = jobs.evaluate_retrieval(asked, open_index(spark, index), embedder or HashEmbedder(), k=k, threshold=threshold, use_category_filter=use_category_filter)
     sinks.replace_table(results, out)
     sinks.write_stats(evaluation.summarize(spark.read.parquet(out), k=k), stats)
     return 0
@@ -147,9 +164,9 @@ def report(spark: SparkSession, validated: str, built: str, retrieved: str, filt
     return int(fail_on_error and row.first()["overall_status"] != "PASS")
 
 
-def questions(spark: SparkSession, source: str, out: str, *, stats: str | None = None) -> int:
+def questions(spark: SparkSession, source: str, out: str, *, stats: str | None = None, schema: str | None = None) -> int:
     """Standalone questions by rules and earlier output at ``out``; what only a model can rewrite stays as it is."""
-    known = records(spark, source)
+    known = records(spark, source, schema)
     before = spark.read.parquet(out) if readers.exists(spark, out) else None
     done, _ = jobs.build_standalone_questions(known, existing=before)
     sinks.replace_table(done, out)
@@ -161,10 +178,10 @@ def questions(spark: SparkSession, source: str, out: str, *, stats: str | None =
     return 0
 
 
-def top_contexts(spark: SparkSession, source: str, index: str, out: str, *, use_category_filter: bool = True, use_keyword_filter: bool = False, threshold: float | None = None, embedder: Embedder | None = None) -> int:
+def top_contexts(spark: SparkSession, source: str, index: str, out: str, *, use_category_filter: bool = True, use_keyword_filter: bool = False, threshold: float | None = None, schema: str | None = None, embedder: Embedder | None = None) -> int:
     """Records with the content of the nearest document."""
-    rows = records(spark, source).withColumn("query_id", F.col("row_index"))
-    done = jobs.top_contexts(rows, spark.read.parquet(index), embedder or HashEmbedder(), use_category_filter=use_category_filter, use_keyword_filter=use_keyword_filter, threshold=threshold)
+    rows = records(spark, source, schema).withColumn("query_id", F.col("row_index"))
+    done = jobs.top_contexts(rows, open_index(spark, index), embedder or HashEmbedder(), use_category_filter=use_category_filter, use_keyword_filter=use_keyword_filter, threshold=threshold)
     written = sinks.write_jsonl(done.drop("query_id"), out)
     validation.require_counts(written, rows.count(), "the records with contexts")
     return 0

@@ -57,12 +57,17 @@ def validate_knowledge_base(raw: DataFrame, *, strict: bool = True) -> tuple[Dat
     return validation.valid_documents(checked), validation.issue_table(checked), validation.validation_stats(checked)
 
 
+def embedded_documents(valid: DataFrame, embedder: Embedder) -> DataFrame:
+    """The valid documents as rows of an index."""
+    flat = valid.select("row_index", "schema_version", "doc_id", "content", "metadata.*")
+    return embedder.embed(preparation.embedding_documents(flat), "text")
+
+
 def build_vector_index(valid: DataFrame, embedder: Embedder, *, index: DataFrame | None = None, recreate: bool = False) -> DataFrame:
     """The index with the valid documents in it, embedded; an error if it then lacks any."""
-    flat = valid.select("row_index", "schema_version", "doc_id", "content", "metadata.*")
-    new = embedder.embed(preparation.embedding_documents(flat), "text")
+    new = embedded_documents(valid, embedder)
     out = new if index is None or recreate else retrieval.upsert(index, new, order="row_index")
-    validation.require_counts(out.select("doc_id").count(), flat.select("doc_id").distinct().count(), "the index")
+    validation.require_counts(out.select("doc_id").count(), valid.select("doc_id").distinct().count(), "the index")
     return out
 
 

@@ -49,9 +49,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, st
     return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("j")).select("j.*")
 
 
-def read_jsonl_numbered(spark: SparkSession, path: str, schema: str, *, strict: bool = True) -> DataFrame:
-    """As ``read_jsonl``, with row_index, the number of the line; a strict reader names the first bad line."""
-    parsed = read_lines(spark, path).withColumn("_j", F.from_json("raw", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+def read_jsonl_numbered(spark: SparkSession, path: str, schema: str, *, strict: bool = True, compose: bool = False) -> DataFrame:
+    """As ``read_jsonl``, with row_index, the number of the line; a strict reader names the first bad line. compose: texts come in composed form (``composed``)."""
+    lines = read_lines(spark, path)
+    parsed = (composed(lines, "raw") if compose else lines).withColumn("_j", F.from_json("raw", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     if strict:
         bad = parsed.where(F.col("_j._corrupt").isNotNull()).orderBy("row_index").select("row_index").first()
         if bad:
@@ -100,14 +101,18 @@ def unwrapped(df: DataFrame, wrapper: str = "summary") -> DataFrame:
     return df.select(f"`{wrapper}`.*", *(c for c in ("input_missing",) if c in df.columns)) if wrapped else df
 
 
-def read_yaml(path: str) -> dict[str, Any]:
-    """A configuration file; needs a YAML parser to be installed."""
+def read_yaml(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A configuration file, of any file system if a session reads it; needs a YAML parser to be installed."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML needs the yaml package") from e
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f) or {}
+    if spark is not None:
+        text = spark.read.option("wholetext", True).text(path).first()
+        found = yaml.safe_load(text[0] if text else "") or {}
+    else:
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f) or {}
     if not isinstance(found, dict):
         raise ValueError(f"{path} must hold a mapping")
     return found

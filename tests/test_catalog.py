@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tesserine.plans import catalog, catalog_jobs, catalog_state  # noqa: F401
+from tesserine.plans import catalog, catalog_files, catalog_jobs, catalog_state  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

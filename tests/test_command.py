@@ -61,7 +61,8 @@ def test_jobs(spark, tmp_path, run):
     assert [r["rank"] for r in read(tmp_path / "wrong")] == list(range(1, 1 + len(read(tmp_path / "wrong")))) != []
     assert run("errors", "@odd_results", "@errors.md", "--n=5") == 0 and "Misses: 1" in (tmp_path / "errors.md").read_text()
     with pytest.raises(ValueError, match="has no"):
-        run("misses", "@index", "@none")
+        spark.range(1).write.parquet(str(tmp_path / "other"))
+        run("misses", "@other", "@none")
 
     paths = ["@valid.json", "@build.json", "@wrapped.json", "@wrapped.json"]
     assert run("report", *paths, "@report.md", "--fail-on-error") == 0 and "Overall: **PASS**" in (tmp_path / "report.md").read_text()
