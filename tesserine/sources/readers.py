@@ -108,7 +108,7 @@ def read_yaml(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
     except ImportError as e:
         raise RuntimeError("reading YAML needs the yaml package") from e
     if spark is not None:
-        text = spark.read.option("wholetext", True).text(path).first()
+        text = spark.read.text(path, wholetext=True).first()
         found = yaml.safe_load(text[0] if text else "") or {}
     else:
         with open(path, encoding="utf-8") as f:

@@ -46,7 +46,7 @@ def state(spark: SparkSession, path: str, version: int | None = None) -> dict |
         return None
     if version is not None and version not in known:
         raise ValueError(f"{path} has no version {version}")
-    text = spark.read.option("wholetext", True).text(f"{path}/log/{known[-1] if version is None else version:012d}.json")
+    text = spark.read.text(f"{path}/log/{known[-1] if version is None else version:012d}.json", wholetext=True)
     return json.loads(text.first()[0])
 
 
