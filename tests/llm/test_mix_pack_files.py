@@ -288,20 +288,35 @@ def test_pipeline_of_nothing(spark, make, tmp_path):
 def test_registry():
     found = queries.queries()
     assert [n for n in found if n.startswith("op")] and "pipeline" in found and set(queries.oracle_sql()) <= set(found)
-    assert {re.match(r"op(\d+)_", n)[1] for n in found if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in found if n.startswith("op")} == {str(i) for i in range(1, 14)}
 
 
-def test_tiny_source_leaves_texts_in_runs(make):
-    """A small source has small blocks, others don't; what is taken of a text besides whole copies is one run of its words."""
+def test_texts_hold_chosen_blocks(make):
+    """What is taken of a text besides whole copies is what a run of blocks in its shard holds; a tiny source changes nothing for others."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "ab"[i % 2]) for i in range(200)] + [(999, "tiny", "en", "c")]
-    docs = make(rows)
-    assert {(r["source"], r["block"]) for r in mixing.plan_mix(docs).select("source", "block").collect()} == {("a", 23), ("b", 23), ("c", 1)}
-    text, cut = {r[0]: r[1] for r in rows}, 0
+    text, cut, docs = {r[0]: r[1] for r in rows}, 0, make(rows)
     for r in mixing.mixed_texts(docs).collect():
         *whole, last = r["text"].split("\n")
-        assert all(x == text[r["doc_id"]] for x in whole) and f" {last} " in f" {text[r['doc_id']]} "
+        assert all(x == text[r["doc_id"]] for x in whole)
+        mine = text[r["doc_id"]].split()
+        at = [mine.index(w) for w in last.split()]
+        assert sum(b - a != 1 for a, b in zip(at, at[1:], strict=False)) <= 1 and sorted(at) == at
         cut += last != text[r["doc_id"]]
-    assert cut > 50
+    assert cut <= 2 * 3  # two for each shard
+    alone = mixing.plan_mix(make(rows[:-1])).select("doc_id", "passes", "taken").collect()
+    assert sum(abs(r["taken"] - 60 * round(r["taken"] / 60)) > 0 for r in alone) <= 4
+
+
+def test_many_shards_compete_in_groups(make, monkeypatch):
+    rows = [(i, " ".join("w" * (1 + k % 3) for k in range(1 + i % 40)), "en", "ab"[i % 3 == 0]) for i in range(400)]
+    docs = make(rows)
+    one = mixing.plan_mix(docs, shard_tokens=100)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    many = mixing.plan_mix(docs, shard_tokens=100)
+    for plan in (one, many):
+        got = plan.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 3 for r in got) and sum(r["size"] // 100 for r in got) > 50
+        assert plan.where("taken > 3 * size").count() == 0
 
 
 def test_run_leaves_stage_outputs_only(spark, make, pipeline_rows, tmp_path, monkeypatch):
