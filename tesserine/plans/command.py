@@ -61,7 +61,7 @@ def validate(spark: SparkSession, documents: str, *, stats: str | None = None, l
         outcome.unpersist()
 
 
-def build(spark: SparkSession, documents: str, index: str, *, stats: str | None = None, limit: int | None = None, recreate: bool = False, dry_run: bool = False, embedder: Embedder | None = None) -> int:
+def build(spark: SparkSession, documents: str, index: str, *, stats: str | None = None, limit: int | None = None, recreate: bool = False, dry_run: bool = False, buckets: int = 16, embedder: Embedder | None = None) -> int:
     """1, with nothing written, if a document has an error. A dry run writes statistics only."""
     valid, _, counts = jobs.validate_knowledge_base(readers.read_lines(spark, documents))
     if counts.select("error_count").first()[0]:
@@ -78,7 +78,7 @@ def build(spark: SparkSession, documents: str, index: str, *, stats: str | None
             if len(versions.state(spark, index)["changes"]) >= CHANGES:
                 versions.compact(spark, index)
         else:
-            versions.create(new, index, key="doc_id", order="row_index")
+            versions.create(new, index, key="doc_id", buckets=buckets, order="row_index")
         after = open_index(spark, index).count()
         validation.require_counts(after, flat.select("doc_id").distinct().count(), "the stored index")
     if stats:
