@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, temporal
+from ..operators import retrieval, sketches, temporal
 from ..operators.vector_index import VectorIndex, recall
 from ..session import scratch_dir
 from ..sources import versions
@@ -165,3 +165,22 @@ def as_of_last_click_of_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda kind: _events(spark, sf_dir, kind).withColumn("side", F.col("user_id") % 2)
     found = temporal.as_of_join(half("purchase"), half("click").drop("user_id"), key="side", order="event_id", tolerance="2 hours", bucket="6 hours")
     return found.select(F.col("event_id").alias("purchase"), "side", F.col("last_event_id").alias("click"))
+
+
+# ---- statistics that grow ----
+
+
+@query("""SELECT 'c_mktsegment' AS "column", count(*) AS rows, NULL::DOUBLE AS low, NULL::DOUBLE AS high, count(DISTINCT c_mktsegment) AS known, (SELECT list(c_mktsegment || ':' || n ORDER BY n DESC, c_mktsegment) FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)) AS frequent, true AS near FROM customer
+UNION ALL SELECT 'c_acctbal', count(*), min(c_acctbal)::DOUBLE, max(c_acctbal)::DOUBLE, NULL, NULL, true FROM customer""")
+def sketched_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as three batches, one of them recorded twice; figures from what is stored of each. near: distinct counts and quantiles within 5% of exact ones."""
+    path, columns = scratch_dir(spark), ["c_mktsegment", "c_acctbal"]
+    customers = table(spark, sf_dir, "customer")
+    for batch in (0, 1, 2, 0):
+        sketches.record(customers.where(F.col("c_custkey") % 3 == batch), path, str(batch), columns)
+    told, exact = sketches.statistics(spark, path), sketches.exact(customers, columns).select("column", F.col("distinct").alias("d"), F.col("quantiles").alias("q"))
+    span = F.col("high") - F.col("low")
+    near = (F.abs(F.col("distinct") - F.col("d")) <= 0.05 * F.col("d")) & F.coalesce(F.forall(F.arrays_zip("quantiles", "q"), lambda x: F.abs(x["quantiles"] - x["q"]) <= 0.05 * span), F.lit(True))
+    few = F.col("column") == "c_mktsegment"
+    listed = F.transform(F.array_sort(F.transform("frequent", lambda x: F.struct((-x["n"]).alias("less"), x["value"].alias("value")))), lambda x: F.concat(x["value"], F.lit(":"), (-x["less"]).cast("string")))
+    return told.join(exact, "column").select("column", "rows", "low", "high", F.when(few, F.col("distinct")).alias("known"), F.when(few, listed).alias("frequent"), near.alias("near"))
