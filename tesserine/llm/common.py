@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-#: Paths that ``stored`` wrote within each open ``temporary``.
-_MADE: list[list[str]] = []
+#: Paths that ``stored`` wrote within the ``temporary`` that is open in this thread (or context), if one is.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
@@ -46,19 +47,22 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, keep
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    if _MADE and not keep:
-        _MADE[-1].append(path)
+    made = _MADE.get()
+    if made is not None and not keep:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, the tables that were stored within: for who has stored the result with ``keep``."""
-    _MADE.append([])
+    made: list[str] = []
+    before = _MADE.set(made)
     try:
         yield
     finally:
-        for path in _MADE.pop():
+        _MADE.reset(before)
+        for path in made:
             found = spark._jvm.org.apache.hadoop.fs.Path(path)
             found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 

@@ -189,7 +189,9 @@ def identify_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, *, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out: int = 2) -> DataFrame:
     """``docs`` without documents in no language, and those whose score is below ``least``; all columns stay.
 
-    Each row is decided by its own text, whatever other rows share its id.
+    Each row is decided by its own text, whatever other rows share its id; repeated rows stay or go each. Rows with null or
+    empty text go, as do all if no row has a language. Of languages equally near, the first by name counts.
+    Very long texts are read whole. An empty table stays empty; other columns may have any names.
     """
     model = fit(docs, F.pmod(id_hash(F.col(id_col)), F.lit(folds)) != out, id_col=id_col, text_col=text_col, lang_col=lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

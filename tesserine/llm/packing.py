@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Documents longer than ``capacity`` tokens (end id included) are cut into pieces
     of that size, the last maybe shorter; no other is cut. offset is the piece's
     place in its sequence, gapless from 0. Sorting by (sequence_id, offset) and
-    joining ids gives the sequences. Repeated rows and null ids are pieces like
+    joining ids gives the sequences. Null and empty texts are the end id alone, and very long texts are read whole. Repeated rows and null ids are pieces like
     any other; an empty table gives no rows. Of bins that an item leaves the same room in, the
     one last filled takes it. Other columns, whatever their names, have no effect.
     """

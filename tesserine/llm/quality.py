@@ -145,7 +145,7 @@ def classify_held_out(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
 
     An id with several labels counts as 1 if any is. Without labelled rows, every
     score is 1/2; with one label only, all scores lean to it. Null and empty texts get
-    the bias alone. Repeated rows are each scored. Very long texts are read whole. An empty table gives
+    the bias alone. A score of just ``at`` counts as 1. Repeated rows are each scored. Very long texts are read whole. An empty table gives
     no rows. Other columns, whatever their names, have no effect.
     """
     held = F.pmod(id_hash(F.col(id_col)), F.lit(folds)) == out

@@ -320,7 +320,7 @@ def classify_held_out(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
 
     Without labelled rows every score is 0; with toxic ones only, 1. An id with
     both labels is in either sample. Null and empty texts have the lowest distance and its
-    score. Repeated rows are each scored; of rows that share a labelled id, each is training text. Very long texts are cut into windows whole. An empty
+    score. A score of just ``at`` counts as 1. Repeated rows are each scored; of rows that share a labelled id, each is training text. Very long texts are cut into windows whole. An empty
     table gives no rows. Other columns, whatever their names, have no effect.
     """
     held = F.pmod(id_hash(F.col(id_col)), F.lit(folds)) == out

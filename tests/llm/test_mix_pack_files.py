@@ -326,3 +326,29 @@ def test_run_leaves_stage_outputs_only(spark, make, pipeline_rows, tmp_path, mon
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() > 50
     assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").iterdir()) == sorted(n for n, _ in corpus_pipeline.STAGES)
+
+
+def test_runs_in_threads_delete_their_own_tables(spark, tmp_path, monkeypatch):
+    import threading
+
+    from tesserine.llm import common
+
+    monkeypatch.setattr("tesserine.llm.common.shared_dir", lambda s: str(tmp_path / "shared"))
+    go, done, left = threading.Event(), threading.Event(), {}
+
+    def long_run():
+        with common.temporary(spark):
+            mine = common.stored(spark.range(3), "long")
+            go.set()
+            assert done.wait(60)
+            left["rows"] = mine.count()
+
+    t = threading.Thread(target=long_run)
+    t.start()
+    assert go.wait(60)
+    with common.temporary(spark):
+        common.stored(spark.range(2), "short")
+    left["between"] = sorted(p.name.split("-")[0] for p in (tmp_path / "shared").iterdir())
+    done.set()
+    t.join()
+    assert left == {"between": ["long"], "rows": 3} and not list((tmp_path / "shared").iterdir())
