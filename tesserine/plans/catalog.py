@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import contexts, evalset, evaluation, keywords, metrics, preparation, retrieval, rewriting, validation
+from ..session import scratch_dir
+from ..sources import versions
 from ..streaming import answers, events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,7 +479,10 @@ def report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = evaluation.summarize(_results(spark, sf_dir), k=5)
     checked = _checked(spark, sf_dir)
     flat = validation.valid_documents(checked).select("doc_id", "content", "metadata.keyword")
-    build = preparation.index_stats(preparation.embedding_documents(flat)).select(F.lit(False).alias("dry_run"), "total_documents", F.col("total_documents").alias("count_after"))
+    path = scratch_dir(spark)
+    versions.create(preparation.embedding_documents(flat), path, key="doc_id", buckets=4)
+    stored = versions.read(spark, path).agg(F.count("*").alias("count_after"))
+    build = preparation.index_stats(preparation.embedding_documents(flat)).select(F.lit(False).alias("dry_run"), "total_documents").join(stored)
     return evaluation.gated_report(validation.validation_stats(checked), build, summary, summary).withColumn("n_recommendations", F.size("recommendations")).drop("recommendations")
 
 

@@ -209,11 +209,11 @@ def rewrite_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewriting.examples(rewriting.rules_only(_questions(spark, sf_dir))).select("row_index", "keyword", "question")
 
 
-@query("SELECT conv_id * 1000 + turn AS row_index, CASE WHEN trim(text) = '' THEN 'unchanged' ELSE 'llm' END AS rewrite_method, CASE WHEN trim(text) = '' THEN text ELSE 'kw' || conv_id || 'x: zz ' || turn || ' zz' END AS standalone_question FROM (SELECT conv_id, turn, 'zz' AS text FROM conversations)")
+@query("SELECT conv_id * 1000 + turn AS row_index,  'llm' AS rewrite_method, 'kw' || conv_id || 'x: zz ' || turn || ' zz ' || text AS standalone_question FROM conversations")
 def standalone_question_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole rewriting job: no rule fits, so the model is asked for every question."""
     c = table(spark, sf_dir, "conversations")
-    records = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_q"), F.col("turn").cast("string")).alias("image_id"), F.concat(F.lit("kw"), F.col("conv_id").cast("string"), F.lit("x")).alias("keyword"), F.concat(F.lit("zz "), F.col("turn").cast("string"), F.lit(" zz")).alias("question"), F.lit("seen").alias("vision_caption"))
+    records = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_q"), F.col("turn").cast("string")).alias("image_id"), F.concat(F.lit("kw"), F.col("conv_id").cast("string"), F.lit("x")).alias("keyword"), F.concat(F.lit("zz "), F.col("turn").cast("string"), F.lit(" zz "), F.col("text")).alias("question"), F.lit("seen").alias("vision_caption"))
     done, _ = jobs.build_standalone_questions(records, rewriter=KeywordRewriter())
     return done.select("row_index", "rewrite_method", "standalone_question")
 
