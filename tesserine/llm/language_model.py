@@ -15,17 +15,17 @@ rubbish from texts with a few rare words.
 Seating is sampled by Gibbs. Given what its parent predicts and how many tables
 its restaurant has, the customers of one dish are seated anew one after another, a
 new table costing its parent's probability; every table sends one customer to
-the parent. Two such samples, after a start with one table for each word, give the
-predictive probabilities, which are averaged.
+the parent.
 
-Contexts start with a table for each word, get their parent's predictions from that and
-are seated anew once; the restaurants below are then sampled from the tables they have. All
-draws depend on the word, or the pair of words, alone, so whoever needs a word's or a pair's
-tables finds those that were sampled: probabilities add up to one, and scores don't depend on
-how rows are dealt.
+Contexts start with a table for each word and get their parent's predictions from that. Then
+all are sampled in turns: the contexts are seated anew given their parent, the restaurants of words and letters
+given the contexts' tables, and the next turn starts from there. ``SEATINGS`` turns are kept, each a sample of all
+restaurants, and their predictions are averaged. All draws depend on the turn and on the word, or
+the pair of words, alone, so whoever needs a word's or a pair's tables finds those that were sampled: probabilities
+add up to one, and scores don't depend on how rows are dealt.
 
 How it is spread: texts become shares, stored rows that each hold the tokens of some megabytes of
-text as numbers and the share's distinct words, in order of a hash. What has to be known of all
+text as numbers and the share's distinct words, in order of a hash, and pairs of words next to each other. What has to be known of all
 shares, of a word or of a pair of words, is found in buckets, ranges of that hash: a share sends its part of each
 bucket as one packed row, the bucket puts equal entries together, and the reply has one
 number for each entry of the share, in the share's own order, so that no key travels back. Words and
@@ -56,7 +56,9 @@ from pyspark.sql import functions as F
 from .common import id_hash, rows, shared_dir, small_batches, stored, utf8
 
 #: Letter codes (0 ends a word, the last is any other letter), letters before, and sweeps over the letters' seating.
-ALPHABET, ORDER, SWEEPS, SAMPLES, SEED = 48, 3, 4, 2, 5
+ALPHABET, ORDER, SWEEPS, SEED = 48, 3, 4, 5
+#: Turns over all restaurants that are kept.
+SEATINGS = 2
 OTHER = ALPHABET - 1
 CELLS = ALPHABET ** (ORDER + 1)
 CONTEXT_STRENGTH, WORD_STRENGTH, LETTER_STRENGTH = 1.0, 50.0, 2.0
@@ -97,6 +99,14 @@ def seat(count: np.ndarray, strength: np.ndarray, discount: float, rng: np.rando
     return tables
 
 
+def mean_log(each: list[np.ndarray]) -> np.ndarray:
+    """Log10 of the mean of numbers given by their logarithms."""
+    if len(each) == 1:
+        return each[0]
+    top = np.max(each, axis=0)
+    return top + np.log10(np.mean(10.0 ** (np.array(each) - top), axis=0))
+
+
 def discount_of(one: int, two: int) -> float:
     """From the numbers of dishes that occur once and twice."""
     return float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one + two else 0.5
@@ -209,8 +219,7 @@ class Words:
             new = np.log10((WORD_STRENGTH + self.discount * total) / (WORD_STRENGTH + self.customers)) + spelled
             own = np.maximum(count - self.discount * np.where(count > 0, self.tables(sample, key, count, spelled, before), 0), 0) / (WORD_STRENGTH + self.customers)
             each.append(np.where(own > 0, np.log10(np.maximum(own, 1e-300) + 10.0 ** np.maximum(new, -290)), new))
-        top = np.max(each, axis=0)
-        return top + np.log10(np.mean(10.0 ** (np.array(each) - top), axis=0))
+        return mean_log(each)
 
     def unknown(self) -> float:
         """Log10 probability that a token is any one outside the vocabulary."""
@@ -240,12 +249,24 @@ def sizes_of(counts: DataFrame) -> dict[str, int]:
     return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in found.columns)).first().asDict()
 
 
-def fit(counts: DataFrame, *, samples: int = SAMPLES) -> tuple[Words, dict[str, int]]:
-    """A model from packed rows (a: words, n: their customers), and its sizes."""
+@dataclass(frozen=True)
+class Last:
+    """Where a chain of samples stands: the last one's number, the letters that have codes, the cells that its words' tables reach, and how many tables that is."""
+
+    sample: int
+    known: list[int]
+    cell: np.ndarray
+    n: np.ndarray
+    total: float
+
+
+def fit(counts: DataFrame, after: Last | None = None) -> tuple[Words, Last]:
+    """A sample of the restaurants of words and letters from packed rows (a: words, n: their customers), which goes on from an earlier one, or from a table for each word."""
     sizes = sizes_of(counts)
     model = Words(sizes["n"], discount_of(sizes["one"], sizes["two"]))
     context = counts.sparkSession.sparkContext
     counts = counts.select("a", "n")
+    rng = np.random.default_rng(SEED + (after.sample if after else 0))
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CODEPOINTS, dtype=np.int64)
@@ -256,14 +277,17 @@ def fit(counts: DataFrame, *, samples: int = SAMPLES) -> tuple[Words, dict[str,
         at = np.flatnonzero(total)
         yield rows(pa.schema([("letter", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
-    found = counts.mapInArrow(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    known = [r["letter"] for r in found.where("letter <> 10").orderBy(F.desc("n"), "letter").limit(ALPHABET - 2).collect()]
-    state: tuple[Letters, float] | None = None
-    rng = np.random.default_rng(SEED)
-    for sample in range(samples + 1):
+    if after is None:
+        found = counts.mapInArrow(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+        known = [r["letter"] for r in found.where("letter <> 10").orderBy(F.desc("n"), "letter").limit(ALPHABET - 2).collect()]
+    else:
+        known = after.known
+
+    def seated(sample: int, state: tuple[Letters, float] | None) -> tuple[Last, float]:
+        """The words' tables given the letters and how many tables there were, or one for each; and what the letters leave for words outside the vocabulary."""
         shared = context.broadcast((Words(model.customers, model.discount), state, Letters(known, np.zeros(0, dtype=np.float32))))
 
-        def reseat(batches: Iterator[pa.RecordBatch], sample: int = sample, shared=shared) -> Iterator[pa.RecordBatch]:
+        def reseat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words_, state_, coder = shared.value
             sums, opened, inside = np.zeros(CELLS), 0.0, 0.0
             for each, n in vocabulary(batches):
@@ -280,15 +304,17 @@ def fit(counts: DataFrame, *, samples: int = SAMPLES) -> tuple[Words, dict[str,
             yield rows(pa.schema([("cell", pa.int64()), ("n", pa.float64())]), [np.r_[at, -1, -2], np.r_[sums[at], opened, inside]])
 
         summed = counts.mapInArrow(reseat, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cell, n = summed.column("cell").to_numpy(), summed.column("n").to_numpy()
-        total, inside = float(n[cell == -1].sum()), float(n[cell == -2].sum())
-        if state is not None:
-            model.samples.append((sample, state[0], state[1], total, max(1 - inside, 0.0)))
-        if sample < samples:
-            order = np.argsort(cell[cell >= 0])
-            state = (sample_letters(cell[cell >= 0][order], np.rint(n[cell >= 0][order]), known, rng), total)
         shared.destroy()
-    return model, {"n": sizes["n"], "v": sizes["v"]}
+        cell, n = summed.column("cell").to_numpy(), summed.column("n").to_numpy()
+        kept = np.flatnonzero(cell >= 0)
+        kept = kept[np.argsort(cell[kept])]
+        return Last(sample, known, cell[kept], np.rint(n[kept]), float(n[cell == -1].sum())), max(1 - float(n[cell == -2].sum()), 0.0)
+
+    before = after or seated(0, None)[0]
+    sampled = sample_letters(before.cell, before.n, known, rng)
+    last, outside = seated(before.sample + 1, (sampled, before.total))
+    model.samples.append((last.sample, sampled, before.total, last.total, outside))
+    return model, last
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:
@@ -375,10 +401,10 @@ class Shares:
 
 
 def shares(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> Shares:
-    """About ``share`` bytes of text in each share, at least one document: doc_ids, lengths, train, ids, words.
+    """About ``share`` bytes of text in each share, at least one document: doc_ids, lengths, train, before, word, at, words.
 
-    ids: tokens as places among ``words``, the share's distinct ones in order of their hash. A text is cut into
-    tokens once, here, and one at a time.
+    before, word: the distinct pairs of words next to each other, in order of their keys, as places among ``words``, the share's
+    distinct words in order of their hash. at: the pair of each token. A text is cut into tokens, and pairs are found, once, here.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), train.cast("int").alias("train"))
     kind = held.schema["doc_id"].dataType.simpleString()
@@ -400,9 +426,10 @@ def shares(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
             doc_ids = pa.concat_arrays(names)
             listed = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
             cols = [pa.array([(part << 32) | made], pa.int64()), listed]
-            blobs = [packed(np.array([len(x) for x in ids], dtype=np.uint64)), packed(np.array(marks, dtype=np.uint8)), packed(at[np.concatenate(ids)]), packed_words([words[i] for i in order])]
+            before, word, pair_at = pairs_of(at[np.concatenate(ids)].astype(np.int64), key[order])
+            blobs = [packed(np.array([len(x) for x in ids], dtype=np.uint64)), packed(np.array(marks, dtype=np.uint8)), *(packed(x.astype(np.uint32)) for x in (before, word, pair_at)), packed_words([words[i] for i in order])]
             place, names, ids, marks, made, size = defaultdict(count().__next__), [], [], [], made + 1, 0
-            return pa.RecordBatch.from_arrays(cols + [pa.array([x], pa.binary()) for x in blobs], names=["share", "doc_ids", "lengths", "train", "ids", "words"])
+            return pa.RecordBatch.from_arrays(cols + [pa.array([x], pa.binary()) for x in blobs], names=["share", "doc_ids", "lengths", "train", "before", "word", "at", "words"])
 
         for batch in small_batches(batches, "text", 1_000_000):
             for i, text in enumerate(utf8(batch.column("text"))):
@@ -416,7 +443,7 @@ def shares(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
         if ids:
             yield done()
 
-    shape = f"share long, doc_ids array<{kind}>, lengths binary, train binary, ids binary, words binary"
+    shape = f"share long, doc_ids array<{kind}>, lengths binary, train binary, before binary, word binary, at binary, words binary"
     path = f"{shared_dir(docs.sparkSession)}/shares-{uuid.uuid4().hex}"
     held.mapInArrow(run, shape).write.partitionBy("share").option("compression", "none").parquet(path)
     numbers = docs.sparkSession.read.schema(shape).parquet(path).select("share").distinct()
@@ -432,6 +459,18 @@ def _rows_at(path: str, share: int) -> pa.Table:
     return dataset.dataset(f"{base}/share={share}", filesystem=system, format="parquet").to_table()
 
 
+def pairs_of(ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, word, at): the distinct pairs of tokens next to each other, as places among words of hashes ``key``, in order of their keys, and the pair of each token."""
+    end = int(ids[-1])  # each text ends with it, and it stands before each text's first word
+    code = np.r_[end, ids[:-1]] * len(key) + ids
+    distinct, at = np.unique(code, return_inverse=True)
+    before, word = distinct // len(key), distinct % len(key)
+    order = np.argsort(pair_key(key[before].view(np.int64), key[word].view(np.int64)))
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return before[order], word[order], back[at]
+
+
 class Pairs:
     """The distinct pairs of words next to each other of a share, in order of their keys.
 
@@ -439,25 +478,18 @@ class Pairs:
     at: the pair of each token.
     """
 
-    def __init__(self, row: dict, ids: np.ndarray, key: np.ndarray):
-        lengths, marks = unpacked(row["lengths"], np.uint64).astype(np.int64), unpacked(row["train"], np.uint8)
-        end = int(ids[-1])  # each text ends with it, and it stands before each text's first word
-        code = np.r_[end, ids[:-1]].astype(np.int64) * len(key) + ids
-        distinct, at, n = np.unique(code, return_inverse=True, return_counts=True)
-        if not marks.all():
-            n = np.bincount(at, weights=np.repeat(marks, lengths), minlength=len(distinct)).astype(np.int64)
-        before, word = distinct // len(key), distinct % len(key)
-        pair = pair_key(key[before].view(np.int64), key[word].view(np.int64))
-        order = np.argsort(pair)
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        self.key, self.before, self.word, self.n, self.at, self.lengths = pair[order], before[order], word[order], n[order], back[at], lengths
-
-
-def _share(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A share's words, their unsigned hashes, and its tokens."""
+    def __init__(self, row: dict, key: np.ndarray):
+        self.lengths, marks = unpacked(row["lengths"], np.uint64).astype(np.int64), unpacked(row["train"], np.uint8)
+        self.before, self.word, self.at = (unpacked(row[c], np.uint32).astype(np.int64) for c in ("before", "word", "at"))
+        self.key = pair_key(key[self.before].view(np.int64), key[self.word].view(np.int64))
+        self.n = np.bincount(self.at, weights=None if marks.all() else np.repeat(marks, self.lengths), minlength=len(self.key)).astype(np.int64)
+
+
+def _share(row: dict) -> tuple[list[bytes], np.ndarray, Pairs]:
+    """A share's words, their unsigned hashes, and its pairs."""
     words = unpacked_words(row["words"])
-    return words, word_hash(words).view(np.uint64), unpacked(row["ids"], np.uint32).astype(np.int64)
+    key = word_hash(words).view(np.uint64)
+    return words, key, Pairs(row, key)
 
 
 _SENT = "bucket int, share long, a binary, b binary, c binary"
@@ -518,9 +550,8 @@ def count_words(over: Shares, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, places): of each bucket its words and counts in training texts (a, b); of each share and bucket its words' places there (a)."""
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
-        words, key, ids = _share(row)
-        marks = np.repeat(unpacked(row["train"], np.uint8), unpacked(row["lengths"], np.uint64).astype(np.int64))
-        n = np.bincount(ids, weights=marks, minlength=len(words)).astype(np.uint64)
+        words, key, p = _share(row)
+        n = np.bincount(p.word, weights=p.n, minlength=len(words)).astype(np.uint64)
         edges = bounds(key, buckets)
         yield _sent(row["share"], edges, [[packed_words(words[i:j]) for i, j in zip(edges, edges[1:], strict=False)], [packed(n[i:j]) for i, j in zip(edges, edges[1:], strict=False)]])
 
@@ -546,8 +577,7 @@ def count_pairs(over: Shares, buckets: int) -> str:
     """Where shares find, of each of their pairs, how often all training texts have it (a), and whether it is this share's to tell of (b)."""
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
-        _, key, ids = _share(row)
-        p = Pairs(row, ids, key)
+        p = _share(row)[2]
         edges = bounds(p.key, buckets)
         cut = list(zip(edges, edges[1:], strict=False))
         yield _sent(row["share"], edges, [[packed_ascending(p.key[i:j]) for i, j in cut], [packed(p.n[i:j].astype(np.uint32)) for i, j in cut]])
@@ -571,9 +601,9 @@ def count_pairs(over: Shares, buckets: int) -> str:
 
 def _told(row: dict, path: str) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
     """A share's pairs, their counts in all training texts, those that are its to tell of, and its words' hashes."""
-    _, key, ids = _share(row)
+    _, key, p = _share(row)
     found = reply(path, row["share"])
-    return Pairs(row, ids, key), _joined(found, "a", np.uint32).astype(np.int64), np.flatnonzero(_joined(found, "b", np.uint8)), key
+    return p, _joined(found, "a", np.uint32).astype(np.int64), np.flatnonzero(_joined(found, "b", np.uint8)), key
 
 
 def first_tables(over: Shares, path: str, buckets: int) -> DataFrame:
@@ -617,22 +647,42 @@ def context_strength(tables: np.ndarray, log0: np.ndarray, discount: float) -> n
     return np.maximum((CONTEXT_STRENGTH + discount * tables) * 10.0 ** np.asarray(log0, dtype=np.float64), 1e-300)
 
 
-def _seated(p: Pairs, c: np.ndarray, among: np.ndarray, t0: np.ndarray, log0: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of the pairs ``among`` a share's: whichever share asks, they are the same."""
+def _seated(p: Pairs, c: np.ndarray, among: np.ndarray, t0: np.ndarray, log0: np.ndarray, discount: float, turn: int = 0) -> np.ndarray:
+    """Tables of the pairs ``among`` a share's in a turn: whichever share asks, they are the same."""
     tables = np.minimum(c[among], 1).astype(np.float64)
     several = np.flatnonzero(c[among] > 1)  # a pair that occurs once has one table whatever is drawn
     at = among[several]
-    tables[several] = seat_pairs(p.key[at], c[at], context_strength(t0[p.before[at]], log0[p.word[at]], discount), discount)
+    key = _mixed(p.key[at] + np.uint64(turn)) if turn else p.key[at]
+    tables[several] = seat_pairs(key, c[at], context_strength(t0[p.before[at]], log0[p.word[at]], discount), discount)
     return tables
 
 
-def second_tables(over: Shares, pairs: str, start: str, buckets: int, discount: float) -> DataFrame:
+def _start(found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(tables of each of a share's words as the word before, log10 of its probability) of replies at the start."""
+    return _joined(found, "a", np.uint64).astype(np.float64), _joined(found, "b", np.float32)
+
+
+def _end(found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of the probability, counts, customers, tables) of each of a share's words, of replies at the end of a turn."""
+    each = [np.split(unpacked(r["b"], np.uint64).astype(np.float64), 3) for r in found]
+    return _joined(found, "a", np.float32), *(np.concatenate([x[j] for x in each]) for j in range(3))
+
+
+def _given(path: str, share: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a turn is seated from: tables and log10 of probabilities, of the start or of the turn before."""
+    found = reply(path, share)
+    if not turn:
+        return _start(found)
+    log, _, _, t = _end(found)
+    return t, log
+
+
+def second_tables(over: Shares, pairs: str, start: str, buckets: int, discount: float, turn: int = 0) -> DataFrame:
     """Of each share and bucket, over the pairs that it tells of, seated anew: tables of its words as the word after (a), and before (b)."""
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         p, c, lead, key = _told(row, pairs)
-        known = reply(start, row["share"])
-        t = _seated(p, c, lead, _joined(known, "a", np.uint64).astype(np.float64), _joined(known, "b", np.float32), discount)
+        t = _seated(p, c, lead, *_given(start, row["share"], turn), discount, turn)
         k, t1 = (np.bincount(x[lead], weights=t, minlength=len(key)).astype(np.uint64) for x in (p.word, p.before))
         edges = bounds(key, buckets)
         yield _sent(row["share"], edges, [[packed(x[i:j]) for i, j in zip(edges, edges[1:], strict=False)] for x in (k, t1)])
@@ -646,8 +696,18 @@ def predicted(words: list[bytes], count: np.ndarray, model: Words) -> np.ndarray
     return np.concatenate(parts or [np.zeros(0)]).astype(np.float32)
 
 
-def seat_all(over: Shares, buckets: int) -> tuple[DataFrame, DataFrame, str, str, str, Words | None, float]:
-    """(vocabulary, second vocabulary, replies on pairs, at the start and at the end, the model, the contexts' discount).
+@dataclass(frozen=True)
+class Turn:
+    """A kept sample of all restaurants: where what it was told at its end is, and its model."""
+
+    end: str
+    model: Words | None
+
+
+def seat_all(over: Shares, buckets: int, later: list[Turn] | None = None) -> tuple[DataFrame, DataFrame, str, str, str, Words | None, float]:
+    """(vocabulary, second vocabulary, replies on pairs, at the start and at the end, the model, the contexts' discount) of the first turn.
+
+    later: a list, which gets the further turns up to ``SEATINGS``, each seated from the one before; None takes none.
 
     vocabulary: of each bucket its words (a) and counts (b). Second vocabulary: words (a), their customers in the restaurant of words (b),
     and as the word before, their customers and tables (c). Replies at the start: t0 (a) and log0 (b); at the end: log (a), and counts, customers
@@ -672,8 +732,8 @@ def seat_all(over: Shares, buckets: int) -> tuple[DataFrame, DataFrame, str, str
         yield -1, words, packed(k), packed(np.concatenate([cu, t0]))
 
     start_rows = stored(_each_bucket(_kinds(vocabulary=counted, places=placed, first=first.where("bucket >= 0")), open_), "start")
-    start, sizes = fit(start_rows.select("a", F.col("b").alias("n")), samples=1)
-    usable = bool(sizes["n"])
+    start, last = fit(start_rows.select("a", F.col("b").alias("n")))
+    usable = bool(start.customers)
     shared = context.broadcast(start)
 
     def tell(bucket: int, found: list[dict]) -> Iterator[tuple]:
@@ -687,8 +747,6 @@ def seat_all(over: Shares, buckets: int) -> tuple[DataFrame, DataFrame, str, str
             yield r["share"], packed(t0[at]), packed(log0[at]), None
 
     told = by_share(_each_bucket(_kinds(start=start_rows, places=placed), tell), "told_start")
-    second = stored(second_tables(over, pairs, told, buckets, discount), "second_tables")
-
     def close(bucket: int, found: list[dict]) -> Iterator[tuple]:
         of = _of(found)
         mine = of["start"][0]
@@ -696,51 +754,65 @@ def seat_all(over: Shares, buckets: int) -> tuple[DataFrame, DataFrame, str, str
         k, t1 = (_summed(len(cu), of["places"], of["second"], x) for x in "ab")
         yield -1, mine["a"], packed(k), packed(np.concatenate([cu, t1]))
 
-    end_rows = stored(_each_bucket(_kinds(start=start_rows, places=placed, second=second), close), "end")
-    model = fit(end_rows.select("a", F.col("b").alias("n")))[0] if usable else None
-    ended = context.broadcast(model)
-
-    def finish(bucket: int, found: list[dict]) -> Iterator[tuple]:
-        of = _of(found)
-        words, k = unpacked_words(of["end"][0]["a"]), unpacked(of["end"][0]["b"], np.uint64)
-        log = predicted(words, k, ended.value) if usable else np.zeros(len(words), dtype=np.float32)
-        c = unpacked(of["vocabulary"][0]["b"], np.uint64)
-        cu, t1 = np.split(unpacked(of["end"][0]["c"], np.uint64), 2)
-        for r in of["places"]:
-            at = unpacked(r["a"], np.uint32)
-            yield r["share"], packed(log[at]), packed(np.concatenate([c[at], cu[at], t1[at]])), None
-
-    final = by_share(_each_bucket(_kinds(end=end_rows, vocabulary=counted, places=placed), finish), "told_end")
-    return counted, end_rows, pairs, told, final, model, discount
-
-
-def score_shares(over: Shares, pairs: str, start: str, end: str, model: Words | None, discount: float, n: int, v: int) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score, open_score of each document of the shares."""
+    def turned(turn: int, given: str, last: Last) -> tuple[DataFrame, Turn, Last]:
+        """Contexts seated anew from what they are given, then words and letters from the contexts' tables."""
+        second = stored(second_tables(over, pairs, given, buckets, discount, turn), "second_tables")
+        end_rows = stored(_each_bucket(_kinds(start=start_rows, places=placed, second=second), close), "end")
+        model, last = fit(end_rows.select("a", F.col("b").alias("n")), last) if usable else (None, last)
+        ended = context.broadcast(model)
+
+        def finish(bucket: int, found: list[dict]) -> Iterator[tuple]:
+            of = _of(found)
+            words, k = unpacked_words(of["end"][0]["a"]), unpacked(of["end"][0]["b"], np.uint64)
+            log = predicted(words, k, ended.value) if usable else np.zeros(len(words), dtype=np.float32)
+            c = unpacked(of["vocabulary"][0]["b"], np.uint64)
+            cu, t1 = np.split(unpacked(of["end"][0]["c"], np.uint64), 2)
+            for r in of["places"]:
+                at = unpacked(r["a"], np.uint32)
+                yield r["share"], packed(log[at]), packed(np.concatenate([c[at], cu[at], t1[at]])), None
+
+        return end_rows, Turn(by_share(_each_bucket(_kinds(end=end_rows, vocabulary=counted, places=placed), finish), "told_end"), model), last
+
+    end_rows, first_turn, last = turned(0, told, last)
+    now = first_turn
+    for turn in range(1, SEATINGS if later is not None else 1):
+        _, now, last = turned(turn, now.end, last)
+        later.append(now)
+    return counted, end_rows, pairs, told, first_turn.end, first_turn.model, discount
+
+
+def score_shares(over: Shares, pairs: str, start: str, end: str, model: Words | None, discount: float, n: int, v: int, later: list[Turn] | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score, open_score of each document of the shares, by the mean of the first turn's probabilities and the later ones'."""
     base_new = float(np.log10(1.0 / (n + (v + 1))))
-    usable, unknown = model is not None, model.unknown() if model else base_new  # a task needs no more of the model
+    turns = [Turn(end, model), *(later or [])]
+    usable, unknown, ends = model is not None, [t.model.unknown() if t.model else base_new for t in turns], [t.end for t in turns]  # a task needs no more of the models
 
     def scored(row: dict) -> Iterator[pa.RecordBatch]:
-        words, key, ids = _share(row)
-        p = Pairs(row, ids, key)
-        told, known, last = (reply(x, row["share"]) for x in (pairs, start, end))
-        count = _joined(told, "a", np.uint32).astype(np.int64)
-        t0, log0, log = _joined(known, "a", np.uint64).astype(np.float64), _joined(known, "b", np.float32), _joined(last, "a", np.float32).astype(np.float64)
-        each = [np.split(unpacked(r["b"], np.uint64).astype(np.float64), 3) for r in last]
-        c, cu, t1 = (np.concatenate([x[j] for x in each]) for j in range(3))
-        base = np.log10(c + 1.0) + base_new
-        own_log = log if usable else np.full(len(words), base_new)
-        closed = np.where(c > 0, own_log, unknown)
-        held = cu + CONTEXT_STRENGTH
-        back = np.log10((CONTEXT_STRENGTH + discount * t1) / held)
+        _, _, p = _share(row)
+        count = _joined(reply(pairs, row["share"]), "a", np.uint32).astype(np.int64)
         met = np.flatnonzero(count)
-        own = np.zeros(len(count))
-        own[met] = (count[met] - discount * _seated(p, count, met, t0, log0, discount)) / held[p.before[met]]
-        both = []
-        for from_parent in (closed, own_log):
-            behind = back[p.before] + from_parent[p.word]
-            both.append(np.where(own > 0, np.log10(own + 10.0 ** np.maximum(behind, -290)), behind))
+        given = _given(start, row["share"], 0)
+        total, behinds, closed = np.zeros(len(count)), [], []
+        for turn, path in enumerate(ends):
+            log, c, cu, t1 = _end(reply(path, row["share"]))
+            own_log = log.astype(np.float64) if usable else np.full(len(c), base_new)
+            new = np.flatnonzero(c[p.word] == 0)  # pairs with such a word have no customers
+            held = cu + CONTEXT_STRENGTH
+            back = np.log10((CONTEXT_STRENGTH + discount * t1) / held)
+            own = np.zeros(len(count))
+            own[met] = (count[met] - discount * _seated(p, count, met, *given, discount, turn)) / held[p.before[met]]
+            behinds.append(back[p.before] + own_log[p.word])
+            closed.append(back[p.before[new]] + unknown[turn])
+            total += own + 10.0 ** np.maximum(behinds[-1], -290)
+            given = t1, log
+        open_ = np.log10(total / len(ends))
+        low = np.flatnonzero(total < 1e-280)  # long words that are spelled
+        open_[low] = mean_log([x[low] for x in behinds])
+        both = [open_.copy(), open_]
+        both[0][new] = mean_log(closed)
+        base = np.log10(c + 1.0) + base_new
         stop = np.cumsum(p.lengths)
-        sums = [np.add.reduceat(x, stop - p.lengths) for x in ((c > 0)[ids].astype(np.int64), base[ids], both[0][p.at], both[1][p.at])]
+        sums = [np.add.reduceat(x[p.at], stop - p.lengths) for x in ((c > 0)[p.word].astype(np.int64), base[p.word], *both)]
         cols = [row["doc_ids"], pa.array(p.lengths, pa.int64()), pa.array(sums[0], pa.int64()), *(pa.array(x, pa.float64()) for x in sums[1:])]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "open_score"])
 
@@ -759,9 +831,10 @@ def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     held = F.pmod(id_hash(F.col(id_col)), F.lit(folds)) == out
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
     over = shares(docs, ~held, id_col=id_col, text_col=text_col)
-    counted, _, pairs, start, end, model, discount = seat_all(over, max(1, -(-size // BUCKET)))
+    later: list[Turn] = []
+    counted, _, pairs, start, end, model, discount = seat_all(over, max(1, -(-size // BUCKET)), later)
     sizes = sizes_of(counted.select("a", F.col("b").alias("n")))
-    scored = score_shares(over, pairs, start, end, model, discount, sizes["n"], sizes["v"])
+    scored = score_shares(over, pairs, start, end, model, discount, sizes["n"], sizes["v"], later)
     return scored.select(
         "doc_id", (F.pmod(id_hash(F.col("doc_id")), F.lit(folds)) == out).alias("held_out"), "n_tokens", "n_known", F.lit(sizes["n"]).cast("long").alias("train_tokens"), "base_score", "score", "open_score"
     )

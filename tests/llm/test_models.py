@@ -276,6 +276,56 @@ def test_context_restaurants_are_distributions(make):
             assert got[i][name] == pytest.approx(sum(math.log10(own(u, w) + back(u) * p(w)) for u, w in zip([b"", *t], t, strict=False)), rel=1e-6)
 
 
+def test_contexts_are_sampled_in_turns(make):
+    """Two turns are kept; the second is seated from the first, its contexts are distributions too, and scores are of the mean of both."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcde") for _ in range(40)) for _ in range(40)] + ["a zz b", "", "c d"]
+    over = language_model.shares(make([(i, t, None, None) for i, t in enumerate(texts)]), F.col("doc_id") < 40, share=200)
+    later = []
+    _, _, pairs, start, end, model, discount = language_model.seat_all(over, 3, later)
+    assert len(later) == language_model.SEATINGS - 1 == 1
+    counts, before = Counter(), Counter()
+    for text in texts[:40]:
+        w = language_model.tokens(text.encode())
+        counts.update(w)
+        before.update(zip([b"", *w], w, strict=False))
+    hashed = lambda w: language_model.word_hash([w])
+    told = [{}, {}, {}]
+    for r in over.numbers.collect():
+        words = language_model.unpacked_words(language_model._rows_at(over.path, r["share"]).to_pylist()[0]["words"])
+        first = language_model._start(language_model.reply(start, r["share"]))
+        told[0] |= {w: (first[0][i], first[1][i]) for i, w in enumerate(words)}
+        for turn, path in ((1, end), (2, later[0].end)):
+            log, _, cu, t = language_model._end(language_model.reply(path, r["share"]))
+            told[turn] |= {w: (t[i], log[i], cu[i]) for i, w in enumerate(words)}
+    models = [model, later[0].model]
+
+    def tables(turn, u, w):
+        key = language_model.pair_key(hashed(u), hashed(w))
+        key = language_model._mixed(key + np.uint64(turn)) if turn else key
+        strength = language_model.context_strength(np.array([float(told[turn][u][0])]), np.array([told[turn][w][1]]), discount)
+        return language_model.seat_pairs(key, np.array([before[u, w]]), strength, discount)[0] if before[u, w] else 0.0
+
+    for turn in (0, 1):
+        opened = Counter()
+        for u, w in before:
+            opened[u] += tables(turn, u, w)
+        assert {u: told[turn + 1][u][0] for u in opened} == dict(opened)
+    assert any(told[1][u][0] != told[2][u][0] for u in counts)
+
+    def p(turn, u, w):
+        t, _, cu = told[turn + 1][u]
+        parent = 10 ** told[turn + 1][w][1] if counts[w] else 10 ** models[turn].unknown()
+        return (before[u, w] - discount * tables(turn, u, w)) / (1 + cu) + (1 + discount * t) / (1 + cu) * parent
+
+    for u in counts:
+        assert abs(sum(p(1, u, w) for w in counts) + p(1, u, b"zz") - 1) < 1e-5
+    n, v = sum(counts.values()), len(counts)
+    for r in language_model.score_shares(over, pairs, start, end, model, discount, n, v, later).collect():
+        t = language_model.tokens(texts[r["doc_id"]].encode())
+        assert r["score"] == pytest.approx(sum(math.log10((p(0, u, w) + p(1, u, w)) / 2) for u, w in zip([b"", *t], t, strict=False)), rel=1e-6)
+
+
 def test_reversed_words_score_worse(make):
     rng = random.Random(8)
     after = {w: rng.sample(range(30), 3) for w in range(30)}
