@@ -13,8 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a tile of queries and of a tile of the index; a pair of tiles is one task's.
-TILES = (1024, 16384)
+#: The most rows of a tile of queries and of a tile of the index; a pair of tiles is one task's. A query is sent once for
+#: each tile of the index and a row once for each tile of queries, so larger tiles shuffle less.
+TILES = (32768, 32768)
+#: So many tiles are a filter's queries cut into at least, if they then hold ``SMALL`` each: for tasks to have something to do.
+SPREAD, SMALL = 12, 1024
 #: So many filters' sizes are broadcast at most; more are joined.
 FILTERS = 10_000
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.35
@@ -44,18 +47,18 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc("d")))).where(F.col("rank") <= k)
 
 
-def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]], *, by: tuple[str, ...], query_id: str, doc_id: str, vectors: tuple[str, str], tiles: tuple[int, int] = TILES) -> DataFrame:
+def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]], *, by: tuple[str, ...], query_id: str, doc_id: str, vectors: tuple[str, str], more: tuple[str, ...] = (), tiles: tuple[int, int] = TILES) -> DataFrame:
     """q, d, score: of each pair of tiles, what ``near`` finds among the rows that a query's filter passes, k for each query.
 
-    vectors: the columns of the queries and of the index that ``near`` gets as v.
+    vectors: the columns of the queries and of the index that ``near`` gets as v; more: further columns of the index that it gets.
     """
     blank = F.lit("")
     values = [F.coalesce(F.col(c).cast("string"), blank) for c in by]
 
-    def side(df: DataFrame, key: str, vector: str, wants: Column) -> DataFrame:
+    def side(df: DataFrame, key: str, vector: str, wants: Column, *more: str) -> DataFrame:
         kind = df.schema[vector].dataType
         v = F.col(vector) if kind in (T.ArrayType(T.FloatType()), T.BinaryType()) else F.col(vector).cast("array<double>")
-        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"), F.explode(wants).alias("want"))
+        return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"), *more, F.explode(wants).alias("want"))
 
     def want(chosen: tuple[bool, ...]) -> Column:
         """A filter as text; columns that aren't chosen don't filter."""
@@ -63,10 +66,10 @@ def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.T
 
     asked = side(queries, query_id, vectors[0], F.array(want((True,) * len(by))))
     # A row passes a filter on any choice of columns: as many copies here, of which those that are asked for go on.
-    known = side(index, doc_id, vectors[1], F.array_distinct(F.array(*map(want, itertools.product((False, True), repeat=len(by))))))
+    known = side(index, doc_id, vectors[1], F.array_distinct(F.array(*map(want, itertools.product((False, True), repeat=len(by))))), *more)
     sizes = _sizes(asked, known, tiles)
     left = asked.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
-    right = known.join(sizes, "want").select("id", "v", "want", F.pmod(F.xxhash64("id"), "cols").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"))
+    right = known.join(sizes, "want").select("id", "v", *more, "want", F.pmod(F.xxhash64("id"), "cols").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"))
     shape = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("d", index.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
 
     def top(q: pa.Table, d: pa.Table) -> pa.Table:
@@ -82,8 +85,11 @@ def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFr
 
     Up to FILTERS of them are read here and broadcast; more stay a table to join with.
     """
-    number = lambda df, most, name: df.groupBy("want").agg(F.ceil(F.count("*") / most).alias(name))
-    both = number(asked, tiles[0], "rows").join(number(known, tiles[1], "cols"), "want")
+    # One query's tile is as small as SPREAD asks for, as large as ``tiles`` lets it be.
+    n = F.count("*")
+    cut = lambda most: F.ceil(n / most)
+    rows = F.greatest(cut(tiles[0]), F.least(cut(SMALL), F.lit(SPREAD))) if tiles[0] > SMALL else cut(tiles[0])
+    both = asked.groupBy("want").agg(rows.alias("rows")).join(known.groupBy("want").agg(cut(tiles[1]).alias("cols")), "want")
     few = both.limit(FILTERS + 1).collect()
     return both if len(few) > FILTERS else F.broadcast(asked.sparkSession.createDataFrame(few, both.schema))
 

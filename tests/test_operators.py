@@ -388,3 +388,11 @@ def test_rouge_l_equals_the_table_of_prefixes(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     got = df.select("i", metrics.rouge_l(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
     assert [round(r["s"] or 0.0, 9) for r in got] == [round(model(*p), 9) for p in pairs]
+
+
+def test_a_search_sends_each_row_a_few_times(spark):
+    """Rows go once to each tile of the other side; how many tiles there are grows with the square of the rows only beyond the largest tiles."""
+    for n, rows, cols in ((500, 1, 1), (5_000, 5, 1), (40_000, 12, 2), (600_000, 19, 19)):
+        asked = spark.range(n).select(F.lit("x").alias("want"))
+        found = retrieval._sizes(asked, asked, retrieval.TILES).first()
+        assert (found["rows"], found["cols"]) == (rows, cols)
