@@ -3,8 +3,8 @@
 A quantizer is trained on a bounded sample. Every row goes to the cell of its nearest
 center, and what is left of its unit vector after the center is taken off is coded in a byte for
 each few dimensions. The table has a folder for each cell, so that a search reads the
-cells that its queries probe and no others. Candidates are ranked by codes, whose scores
-come from small tables of each query, and the best of them by their vectors.
+cells that its queries probe and no others. Candidates are ranked by what their codes
+stand for, and the best of them by their vectors.
 """
 
 from __future__ import annotations
@@ -74,9 +74,19 @@ class Quantizer:
         left = self._cut(x - self.centers[cell])
         return np.stack([_nearest(left[:, i], book) for i, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, parts, values): what each value of a code adds to a query's score."""
-        return np.einsum("qpw,pvw->qpv", self._cut(q), self.books)
+    def decoded(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for: their products with a query are the sums of what each value adds to its score."""
+        left = np.stack([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1).reshape(len(codes), -1)
+        return self.centers[cell] + left[:, : self.dimensions]
+
+    def closeness(self, x: np.ndarray) -> np.ndarray:
+        """(rows, cells): larger the nearer a cell's center is."""
+        return x @ self.centers.T - (self.centers * self.centers).sum(axis=1) / 2
+
+    def nearest_cells(self, x: np.ndarray, probe: int | None) -> np.ndarray:
+        """(rows, probe): the nearest cells of each row, in any order; None for all."""
+        n = len(self.centers) if probe is None else min(probe, len(self.centers))
+        return np.argpartition(-self.closeness(x), n - 1, axis=1)[:, :n].astype(np.int32)
 
 
 def train(index: DataFrame, *, doc_id: str = "doc_id", vector: str = "embedding", cells: int | None = None, width: int = WIDTH, sample: int = SAMPLE, seed: int = 0) -> Quantizer:
@@ -124,6 +134,18 @@ def assigned(df: DataFrame, quantizer: Quantizer, *, vector: str = "embedding")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType())]))
 
 
+def _directed(batches: Iterator[pa.RecordBatch], vector: str, dimensions: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, unit vectors), some at a time, of rows whose vector has so many dimensions and a direction."""
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            part = batch.slice(at, 1024)
+            part = part.filter(pc.equal(pc.list_value_length(part.column(vector)), dimensions))
+            if len(part):
+                x = retrieval.unit_rows(pa.table({"v": part.column(vector)}))
+                fine = np.isfinite(x).all(axis=1)
+                yield part.filter(pa.array(fine)), x[fine]
+
+
 class VectorIndex:
     """A stored index: ``path``/model and ``path``/rows, the latter with a folder for each cell."""
 
@@ -148,63 +170,74 @@ class VectorIndex:
         df = self.spark.read.parquet(f"{self.path}/rows")
         return df if cells is None else df.where(F.col("cell").isin(cells))
 
-    def probes(self, queries: DataFrame, probe: int | None, *, vector: str = "embedding", ranked: bool = False) -> DataFrame:
-        """``queries`` once for each of the ``probe`` cells whose centers are nearest to their vector; None for all cells. ranked: with the cell's place, from 0."""
-        centers, names = self.quantizer.centers, [c for c in queries.columns if c != "cell"]
-        n = len(centers) if probe is None else min(probe, len(centers))
-        half = (centers * centers).sum(axis=1) / 2
+    def probes(self, queries: DataFrame, probe: int | None, *, vector: str = "embedding") -> DataFrame:
+        """``queries`` once for each of the ``probe`` cells whose centers are nearest to their vector; None for all cells."""
+        quantizer, names = self.quantizer, [c for c in queries.columns if c != "cell"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, x in _directed(batches, vector, quantizer.dimensions):
+                near = quantizer.nearest_cells(x, probe)
+                rows = part.take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel())], names=[*names, "cell"])
+
+        return queries.select(*names).mapInArrow(run, T.StructType([*queries.select(*names).schema.fields, T.StructField("cell", T.IntegerType())]))
+
+    def probed(self, queries: DataFrame, probe: int, *, vector: str = "embedding") -> list[int]:
+        """The cells that some query probes; tasks send numbers of cells, each at most once."""
+        quantizer = self.quantizer
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.slice(at, 1024)
-                    part = part.filter(pc.equal(pc.list_value_length(part.column(vector)), centers.shape[1]))
-                    if not len(part):
-                        continue
-                    x = retrieval.unit_rows(pa.table({"v": part.column(vector)}))
-                    fine = np.flatnonzero(np.isfinite(x).all(axis=1))
-                    score = x[fine] @ centers.T - half
-                    near = (np.argsort(-score, axis=1, kind="stable") if ranked else np.argpartition(-score, n - 1, axis=1))[:, :n].astype(np.int32)
-                    rows = part.take(pa.array(np.repeat(fine, n)))
-                    place = [pa.array(np.tile(np.arange(n, dtype=np.int32), len(fine)))] if ranked else []
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel()), *place], names=[*names, *more])
-
-        more = ["cell", "place"] if ranked else ["cell"]
-        return queries.select(*names).mapInArrow(run, T.StructType([*queries.select(*names).schema.fields, *(T.StructField(c, T.IntegerType()) for c in more)]))
+            met = np.zeros(len(quantizer.centers), dtype=bool)
+            for _, x in _directed(batches, vector, quantizer.dimensions):
+                met[quantizer.nearest_cells(x, probe).ravel()] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(met).astype(np.int32))], names=["cell"])
+
+        return sorted(r["cell"] for r in queries.select(vector).mapInArrow(run, "cell int").distinct().collect())
 
     def search(self, queries: DataFrame, *, k: int = retrieval.DEFAULT_K, probe: int | None = PROBE, refine: int | None = 64, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", vector: str = "embedding", tiles: tuple[int, int] = retrieval.TILES) -> DataFrame:
         """As ``retrieval.search``, among rows of the ``probe`` nearest cells of each query; None for all cells.
 
-        refine: how many candidates of each query, the best by codes, are compared by
-        their vectors; None compares all, and with ``probe=None`` gives the exact result. Only cells that some query
-        probes are read: their numbers, as many as there are cells at most, become a filter on folders.
+        refine: how many candidates of each query, the best by codes, a pair of tiles compares by
+        their vectors, so the best of all are among them; None compares all, and with ``probe=None`` gives the exact result. Only cells that some query
+        probes are read: their numbers, as many as there are cells at most, become a filter on folders. A query goes
+        once to each tile of rows, however many cells it probes; where it meets them, those of cells that it doesn't probe are left out.
         """
         k = k or retrieval.DEFAULT_K
         if k < 0 or (probe is not None and probe < 1) or (refine is not None and refine < k):
             raise ValueError("k and probe must be positive, and refine at least k")
-        asked = self.probes(queries, probe, vector=vector)
-        asked = asked.withColumnRenamed(vector, "_v").withColumnRenamed(query_id, "_q").select("_q", "_v", "cell", *by).persist()
-        rows = self.rows([r["cell"] for r in asked.select("cell").distinct().collect()])
-        names = dict(by=("cell", *by), query_id="_q", doc_id=self.doc_id, tiles=tiles)
-        if refine is None:
-            hits = retrieval.tile_hits(asked, rows, k, retrieval.nearest, vectors=("_v", self.vector), **names)
-        else:
-            near = retrieval.best(retrieval.tile_hits(asked, rows, refine, self._by_codes(), vectors=("_v", "code"), **names), refine)
-            hits = self._compared(near, asked, rows)
+        probe = None if probe is None or probe >= len(self.quantizer.centers) else probe
+        asked = queries.where(F.size(vector) == self.quantizer.dimensions).select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"), *by)
+        rows = self.rows().where(F.col("cell") != NOWHERE) if probe is None else self.rows(self.probed(queries, probe, vector=vector))
+        plain = probe is None and refine is None  # all is compared, so cells and codes tell nothing
+        hits = retrieval.tile_hits(asked, rows, k, retrieval.nearest if plain else self._near(probe, refine), vectors=("_v", self.vector), more=() if plain else ("code",), by=by, query_id="_q", doc_id=self.doc_id, tiles=tiles)
         found = retrieval.best(hits, k)
         kept = found if threshold is None else found.where(F.col("score") >= threshold)
         return kept.select(F.col("q").alias(query_id), "rank", F.col("d").alias(self.doc_id), "score", (1 - F.col("score")).alias("distance"))
 
-    def probe_for(self, queries: DataFrame, target: float, *, k: int = retrieval.DEFAULT_K, query_id: str = "query_id", vector: str = "embedding") -> int:
-        """The least number of cells to probe so that a share of ``target`` of these queries' exact hits lies in them; a search of all cells.
+    def probe_for(self, queries: DataFrame, target: float, *, k: int = retrieval.DEFAULT_K, query_id: str = "query_id", vector: str = "embedding", exact: DataFrame | None = None) -> int:
+        """The least number of cells to probe so that a share of ``target`` of these queries' exact hits lies in them. exact: the hits, if they are known; else a search of all cells.
 
         How many that are is up to the vectors: a few where they are clustered, a large share of the cells where they fill
         the space evenly.
         """
-        hits = self.search(queries, k=k, probe=None, refine=None, query_id=query_id, vector=vector)
-        where = hits.select(query_id, self.doc_id).join(self.rows().select(self.doc_id, F.col("cell").alias("of")), self.doc_id)
-        near = self.probes(queries.select(query_id, vector), None, vector=vector, ranked=True)
-        places = near.join(where, (near[query_id] == where[query_id]) & (near["cell"] == where["of"])).groupBy("place").count().orderBy("place").collect()
+        hits = self.search(queries, k=k, probe=None, refine=None, query_id=query_id, vector=vector) if exact is None else exact
+        where = hits.select(F.col(query_id).alias("_q"), self.doc_id).join(self.rows().select(self.doc_id, F.col("cell").alias("of")), self.doc_id)
+        both = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("v")).join(where.groupBy("_q").agg(F.collect_list("of").alias("of")), "_q").select("v", "of")
+        quantizer = self.quantizer
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(quantizer.centers), dtype=np.int64)
+            for part, x in _directed(batches, "v", quantizer.dimensions):
+                order = np.argsort(-quantizer.closeness(x), axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
+                of = part.column("of")
+                row = np.repeat(np.arange(len(x)), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+                n += np.bincount(place[row, of.flatten().to_numpy()], minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+        places = both.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("count")).orderBy("place").collect()
         total, seen = sum(r["count"] for r in places), 0
         for r in places:
             seen += r["count"]
@@ -212,39 +245,43 @@ class VectorIndex:
                 return r["place"] + 1
         return 1
 
-    def _by_codes(self):
+    def _near(self, probe: int | None, refine: int | None):
         quantizer = self.quantizer
 
         def near(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """The best by codes; all rows of a pair of tiles are of one cell."""
-            by_id = pc.sort_indices(d.column("id")).to_numpy()
-            codes = np.frombuffer(b"".join(d.column("v").to_pylist()), dtype=np.uint8).reshape(len(d), -1)[by_id]
-            a, center = retrieval.unit_rows(q), quantizer.centers[int(codes[0, :4].copy().view("<i4")[0])]
-
-            def scores(part: slice) -> np.ndarray:
-                tables = quantizer.tables(a[part])
-                out = np.repeat((a[part] @ center)[:, None], len(codes), axis=1)
-                for i in range(tables.shape[1]):
-                    out += tables[:, i, codes[:, 4 + i]]
-                return np.round(out, 9)
-
-            return retrieval.nearest_of(scores, len(a), by_id, k)
+            """The best by codes, or all, of rows whose cells a query probes, by their vectors. Queries of one cell are taken together, as they probe much the same."""
+            a, b = retrieval.unit_rows(q), retrieval.unit_rows(d)
+            codes = np.frombuffer(b"".join(d.column("code").to_pylist()), dtype=np.uint8).reshape(len(d), -1)
+            cell = np.ascontiguousarray(codes[:, :4]).view("<i4").ravel()
+            by_id = pc.sort_indices(d.column("id")).to_numpy().astype(np.int64)
+            seen = b if refine is None else quantizer.decoded(codes[:, 4:], cell)
+            fine = np.flatnonzero(np.isfinite(a).all(axis=1))
+            turn = fine[np.argsort(_nearest(a[fine], quantizer.centers), kind="stable")]
+            out = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+            for at in range(0, len(turn), 128):
+                part, rows = turn[at : at + 128], by_id
+                probed = np.ones((len(part), len(quantizer.centers)), dtype=bool)
+                if probe is not None:
+                    probed[:] = False
+                    np.put_along_axis(probed, quantizer.nearest_cells(a[part], probe), True, axis=1)
+                    rows = by_id[probed.any(axis=0)[cell[by_id]]]
+
+                def scores(some: slice, part=part, rows=rows, probed=probed) -> np.ndarray:
+                    found = np.round(a[part[some]] @ seen[rows].T, 9)
+                    return found if probe is None else np.where(probed[some][:, cell[rows]], found, -np.inf)
+
+                row, col, score = retrieval.nearest_of(scores, len(part), rows, refine or k)
+                if refine is not None and len(row):
+                    score = np.round((a[part[row]] * b[col]).sum(axis=1), 9)
+                    order = np.lexsort((d.column("id").to_numpy()[col], -score, row))
+                    row, col, score = row[order], col[order], score[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col, score = row[first], col[first], score[first]
+                out.append((part[row], col, score))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
         return near
 
-    def _compared(self, near: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
-        """q, d, score by the vectors of candidates."""
-        pairs = near.select("q", "d").join(rows.select(F.col(self.doc_id).alias("d"), F.col(self.vector).alias("b")), "d")
-        vectors = asked.dropDuplicates(["_q"]).select(F.col("_q").alias("q"), F.col("_v").alias("a"))
-        both = pairs.join(vectors, "q").select("q", "d", "a", "b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = (retrieval.unit_rows(pa.table({"v": batch.column(c)})) for c in "ab") if len(batch) else (np.zeros((0, 1)),) * 2
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("d"), pa.array(np.round((a * b).sum(axis=1), 9))], names=["q", "d", "score"])
-
-        return both.mapInArrow(run, T.StructType([near.schema["q"], near.schema["d"], T.StructField("score", T.DoubleType())]))
-
     def upsert(self, new: DataFrame, *, order: str | None = None) -> list[int]:
         """Put rows in place of those of the same id. Only cells that have or get such a row are written, by partition; their numbers are returned."""
         key = self.doc_id

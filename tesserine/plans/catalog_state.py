@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval, sketches, temporal
 from ..operators.vector_index import VectorIndex, recall
-from ..session import scratch_dir
+from ..session import kept, scratch_dir
 from ..sources import versions
 from ..streaming import events
 from .catalog import _KNN, _vectors, query, table
@@ -36,8 +36,8 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and probing of as few cells as hold 0.95 of the exact hits, against the exact search: hits found, and whether 0.9 of the exact ones are among them."""
     queries, rows = _vectors(spark, sf_dir)
     index = VectorIndex.build(rows, scratch_dir(spark))
-    exact = retrieval.search(queries, rows, k=5)
-    found = index.search(queries, k=5, probe=index.probe_for(queries, 0.95)).persist()
+    exact = kept(retrieval.search(queries, rows, k=5))  # told from once for the number of cells and once for the recall
+    found = kept(index.search(queries, k=5, probe=index.probe_for(queries, 0.95, exact=exact)))
     return found.agg(F.count("*").alias("hits")).withColumn("enough", F.lit(recall(found, exact) >= 0.9))
 
 

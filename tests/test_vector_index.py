@@ -120,3 +120,14 @@ def test_training_is_bounded_and_repeats(spark, rows):
     for none in (flat.limit(0), spark.createDataFrame([(1, [0.0, 0.0])], flat.schema)):
         with pytest.raises(ValueError):
             V.train(none)
+
+
+def test_queries_are_not_sent_once_a_cell(rows, asked, index, monkeypatch):
+    """However many cells are probed, a search has each query once; the number of cells is told from given hits as from an own search."""
+    sent, plain = [], retrieval.tile_hits
+    monkeypatch.setattr(retrieval, "tile_hits", lambda queries, *more, **names: sent.append(queries.count()) or plain(queries, *more, **names))
+    exact = retrieval.search(asked, rows, k=4)
+    for probe, refine in ((None, None), (None, 40), (20, None), (20, 40)):
+        assert V.recall(index.search(asked, k=4, probe=probe, refine=refine), exact) >= 0.95
+    assert set(sent) == {asked.count(), asked.where(F.size("embedding") == 12).count()}
+    assert index.probe_for(asked, 0.9, k=4, exact=exact) == index.probe_for(asked, 0.9, k=4)
