@@ -133,24 +133,24 @@ class Tables:
 def fit_tables(ids: np.ndarray, size: int, tables: int = TABLES) -> np.ndarray:
     """Counts of ids, all below ``size``, in groups of stretches that one table codes well: k-means by coded length, from stretches far apart.
 
-    The first group is the whole file. Fitted on every eighth stretch of a long file; which groups are found
+    The first group is the whole file. Fitted on all stretches, however many; which groups are found
     has an effect on the size of the file only.
     """
     whole = np.bincount(ids, minlength=size)
     n = len(ids) // STRETCH
-    if n < 4 * tables:
+    if not n:
         return whole[None]
-    local = ids[: n * STRETCH].reshape(n, STRETCH)[:: 8 if n > 4096 else 1]
+    local = ids[: n * STRETCH].reshape(n, STRETCH)
     prior = whole / whole.sum()
-    log = lambda c: np.log((c + 200 * prior[None]) / (c.sum(axis=1, keepdims=True) + 200)).astype(np.float32)
+    coded = lambda c: np.log((c + 200 * prior) / (c.sum() + 200)).astype(np.float32)[local].sum(axis=1)
     # Each further start is the stretch that the ones before code worst.
-    starts = np.bincount(local[0], minlength=size)[None]
+    counts = [np.bincount(local[0], minlength=size)]
+    cost = coded(counts[0])
     for _ in range(tables - 2):
-        cost = log(starts)[:, local].sum(axis=2).max(axis=0)
-        starts = np.concatenate([starts, np.bincount(local[int(cost.argmin())], minlength=size)[None]])
-    counts = starts
+        counts.append(np.bincount(local[int(cost.argmin())], minlength=size))
+        cost = np.maximum(cost, coded(counts[-1]))
     for _ in range(ROUNDS):
-        group = log(counts)[:, local].sum(axis=2).argmax(axis=0)
+        group = np.stack([coded(c) for c in counts]).argmax(axis=0)
         counts = np.stack([np.bincount(local[group == k].reshape(-1), minlength=size) for k in range(len(counts))])
     # A table that few stretches have is not worth its place in the header.
     return np.concatenate([whole[None], counts[counts.sum(axis=1) > 4 * size]])

@@ -352,3 +352,12 @@ def test_runs_in_threads_delete_their_own_tables(spark, tmp_path, monkeypatch):
     done.set()
     t.join()
     assert left == {"between": ["long"], "rows": 3} and not list((tmp_path / "shared").iterdir())
+
+
+def test_tables_are_fitted_to_every_stretch():
+    """Whatever a file's length, each of its stretches is in one of the groups."""
+    rng = np.random.default_rng(4)
+    for n in (20, 60, 5000):
+        ids = np.concatenate([rng.integers(20 * (i % 2), 20 * (i % 2) + 20, size=token_file.STRETCH) for i in range(n)])
+        counts = token_file.fit_tables(ids, 40)
+        assert counts[0].sum() == counts[1:].sum() == n * token_file.STRETCH and len(counts) > 2
