@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 TILES = (32768, 32768)
 #: So many tiles are a filter's queries cut into at least, if they then hold ``SMALL`` each: for tasks to have something to do.
 SPREAD, SMALL = 12, 1024
+#: So many components a tile's vectors have at most, if that is ``SMALL`` vectors or more.
+VALUES = 1 << 21
 #: So many filters' sizes are broadcast at most; more are joined.
 FILTERS = 10_000
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.35
@@ -85,9 +87,9 @@ def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFr
 
     Up to FILTERS of them are read here and broadcast; more stay a table to join with.
     """
-    # One query's tile is as small as SPREAD asks for, as large as ``tiles`` lets it be.
-    n = F.count("*")
-    cut = lambda most: F.ceil(n / most)
+    # One tile of queries is as small as SPREAD asks for, as large as ``tiles`` and the vectors' length let it be.
+    n, length = F.count("*"), F.greatest(F.max(F.size("v")), F.lit(1))
+    cut = lambda most: F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(SMALL), F.lit(VALUES) / length)))
     rows = F.greatest(cut(tiles[0]), F.least(cut(SMALL), F.lit(SPREAD))) if tiles[0] > SMALL else cut(tiles[0])
     both = asked.groupBy("want").agg(rows.alias("rows")).join(known.groupBy("want").agg(cut(tiles[1]).alias("cols")), "want")
     few = both.limit(FILTERS + 1).collect()
