@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -75,12 +76,27 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return f_measure(F.pandas_udf(lengths, "long")(a, b), F.size(a), F.size(b))
 
 
+def clipped(a: list[str], b: list[str], most: int) -> list[int]:
+    """hits, found and wanted of two token lists, for each size of n-grams in turn."""
+    out: list[int] = []
+    for n in range(1, most + 1):
+        x, y = (Counter(zip(*(words[i:] for i in range(n)), strict=False)) for words in (a, b))
+        out += [sum(min(c, y[g]) for g, c in x.items() if g in y), x.total(), y.total()]
+    return out
+
+
 def corpus_bleu(df: DataFrame, prediction: str, reference: str, *, most: int = 4) -> DataFrame:
-    """One row, bleu: clipped n-gram precisions of the corpus and its brevity penalty, 0 if any precision is."""
+    """One row, bleu: clipped n-gram precisions of the corpus and its brevity penalty, 0 if any precision is.
+
+    A row's n-grams are counted where the row is, by a helper, so only sums are shuffled.
+    """
     sizes = tuple(range(1, most + 1))
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    met = overlap(keyed, ["_row"], T.words_of(T.normalize_spaces(prediction)), T.words_of(T.normalize_spaces(reference)), sizes)
-    sums = met.agg(*(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in sizes for c in ("hits", "found", "wanted")))
+
+    def counts(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([clipped(list(x), list(y), most) for x, y in zip(a, b, strict=True)], dtype="object")
+
+    met = df.select(F.pandas_udf(counts, "array<long>")(T.words_of(T.normalize_spaces(prediction)), T.words_of(T.normalize_spaces(reference))).alias("c"))
+    sums = met.agg(*(F.sum(F.element_at("c", 3 * (n - 1) + i)).alias(f"{c}{n}") for n in sizes for i, c in enumerate(("hits", "found", "wanted"), 1)))
     logs = reduce(lambda a, b: a + b, (F.log(F.col(f"hits{n}") / F.col(f"found{n}")) for n in sizes))
     some = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"hits{n}") > 0, F.lit(False)) for n in sizes))
     penalty = F.when(F.col("found1") >= F.col("wanted1"), 1.0).otherwise(F.exp(1 - F.col("wanted1") / F.col("found1")))

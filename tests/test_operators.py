@@ -393,6 +393,17 @@ def test_rouge_l_equals_the_table_of_prefixes(spark):
 def test_a_search_sends_each_row_a_few_times(spark):
     """Rows go once to each tile of the other side; how many tiles there are grows with the square of the rows only beyond the largest tiles."""
     for n, rows, cols in ((500, 1, 1), (5_000, 5, 1), (40_000, 12, 2), (600_000, 19, 19)):
-        asked = spark.range(n).select(F.lit("x").alias("want"))
+        asked = spark.range(n).select(F.lit("x").alias("want"), F.array_repeat(F.lit(1.0), 64).alias("v"))
         found = retrieval._sizes(asked, asked, retrieval.TILES).first()
         assert (found["rows"], found["cols"]) == (rows, cols)
+    long = spark.range(40_000).select(F.lit("x").alias("want"), F.array_repeat(F.lit(1.0), 512).alias("v"))
+    assert retrieval._sizes(long, long, retrieval.TILES).first()["cols"] == 10  # tiles of 4,096, as long vectors take room
+
+
+def test_bleu_shuffles_sums_only(spark):
+    """Counted where rows are; the same as n-grams that meet by a grouped count."""
+    pairs = [("a b a b c", "a b c a b"), ("x", "x y"), ("", "q"), (None, None)]
+    df = spark.createDataFrame(pairs, "p string, r string")
+    assert "Generate" not in metrics.corpus_bleu(df, "p", "r")._jdf.queryExecution().executedPlan().toString()
+    for n, hits in ((1, 5), (2, 3), (3, 1), (4, 0)):
+        assert metrics.clipped("a b a b c".split(), "a b c a b".split(), 4)[3 * (n - 1) : 3 * n] == [hits, 6 - n, 6 - n]
