@@ -335,7 +335,7 @@ def sentence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", "(?<= )")
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.posexplode(words).alias("seq", "token"), F.size(words).alias("n"))
     tokens = c.select("request_id", F.col("seq").cast("long").alias("seq"), "token", (F.col("seq") == F.col("n") - 1).alias("is_last"))
-    tokens.coalesce(1).write.parquet(f"{folder}/in")
+    tokens.write.parquet(f"{folder}/in")
     stream = answers.stream_sentences(spark.readStream.schema(tokens.schema).parquet(f"{folder}/in"))
     provider = "spark.sql.streaming.stateStore.providerClass"  # states of this kind need this store
     before = spark.conf.get(provider)

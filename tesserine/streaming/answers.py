@@ -18,9 +18,9 @@ SENTENCES = T.StructType([T.StructField("request_id", T.StringType()), T.StructF
 _ENDS = ".!?。！？"
 
 
-def pop_sentences(buffer: str) -> tuple[str, str]:
-    """(done, rest): a buffer cut after the last sentence end that white space follows."""
-    for i in range(len(buffer) - 1, 0, -1):
+def pop_sentences(buffer: str, known: int = 0) -> tuple[str, str]:
+    """(done, rest): a buffer cut after the last sentence end that white space follows. known: so many first characters have no such end among them."""
+    for i in range(len(buffer) - 1, max(known, 1) - 1, -1):
         if buffer[i].isspace() and buffer[i - 1] in _ENDS:
             stop = i
             while stop < len(buffer) and buffer[stop].isspace():
@@ -52,7 +52,7 @@ class SentenceBuffer(StatefulProcessor):
         tokens = pd.concat(list(rows)).sort_values("seq")
         out = []
         for token, last in zip(tokens["token"], tokens["is_last"], strict=True):
-            done, tail = pop_sentences(tail + (token or ""))
+            done, tail = pop_sentences(tail + (token or ""), len(tail))
             if last:
                 done, tail = done + tail, ""
             if done.strip():

@@ -96,3 +96,23 @@ def test_rewrite_stream_goes_on_where_it_stopped(spark, tmp_path):
     rows.limit(2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert seen == ["Phở là gì?"] * 6
+
+
+def test_only_what_is_new_is_searched():
+    """A long text without a sentence's end is looked through once, token by token, with the same cuts as over whole buffers."""
+
+    class Read(str):
+        seen = 0
+
+        def __getitem__(self, i):
+            Read.seen += 1
+            return str.__getitem__(self, i)
+
+        def isspace(self):
+            return str.isspace(self)
+
+    assert answers.pop_sentences(Read("x" * 1000 + " y"), 1000) == ("", "x" * 1000 + " y") and Read.seen < 10
+    for text in ("a. b c.  d", "no end", "a.\n\nb! ", "x? y"):
+        for at in range(len(text)):
+            tail = answers.pop_sentences(text[:at])[1]
+            assert answers.pop_sentences(tail + text[at:], len(tail)) == answers.pop_sentences(tail + text[at:])
