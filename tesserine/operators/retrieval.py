@@ -13,7 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The most rows of a tile of queries and of a tile of the index; a pair of tiles is one task's. A query is sent once for
+#: Tiles of queries and of the index that an exact search makes, whatever its size, so that what it shuffles grows as its
+#: tables do; a pair of tiles is one task's. A filter has its share of them, and more only beyond ``LARGE`` bytes of vectors
+#: in a tile, two of which a task must hold.
+GRID, LARGE = (6, 3), 1 << 26
+#: Rows of the index that are compared at a time, and queries.
+BLOCK, PART = 4096, 128
+#: The most rows of a tile of queries and of a tile of the index where more than vectors must be held. A query is sent once for
 #: each tile of the index and a row once for each tile of queries, so larger tiles shuffle less.
 TILES = (32768, 32768)
 #: So many tiles are a filter's queries cut into at least, if they then hold ``SMALL`` each: for tasks to have something to do.
@@ -25,7 +31,7 @@ FILTERS = 10_000
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.35
 
 
-def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", tiles: tuple[int, int] = TILES) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", tiles: tuple[int, int] | None = None) -> DataFrame:
     """query_id, rank, doc_id, score, distance: the k nearest by cosine, at or above the threshold.
 
     by: columns that both tables have; a query with a value there is searched only
@@ -33,7 +39,8 @@ def search(queries: DataFrame, index: DataFrame, *, k: int = DEFAULT_K, threshol
     same as before, since both go by score. Ties go to the smaller doc_id. Queries of the same
     filter and the rows that pass it are cut into tiles, each pair of tiles multiplies as matrices in one task, and
     only its top k per query are shuffled; neither side is broadcast, and rows that no query asks for
-    go nowhere. Null and zero vectors find nothing and aren't found.
+    go nowhere. Null and zero vectors find nothing and aren't found. tiles: the most rows of a tile of queries and of rows;
+    by default there are as many tiles as ``GRID`` says.
     """
     k = k or DEFAULT_K
     if k < 0:
@@ -49,7 +56,7 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc("d")))).where(F.col("rank") <= k)
 
 
-def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]], *, by: tuple[str, ...], query_id: str, doc_id: str, vectors: tuple[str, str], more: tuple[str, ...] = (), tiles: tuple[int, int] = TILES) -> DataFrame:
+def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.Table, pa.Table, int], tuple[np.ndarray, np.ndarray, np.ndarray]], *, by: tuple[str, ...], query_id: str, doc_id: str, vectors: tuple[str, str], more: tuple[str, ...] = (), tiles: tuple[int, int] | None = None) -> DataFrame:
     """q, d, score: of each pair of tiles, what ``near`` finds among the rows that a query's filter passes, k for each query.
 
     vectors: the columns of the queries and of the index that ``near`` gets as v; more: further columns of the index that it gets.
@@ -82,28 +89,65 @@ def tile_hits(queries: DataFrame, index: DataFrame, k: int, near: Callable[[pa.T
     return left.groupBy("want", "i", "j").cogroup(right.groupBy("want", "i", "j")).applyInArrow(top, shape)
 
 
-def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int]) -> DataFrame:
+def _sizes(asked: DataFrame, known: DataFrame, tiles: tuple[int, int] | None) -> DataFrame:
     """want, rows, cols: into how many tiles each filter's queries and rows are cut; filters that both sides have.
 
     Up to FILTERS of them are read here and broadcast; more stay a table to join with.
     """
-    # One tile of queries is as small as SPREAD asks for, as large as ``tiles`` and the vectors' length let it be.
     n, length = F.count("*"), F.greatest(F.max(F.size("v")), F.lit(1))
-    cut = lambda most: F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(SMALL), F.lit(VALUES) / length)))
-    rows = F.greatest(cut(tiles[0]), F.least(cut(SMALL), F.lit(SPREAD))) if tiles[0] > SMALL else cut(tiles[0])
-    both = asked.groupBy("want").agg(rows.alias("rows")).join(known.groupBy("want").agg(cut(tiles[1]).alias("cols")), "want")
+    if tiles is None:
+        # Each filter has its share of the tiles, unless they were smaller than SMALL or larger than LARGE.
+        counts = lambda df, side: df.groupBy("want").agg(n.alias(f"n_{side}"), length.alias(f"length_{side}"))
+        met = counts(asked, "rows").join(counts(known, "cols"), "want")
+
+        def cut_evenly(df: DataFrame, tiles: int, side: str) -> Column:
+            size, n = 4 if df.schema["v"].dataType == T.ArrayType(T.FloatType()) else 8, F.col(f"n_{side}")
+            most = F.greatest(F.lit(SMALL), LARGE / (size * F.col(f"length_{side}")))
+            return F.greatest(F.least(F.ceil(tiles * n / F.col(f"all_{side}")), F.ceil(n / SMALL)), F.ceil(n / most)).alias(side)
+
+        both = met.crossJoin(met.agg(F.sum("n_rows").alias("all_rows"), F.sum("n_cols").alias("all_cols"))).select("want", cut_evenly(asked, GRID[0], "rows"), cut_evenly(known, GRID[1], "cols"))
+    else:
+        # One tile of queries is as small as SPREAD asks for, as large as ``tiles`` and the vectors' length let it be.
+        cut = lambda most: F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(SMALL), F.lit(VALUES) / length)))
+        rows = F.greatest(cut(tiles[0]), F.least(cut(SMALL), F.lit(SPREAD))) if tiles[0] > SMALL else cut(tiles[0])
+        both = asked.groupBy("want").agg(rows.alias("rows")).join(known.groupBy("want").agg(cut(tiles[1]).alias("cols")), "want")
     few = both.limit(FILTERS + 1).collect()
     return both if len(few) > FILTERS else F.broadcast(asked.sparkSession.createDataFrame(few, both.schema))
 
 
 def nearest(q: pa.Table, d: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of each query of a pair of tiles, by their places in them."""
-    a, b = unit_rows(q), unit_rows(d)
-    if a.shape[1] != b.shape[1]:
-        raise ValueError("queries and index have vectors of different lengths")
-    by_id = pc.sort_indices(d.column("id")).to_numpy()
-    b = b[by_id]
-    return nearest_of(lambda part: np.round(a[part] @ b.T, 9), len(a), by_id, k)
+    """(query, row, score) of the k best rows of each query of a pair of tiles, by their places in them.
+
+    Rows are compared a block at a time, in the order of their ids, and meet the k best of the blocks before.
+    """
+    a, v, by_id = unit_rows(q), d.column("v").combine_chunks(), pc.sort_indices(d.column("id"))
+    # The k best so far: their scores, falling, and their places in by_id.
+    held, place = np.full((len(a), k), -np.inf), np.zeros((len(a), k), dtype=np.int64)
+    for at in range(0, len(v), BLOCK):
+        b = unit_rows(pa.table({"v": v.take(by_id.slice(at, BLOCK))}))
+        if a.shape[1] != b.shape[1]:
+            raise ValueError("queries and index have vectors of different lengths")
+        for start in range(0, len(a), PART):
+            score = a[start : start + PART] @ b.T
+            least = held[start : start + PART, -1]
+            if score.shape[1] > k and np.isneginf(least).any():
+                score[~np.isfinite(score)] = -np.inf
+                least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+            # Scores are rounded where they may count: all that may tie with the k-th once rounded stay in the race.
+            row, col = np.divmod(np.flatnonzero(score > (least - 2e-9)[:, None]), score.shape[1])
+            score = np.round(score[row, col], 9)
+            fine = np.isfinite(score)
+            if not fine.any():
+                continue
+            row, col, score = row[fine] + start, col[fine] + at, score[fine]
+            met = np.unique(row)
+            row, col, score = (np.concatenate(x) for x in ((np.repeat(met, k), row), (place[met].ravel(), col), (held[met].ravel(), score)))
+            order = np.lexsort((col, -score, row))
+            row, col, score = row[order], col[order], score[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            held[met], place[met] = score[first].reshape(-1, k), col[first].reshape(-1, k)
+    found = np.isfinite(held)
+    return np.nonzero(found)[0], by_id.to_numpy()[place[found]], held[found]
 
 
 def nearest_of(scores: Callable[[slice], np.ndarray], n: int, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +176,10 @@ def unit_rows(t: pa.Table) -> np.ndarray:
         raise ValueError("vectors of different lengths")
     v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return v / np.sqrt((v * v).sum(axis=1))[:, None]
+        for at in range(0, len(v), BLOCK):  # in place, a few at a time
+            part = v[at : at + BLOCK]
+            part /= np.sqrt((part * part).sum(axis=1))[:, None]
+    return v
 
 
 def with_documents(hits: DataFrame, index: DataFrame, *, doc_id: str = "doc_id", vector: str = "embedding") -> DataFrame:

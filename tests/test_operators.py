@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,3 +408,37 @@ def test_bleu_shuffles_sums_only(spark):
     assert "Generate" not in metrics.corpus_bleu(df, "p", "r")._jdf.queryExecution().executedPlan().toString()
     for n, hits in ((1, 5), (2, 3), (3, 1), (4, 0)):
         assert metrics.clipped("a b a b c".split(), "a b c a b".split(), 4)[3 * (n - 1) : 3 * n] == [hits, 6 - n, 6 - n]
+
+
+def test_an_exact_search_has_as_many_tiles_whatever_its_size(spark, monkeypatch):
+    """So that each row is sent equally often; filters share the tiles, and large vectors make more of them."""
+    made, plain = [], retrieval._sizes
+    monkeypatch.setattr(retrieval, "_sizes", lambda *x: made.append(plain(*x)) or made[-1])
+    vectors = lambda n, more: spark.range(n).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.array_repeat(F.lit(1.0), 64).cast("array<float>").alias("embedding"), *more)
+    for n in (12_000, 40_000, 300_000):
+        df = vectors(n, ())
+        retrieval.search(df, df, k=3)
+    assert {(r["rows"], r["cols"]) for sizes in made for r in sizes.collect()} == {retrieval.GRID}
+    df = vectors(60_000, [F.when(F.col("id") % 10 == 0, "few").otherwise("most").alias("kind")])
+    retrieval.search(df, df, k=3, by=("kind",))
+    assert sorted((r["rows"], r["cols"]) for r in made[-1].collect()) == [(1, 1), (6, 3)]
+    monkeypatch.setattr(retrieval, "LARGE", 4 * 64 * 5_000)
+    df = vectors(40_000, ())
+    retrieval.search(df, df, k=3)
+    assert tuple(made[-1].select("rows", "cols").first()) == (8, 8)
+
+
+def test_blocks_of_a_tile_give_the_best_of_all(monkeypatch):
+    rng = np.random.default_rng(3)
+    table = lambda v: pa.table({"id": pa.array(rng.permutation(len(v))), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    q, d = (table(rng.integers(-1, 2, (n, 4)).astype(float)) for n in (23, 61))  # many ties, some zero vectors
+    a, b = retrieval.unit_rows(q), retrieval.unit_rows(d)
+    ids = d.column("id").to_numpy()
+    for block, part, k in ((4096, 128, 5), (7, 5, 5), (3, 4, 5), (7, 5, 100)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "PART", part)
+        got = {}
+        for i, j, s in zip(*retrieval.nearest(q, d, k), strict=True):
+            got.setdefault(int(i), []).append((-float(s), int(ids[j])))
+        want = {i: sorted((-round(float(a[i] @ b[j]), 9), int(ids[j])) for j in range(len(b)) if np.isfinite(a[i] @ b[j]))[:k] for i in range(len(a))}
+        assert got == {i: w for i, w in want.items() if w}
