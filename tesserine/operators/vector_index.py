@@ -194,7 +194,7 @@ class VectorIndex:
 
         return sorted(r["cell"] for r in queries.select(vector).mapInArrow(run, "cell int").distinct().collect())
 
-    def search(self, queries: DataFrame, *, k: int = retrieval.DEFAULT_K, probe: int | None = PROBE, refine: int | None = 64, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", vector: str = "embedding", tiles: tuple[int, int] = retrieval.TILES) -> DataFrame:
+    def search(self, queries: DataFrame, *, k: int = retrieval.DEFAULT_K, probe: int | None = PROBE, refine: int | None = 64, threshold: float | None = None, by: tuple[str, ...] = (), query_id: str = "query_id", vector: str = "embedding", tiles: tuple[int, int] | None = None) -> DataFrame:
         """As ``retrieval.search``, among rows of the ``probe`` nearest cells of each query; None for all cells.
 
         refine: how many candidates of each query, the best by codes, a pair of tiles compares by
@@ -209,6 +209,7 @@ class VectorIndex:
         asked = queries.where(F.size(vector) == self.quantizer.dimensions).select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"), *by)
         rows = self.rows().where(F.col("cell") != NOWHERE) if probe is None else self.rows(self.probed(queries, probe, vector=vector))
         plain = probe is None and refine is None  # all is compared, so cells and codes tell nothing
+        tiles = tiles if tiles or plain else retrieval.TILES
         hits = retrieval.tile_hits(asked, rows, k, retrieval.nearest if plain else self._near(probe, refine), vectors=("_v", self.vector), more=() if plain else ("code",), by=by, query_id="_q", doc_id=self.doc_id, tiles=tiles)
         found = retrieval.best(hits, k)
         kept = found if threshold is None else found.where(F.col("score") >= threshold)

@@ -131,3 +131,12 @@ def test_queries_are_not_sent_once_a_cell(rows, asked, index, monkeypatch):
         assert V.recall(index.search(asked, k=4, probe=probe, refine=refine), exact) >= 0.95
     assert set(sent) == {asked.count(), asked.where(F.size("embedding") == 12).count()}
     assert index.probe_for(asked, 0.9, k=4, exact=exact) == index.probe_for(asked, 0.9, k=4)
+
+
+def test_only_searches_by_codes_have_their_own_tiles(asked, index, monkeypatch):
+    """A search of all cells is cut as an exact one, in as many tiles whatever its size."""
+    cut, plain = [], retrieval.tile_hits
+    monkeypatch.setattr(retrieval, "tile_hits", lambda *rows, **names: cut.append(names["tiles"]) or plain(*rows, **names))
+    for names in ({"probe": None, "refine": None}, {"probe": 3}, {"probe": None, "refine": None, "tiles": (7, 50)}):
+        index.search(asked, k=4, **names)
+    assert cut == [None, retrieval.TILES, (7, 50)]
