@@ -25,7 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,56 +50,70 @@ _TOP = np.uint64(1 << 32)
 _MASK = np.uint64(0xFFFFFFFF)
 #: Confidence classes: has the prediction of this slot come true last time, and before.
 _CLASSES = 4
+#: The class after one that failed, and after one that came true.
+_SURER = np.array([0, 0, 1, 2, 1, 2, 3, 3])
 
 
 class _Model:
-    """The lanes' tables and adaptive weights; encoder and decoder step through it alike."""
+    """The lanes' tables and adaptive weights; encoder and decoder step through it alike.
+
+    Arrays of two rows hold order 1 in the first and order 2 in the second.
+    """
 
     def __init__(self, lanes: int, tables: "Tables"):
-        self.lanes, self.tables = np.arange(lanes), tables
+        self.tables = tables
         #: How many bits each table would have saved on the lane's last ids, and the one in use, as an offset.
         self.saved = np.zeros((lanes, tables.many), dtype=np.float32)
         self.offset = np.zeros(lanes, dtype=np.int64)
-        self.slot1 = np.full(lanes * _SLOTS1, -1, dtype=np.int32)
-        self.slot2 = np.full(lanes * _SLOTS2, -1, dtype=np.int32)
-        self.sure1 = np.zeros(lanes * _SLOTS1, dtype=np.int8)
-        self.sure2 = np.zeros(lanes * _SLOTS2, dtype=np.int8)
+        # All lanes' slots of order 1, then those of order 2; hits and trials likewise, but lane by lane.
+        lane = np.arange(lanes)
+        self.slots = np.stack([lane * _SLOTS1, lanes * _SLOTS1 + lane * _SLOTS2])
+        # A slot holds its id times _CLASSES, plus its class; ids are places among the file's own, far fewer than would fit.
+        self.slot = np.full(lanes * (_SLOTS1 + _SLOTS2), -_CLASSES, dtype=np.int32)
         # Hits and trials of each order and class, per lane; the start favours what usually holds.
         start = np.array([[0.05, 0.2, 0.5, 0.8], [0.15, 0.5, 0.8, 0.95]])
+        self.classes = np.stack([lane * 2 * _CLASSES, lane * 2 * _CLASSES + _CLASSES])
         self.hits = np.repeat(start[None] * 4, lanes, axis=0).reshape(-1)
         self.trials = np.full(lanes * 2 * _CLASSES, 4.0)
         self.before = np.zeros(lanes, dtype=np.int64)
         self.last = np.zeros(lanes, dtype=np.int64)
-
-    def step(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predicted ids of orders 1 and 2 (-1: none), their spikes, and what order 0 has, of _TOTAL."""
-        self.at1 = self.lanes * _SLOTS1 + ((self.last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.at2 = self.lanes * _SLOTS2 + (((self.last * 40503) ^ (self.before * 30011)) >> 3 & (_SLOTS2 - 1))
-        p1, p2 = self.slot1[self.at1].astype(np.int64), self.slot2[self.at2].astype(np.int64)
-        self.c1 = self.lanes * (2 * _CLASSES) + self.sure1[self.at1]
-        self.c2 = self.lanes * (2 * _CLASSES) + _CLASSES + self.sure2[self.at2]
-        w2 = np.where(p2 >= 0, self.hits[self.c2] / self.trials[self.c2], 0.0)
-        w1 = np.where((p1 >= 0) & (p1 != p2), self.hits[self.c1] / self.trials[self.c1], 0.0) * (1.0 - w2)
-        room = _TOTAL - max(1 << 17, self.tables.total)  # order 0 always has its part, so that any id can be coded
-        s2 = (w2 * room).astype(np.int64)
-        s1 = (w1 * room).astype(np.int64)
-        self.p1, self.p2 = p1, p2
-        return p1, p2, s1, s2, _TOTAL - s1 - s2
-
-    def learn(self, ids: np.ndarray) -> None:
-        for p, at, c, slot, sure in ((self.p1, self.at1, self.c1, self.slot1, self.sure1), (self.p2, self.at2, self.c2, self.slot2, self.sure2)):
-            hit = p == ids
-            known = p >= 0
-            self.hits[c] = np.where(known, self.hits[c] * 0.98 + hit, self.hits[c])
-            self.trials[c] = np.where(known, self.trials[c] * 0.98 + 1.0, self.trials[c])
-            held = sure[at]
-            # A prediction that came true grows surer; a sure one that failed once is kept, less sure.
-            sure[at] = np.where(hit, np.minimum(held + 1, _CLASSES - 1), np.where(held > 1, held - 1, 0))
-            slot[at] = np.where(hit | (held > 1), slot[at], ids)
+        self.at = np.empty((2, lanes), dtype=np.int64)
+        self.room = _TOTAL - max(1 << 17, tables.total)  # order 0 always has its part, so that any id can be coded
+
+    def step(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted ids (-1: none), their spikes (nothing where there is none), and what order 0 has, of _TOTAL."""
+        one = self.last * 40503
+        np.bitwise_and(one >> 4, _SLOTS1 - 1, out=self.at[0])
+        np.bitwise_and((one ^ (self.before * 30011)) >> 3, _SLOTS2 - 1, out=self.at[1])
+        self.at += self.slots
+        found = self.slot.take(self.at).astype(np.int64)
+        self.held = found & (_CLASSES - 1)
+        self.p = p = found >> (_CLASSES.bit_length() - 1)
+        self.c = self.classes + self.held
+        self.hit, self.tried = self.hits.take(self.c), self.trials.take(self.c)
+        self.known = p >= 0
+        w = self.hit / self.tried
+        w *= self.known
+        w[0] *= p[0] != p[1]
+        w[0] *= 1.0 - w[1]
+        w *= self.room
+        s = w.astype(np.int64)
+        return p, s, _TOTAL - s[0] - s[1]
+
+    def learn(self, ids: np.ndarray, came: np.ndarray) -> None:
+        """came: where the predictions were the ids."""
+        fade = np.where(self.known, 0.98, 1.0)
+        self.hit *= fade
+        self.hit += came
+        self.tried *= fade
+        self.tried += self.known
+        self.hits[self.c], self.trials[self.c] = self.hit, self.tried
+        # A prediction that came true grows surer; a sure one that failed once is kept, less sure.
+        self.slot[self.at] = np.where(self.held > 1, self.p, ids) * _CLASSES + _SURER.take(self.held + came * _CLASSES)
         self.before, self.last = self.last, ids
         if self.tables.many > 1:
             self.saved *= np.float32(FORGET)
-            self.saved += self.tables.bits[ids]
+            self.saved += self.tables.bits.take(ids, axis=0)
             self.offset = self.saved.argmax(axis=1) * self.tables.step
 
 
@@ -111,7 +125,7 @@ def order0(counts: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Several order-0 tables as one: table k's cumulative frequencies stand at ``step`` * k, raised by ``total`` * k."""
+    """Several order-0 tables as one: table k's cumulative frequencies stand at ``step`` * k."""
 
     def __init__(self, counts: np.ndarray):
         """counts: a row of counts for each table."""
@@ -121,13 +135,19 @@ class Tables:
         for c in each:
             c[-1] = self.total
         self.many, self.step = len(each), len(each[0])
-        self.flat = np.concatenate([c + self.total * k for k, c in enumerate(each)])
+        self.flat = np.concatenate(each)
         share = np.stack([np.diff(c) for c in each], axis=1)
         self.bits = np.log2(share).astype(np.float32)
+        self.share = share
+
+    def scaled(self, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Where the lane's table, which has ``part`` of _TOTAL, puts the start of an id; at: the table's offset and the id."""
+        return self.flat.take(at) * part // self.total
 
-    def scaled(self, offset: np.ndarray, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """Where the lane's table, which has ``part`` of _TOTAL, puts the start of an id."""
-        return (self.flat[offset + ids] - offset // self.step * self.total) * part // self.total
+    def holders(self) -> np.ndarray:
+        """The id that holds each of the ``total`` places of a table, one table after another."""
+        ids = np.arange(self.step - 1, dtype=np.int32)
+        return np.concatenate([np.repeat(ids, self.share[:, k]) for k in range(self.many)])
 
 
 def fit_tables(ids: np.ndarray, size: int, tables: int = TABLES) -> np.ndarray:
@@ -169,50 +189,76 @@ def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
     live = np.searchsorted(-size[order], -np.arange(longest), side="left")
     model = _Model(lanes, tables)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
-    # Carry-less output: the range is cut so that its top byte is settled; bytes go to a growing matrix.
-    out = np.zeros((lanes, longest * 4 + 8), dtype=np.uint8)
-    n = np.zeros(lanes, dtype=np.int64)
+    # Carry-less output: the range is cut so that its top byte is settled; bytes go to a growing matrix. All four
+    # of ``low`` are put, of which those that aren't settled are put again later.
+    room = longest * 4 + 8
+    out = np.zeros(lanes * room + 4, dtype=np.uint8)
+    words = np.ndarray(lanes * room, dtype=">u4", buffer=out, strides=(1,))
+    n = np.arange(lanes) * room
+
+    def put(at: slice | np.ndarray, low: np.ndarray, settled: np.ndarray) -> None:
+        words[n[at]] = low
+        n[at] += settled
+
     for t in range(longest):
         x = ids[t]
-        p1, p2, s1, s2, part = model.step()
-        start = tables.scaled(model.offset, x, part) + np.where(p1 < x, s1, 0) + np.where(p2 < x, s2, 0)
-        stop = tables.scaled(model.offset, x + 1, part) + np.where(p1 <= x, s1, 0) + np.where(p2 <= x, s2, 0)
-        start, stop = np.where(p1 < 0, start - s1, start) - np.where(p2 < 0, s2, 0), np.where(p1 < 0, stop - s1, stop) - np.where(p2 < 0, s2, 0)
-        m = live[t]
-        r = width >> np.uint64(_BITS)
-        low = np.where(model.lanes < m, (low + r * start.astype(np.uint64)) & _MASK, low)
-        width = np.where(model.lanes < m, r * (stop - start).astype(np.uint64), width)
-        _flush(low, width, out, n, m)
-        model.learn(x)
-    for _ in range(4):
-        out[np.arange(lanes), n] = (low >> np.uint64(24)).astype(np.uint8)
-        low = (low << np.uint64(8)) & _MASK
-        n += 1
-    coded = [out[lane, : n[lane]].tobytes() for lane in range(lanes)]
+        p, s, part = model.step()
+        start, share, came = _share(tables, model.offset + x, x, p, s, part)
+        _narrow(low, width, live[t], start, share, put)
+        model.learn(x, came)
+    words[n] = low
+    coded = [out[room * lane : stop].tobytes() for lane, stop in enumerate((n + 4).tolist())]
     result = [b""] * lanes
     for lane, k in enumerate(order):
         result[k] = coded[lane]
     return result
 
 
-def _cut(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes have a settled top byte, after cutting ranges that are too small to wait."""
-    settled = ((low ^ (low + width)) & np.uint64(0xFFFFFFFFFF)) < np.uint64(1 << 24)
-    small = ~settled & (width < np.uint64(1 << _BITS + 2))
-    width = np.where(small, (np.uint64(0) - low) & np.uint64((1 << _BITS + 2) - 1), width)
-    return settled | small, width
+def _share(tables: Tables, at: np.ndarray, x: np.ndarray, p: np.ndarray, s: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the mixed distribution has ``x``, how much it has of it, and which predictions it is."""
+    start = tables.scaled(at, part)
+    share = tables.scaled(at + 1, part)
+    share -= start
+    came = p == x
+    below = s * (p < x)
+    at_x = s * came
+    start += below[0]
+    start += below[1]
+    share += at_x[0]
+    share += at_x[1]
+    return start, share, came
 
 
-def _flush(low: np.ndarray, width: np.ndarray, out: np.ndarray, n: np.ndarray, live: int) -> None:
-    at = np.arange(live)
-    while len(at):
-        ready, cut = _cut(low[at], width[at])
-        width[at] = cut
-        at = at[ready]
-        out[at, n[at]] = (low[at] >> np.uint64(24)).astype(np.uint8)
-        n[at] += 1
-        low[at] = (low[at] << np.uint64(8)) & _MASK
-        width[at] = (width[at] << np.uint64(8)) & _MASK
+def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """How many of the top bytes are settled."""
+    differ = low ^ (low + width)
+    n = (differ < np.uint64(1 << 24)).view(np.uint8) + (differ < np.uint64(1 << 16)).view(np.uint8)
+    n += (differ < np.uint64(1 << 8)).view(np.uint8)
+    return n.astype(np.uint64)
+
+
+def _narrow(low: np.ndarray, width: np.ndarray, live: int, start: np.ndarray, share: np.ndarray, pass_on: Callable[[slice | np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+    """The ranges of the first ``live`` lanes, cut to the stretch of an id, without the top bytes that are settled then.
+
+    pass_on: called with lanes, their ``low`` and how many of its bytes are settled, before those go.
+    """
+    at: slice | np.ndarray = slice(0, live)
+    l, w = low[at], width[at]
+    w >>= np.uint64(_BITS)
+    l += w * start[at].astype(np.uint64)
+    l &= _MASK
+    w *= share[at].astype(np.uint64)
+    n = _settled(l, w)
+    while len(l):
+        pass_on(at, l, n.view(np.int64))
+        n <<= np.uint64(3)
+        l = (l << n) & _MASK
+        w = w << n
+        low[at], width[at] = l, w
+        # Ranges that are too small to wait for their top byte are cut where it would change.
+        small = np.flatnonzero(w < np.uint64(1 << _BITS + 2))
+        at, l = (small if isinstance(at, slice) else at[small]), l[small]
+        w, n = (np.uint64(0) - l) & np.uint64((1 << _BITS + 2) - 1), np.ones(len(l), dtype=np.uint64)
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], tables: Tables) -> list[np.ndarray]:
@@ -222,64 +268,68 @@ def decode_blocks(coded: list[bytes], sizes: list[int], tables: Tables) -> list[
     size = np.array(sizes)
     lanes, longest = len(coded), int(size.max(initial=0))
     order = np.argsort(-size, kind="stable")
-    width_ = max(map(len, coded)) + 8
-    data = np.zeros((lanes, width_), dtype=np.uint64)
+    room = max(map(len, coded)) + 16
+    data = np.zeros(lanes * room + 4, dtype=np.uint8)
     for lane, k in enumerate(order):
-        data[lane, : len(coded[k])] = np.frombuffer(coded[k], dtype=np.uint8)
+        data[lane * room : lane * room + len(coded[k])] = np.frombuffer(coded[k], dtype=np.uint8)
+    #: Four bytes from each place on.
+    words = np.ndarray(lanes * room, dtype=">u4", buffer=data, strides=(1,))
     live = np.searchsorted(-size[order], -np.arange(longest), side="left")
     model = _Model(lanes, tables)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
-    code = (data[:, 0] << np.uint64(24)) | (data[:, 1] << np.uint64(16)) | (data[:, 2] << np.uint64(8)) | data[:, 3]
-    n = np.full(lanes, 4, dtype=np.int64)
+    n, last = np.arange(lanes) * room, np.arange(1, lanes + 1) * room - 8
+    code = words[n].astype(np.uint64)
+    n += 4
     ids = np.zeros((longest, lanes), dtype=np.int64)
+    holders = tables.holders()
+
+    def shift(at: slice | np.ndarray, low: np.ndarray, settled: np.ndarray) -> None:
+        bits = settled.astype(np.uint64) << np.uint64(3)
+        next_ = words[n[at]].astype(np.uint64) >> (np.uint64(32) - bits)
+        code[at] = ((code[at] << bits) & _MASK) | next_
+        n[at] = np.minimum(n[at] + settled, last[at])
+
     for t in range(longest):
-        p1, p2, s1, s2, part = model.step()
+        p, s, part = model.step()
         m = live[t]
-        r = width >> np.uint64(_BITS)
-        value = np.minimum(((code - low) & _MASK) // np.maximum(r, np.uint64(1)), np.uint64(_TOTAL - 1)).astype(np.int64)
-        x = _find(tables, model.offset, value, part, p1, p2, s1, s2)
-        x = np.where(model.lanes < m, x, 0)
-        start = tables.scaled(model.offset, x, part) + np.where((p1 < x) & (p1 >= 0), s1, 0) + np.where((p2 < x) & (p2 >= 0), s2, 0)
-        stop = tables.scaled(model.offset, x + 1, part) + np.where((p1 <= x) & (p1 >= 0), s1, 0) + np.where((p2 <= x) & (p2 >= 0), s2, 0)
-        low = np.where(model.lanes < m, (low + r * start.astype(np.uint64)) & _MASK, low)
-        width = np.where(model.lanes < m, r * (stop - start).astype(np.uint64), width)
-        at = np.arange(m)
-        while len(at):
-            ready, cut = _cut(low[at], width[at])
-            width[at] = cut
-            at = at[ready]
-            code[at] = ((code[at] << np.uint64(8)) & _MASK) | data[at, np.minimum(n[at], width_ - 1)]
-            n[at] += 1
-            low[at] = (low[at] << np.uint64(8)) & _MASK
-            width[at] = (width[at] << np.uint64(8)) & _MASK
+        value = np.minimum(((code - low) & _MASK) // np.maximum(width >> np.uint64(_BITS), np.uint64(1)), np.uint64(_TOTAL - 1)).astype(np.int64)
+        x = _find(tables, holders, model.offset, value, p, s, part)
+        x[m:] = 0
+        start, share, came = _share(tables, model.offset + x, x, p, s, part)
+        _narrow(low, width, m, start, share, shift)
         ids[t] = x
-        model.learn(x)
+        model.learn(x, came)
     result: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * lanes
     for lane, k in enumerate(order):
         result[k] = ids[: size[k], lane].copy()
     return result
 
 
-def _find(tables: Tables, offset: np.ndarray, value: np.ndarray, part: np.ndarray, p1: np.ndarray, p2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+def _find(tables: Tables, holders: np.ndarray, offset: np.ndarray, value: np.ndarray, p: np.ndarray, s: np.ndarray, part: np.ndarray) -> np.ndarray:
     """The id whose stretch of the mixed distribution holds ``value``.
 
-    Below, at or above each spike is told by where the spike's id starts and stops; what
-    the spikes add before the value is taken off, and order 0 alone is searched.
+    A spike stands at the start of its id's stretch. What lies of it before the value is taken off, first
+    of the smaller id's, so that a value inside it becomes the start of the stretch; order 0 alone says whose that is.
     """
-    a, b = np.minimum(p1, p2), np.maximum(p1, p2)
-    sa, sb = np.where(p1 <= p2, s1, s2), np.where(p1 <= p2, s2, s1)
-    sa, sb = np.where(a < 0, 0, sa), np.where(b < 0, 0, sb)
-    ea, eb = np.maximum(a, 0), np.maximum(b, 0)
-    start_a, stop_a = tables.scaled(offset, ea, part), tables.scaled(offset, ea + 1, part) + sa
-    start_b, stop_b = tables.scaled(offset, eb, part) + sa, tables.scaled(offset, eb + 1, part) + sa + sb
-    same = a == b  # both orders predict one id; then order 1 has no spike
-    is_a = (a >= 0) & (value >= start_a) & (value < np.where(same, stop_b, stop_a))
-    is_b = (b >= 0) & ~same & (value >= start_b) & (value < stop_b)
-    rest = value - np.where((a >= 0) & (value >= stop_a), sa, 0) - np.where((b >= 0) & (value >= stop_b), sb, 0)
-    # The last id that starts at or before the rest: floor(c * part / total) <= rest.
-    least = ((rest + 1) * tables.total - 1) // part
-    x = np.searchsorted(tables.flat, np.minimum(least, tables.total - 1) + offset // tables.step * tables.total, side="right") - 1 - offset
-    return np.where(is_a, a, np.where(is_b, b, x))
+    a, b = np.minimum(p[0], p[1]), np.maximum(p[0], p[1])
+    both = s[0] + s[1]
+    sa = np.where(p[0] <= p[1], s[0], s[1])
+    for spike, size in ((a, sa), (b, both - sa)):
+        over = value - tables.scaled(offset + np.maximum(spike, 0), part)
+        value = value - np.minimum(np.maximum(over, 0), size)
+    # The last place c of the table with floor(c * part / total) <= value.
+    least = ((value + 1) * tables.total - 1) // part
+    return holders.take(np.minimum(least, tables.total - 1) + offset // tables.step * tables.total).astype(np.int64)
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, rising, and each id's place among them; by hash, as only the few distinct ones need sorting."""
+    coded = pa.array(ids).dictionary_encode()
+    met = coded.dictionary.to_numpy()
+    order = np.argsort(met)
+    rank = np.empty(len(met), dtype=np.int64)
+    rank[order] = np.arange(len(met))
+    return met[order], rank[coded.indices.to_numpy()]
 
 
 def write_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], *, start: int = 0, block: int = BLOCK) -> bytes:
@@ -287,7 +337,7 @@ def write_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], *
 
     start: how many ids the files before it hold in the same part of the output.
     """
-    used, ranks = np.unique(ids, return_inverse=True)
+    used, ranks = distinct(ids)
     counts = fit_tables(ranks, len(used))
     table = zlib.compress(np.concatenate([np.diff(used, prepend=0), *counts]).astype("<u4").tobytes(), 6)
     names = [0 if d is None else d for d in doc_ids]

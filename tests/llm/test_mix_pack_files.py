@@ -361,3 +361,20 @@ def test_tables_are_fitted_to_every_stretch():
         ids = np.concatenate([rng.integers(20 * (i % 2), 20 * (i % 2) + 20, size=token_file.STRETCH) for i in range(n)])
         counts = token_file.fit_tables(ids, 40)
         assert counts[0].sum() == counts[1:].sum() == n * token_file.STRETCH and len(counts) > 2
+
+
+def test_token_file_looks_ids_up_as_a_search_would():
+    """The decoder's table of holders against a search of each order-0 table; blocks are coded as they were before it had one."""
+    rng = np.random.default_rng(7)
+    tables = token_file.Tables(rng.integers(0, 50, size=(3, 40)))
+    holders, at = tables.holders(), np.arange(tables.total)
+    for k in range(3):
+        starts = tables.flat[k * tables.step : (k + 1) * tables.step]
+        assert (holders[k * tables.total : (k + 1) * tables.total] == np.searchsorted(starts, at, side="right") - 1).all()
+    ids = np.minimum(rng.zipf(1.3, size=9_001), 60_000).astype(np.int64)
+    used, ranks = token_file.distinct(ids)
+    assert (used == np.unique(ids)).all() and (used[ranks] == ids).all()
+    coded = b"".join(token_file.encode_blocks([ranks[at : at + 2048] for at in range(0, len(ids), 2048)], token_file.Tables(token_file.fit_tables(ranks, len(used)))))
+    assert (len(coded), zlib.crc32(coded)) == (7264, 2276855560)
+    data = token_file.write_file(ids, [1], [len(ids)])
+    assert (token_file.read_file(data)[3] == ids).all()
