@@ -7,11 +7,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserine.llm import mixing, packing, queries, token_file
+from tesserine.llm import mixing, packing, queries, token_file, tokens
 from tesserine.llm.tokens import UNUSUAL, Encoder
 
 EDGE = [(1, None, None, None), (2, "", "en", "a"), (3, "One  two\x0bthree four", "en", "a"), (4, "x " * 30000, "en", "b"), (5, "dup", None, "b"), (5, "dup", None, "b"), (None, "no id here", "fr", "c"), (7, "日本語 <|endoftext|> É 👍", "en", "c")]
@@ -378,3 +379,39 @@ def test_token_file_looks_ids_up_as_a_search_would():
     assert (len(coded), zlib.crc32(coded)) == (7264, 2276855560)
     data = token_file.write_file(ids, [1], [len(ids)])
     assert (token_file.read_file(data)[3] == ids).all()
+
+
+def test_pieces_have_the_ids_of_whole_texts():
+    """Texts of everything that a cut could go wrong at: white space of all kinds and lengths, marks, contractions, other scripts."""
+    rng = random.Random(8)
+    parts = ["a", "The", "é", "à", "x1", "5", " ", "  ", "\n", "\t", "\xa0", "\x85", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\x1c", "\x00"]
+    parts += ["'s", "'ll", "don't", "'", ",", "...", "(", "<|endoftext|>", "日本", "\u0301", "\U0001f642", "w" * 70, " word", " other"]
+    made = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(4000)] + [" ", "  ", " a", "a ", "\xa0 a", "é  b", "", None]
+    known = tokens.Encoder("byte")
+    for column in (pa.array(["left out", *made]).slice(1), pa.array(made, pa.large_string()), pa.array(["", None]), pa.array([], pa.string())):
+        many, numbers, ids = known.encode_pieces(column)
+        assert len(many) == len(column) and len(numbers) == many.sum()
+        at = 0
+        for text, n in zip(column.to_pylist(), many.tolist()):
+            got = b"".join(ids[k] for k in numbers[at : at + n].tolist())
+            assert got == np.array(known.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+            at += n
+
+
+def test_token_file_codes_words_by_symbols():
+    """Frequent words are one symbol and rare ones are put together from pairs; the ids read back are all of them, in order."""
+    rng = np.random.default_rng(11)
+    lens = rng.integers(1, 6, 3000)
+    flat = rng.integers(0, 60, lens.sum()) * 7
+    words = np.concatenate([rng.zipf(1.2, 40_000) % 3000, np.arange(3000)])
+    ids = np.concatenate(np.split(flat, np.cumsum(lens)[:-1]))[token_file._expand(np.arange(lens.sum()), lens, words)]
+    units = token_file._Units(words, flat, lens)
+    assert len(units.symbols) < len(ids) / 2
+    for block in (7, 1024):
+        some = slice(0, len(words) if block > 7 else 300)
+        n = int(lens[words[some]].sum())
+        data = token_file.write_words(words[some], flat, lens, [4, None], [n - 1, 1], block=block)
+        start, names, lengths, back = token_file.read_file(data)
+        assert (start, names, lengths) == (0, [4, None], [n - 1, 1]) and (back == ids[:n]).all()
+    plain = token_file.write_file(ids, [1], [len(ids)])
+    assert len(token_file.write_words(words, flat, lens, [1], [len(ids)])) < len(plain)
