@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, small_batches
 from .tokens import encoder
 
-END_ID, BLOCK, FILE_IDS, PART_BYTES = 2, 1024, 1 << 23, 16 << 20
+END_ID, BLOCK, FILE_IDS, PART_BYTES = 2, 512, 1 << 23, 16 << 20
 #: Parts whose totals are summed in one window, and tasks that read files at most: beyond that many files, each reads several.
 TOGETHER, TASKS = 4096, 1 << 17
 MAGIC, VERSION, SHAPE = b"TSTK", 3, "<4sHHQQIIIII"
@@ -119,13 +119,15 @@ class _Model:
         self.hit += came
         self.tried *= fade
         self.tried += self.known
-        self.hits[self.c], self.trials[self.c] = self.hit, self.tried
+        # By indices in one row: numpy stores by those several times as fast.
+        c = self.c.reshape(-1)
+        self.hits[c], self.trials[c] = self.hit.reshape(-1), self.tried.reshape(-1)
         # A prediction that came true grows surer; a sure one that failed once is kept, less sure.
         value = np.where(self.held > 1, self.p, ids)
         value *= _CLASSES
         self.held += came.astype(np.int64) * _CLASSES
         value += _SURER.take(self.held)
-        self.slot[self.at] = value.astype(np.int32)
+        self.slot[self.at.reshape(-1)] = value.astype(np.int32).reshape(-1)
         self.before, self.last = self.last, ids
         if self.tables.many > 1:
             self.saved *= np.float32(FORGET)
@@ -219,6 +221,7 @@ def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
     for lane, k in enumerate(order):
         rows[lane, : size[k]] = blocks[k]
     ids = np.ascontiguousarray(rows.T)
+    del rows
     live = np.searchsorted(-size[order], -np.arange(longest), side="left")
     model = _Model(lanes, longest, tables)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
@@ -230,7 +233,7 @@ def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
     n = np.arange(lanes) * room
 
     def put(at: slice | np.ndarray, low: np.ndarray, settled: np.ndarray) -> None:
-        words[n[at]] = low
+        words[n[at]] = low.astype(">u4")
         n[at] += settled
 
     for t in range(longest):
@@ -589,10 +592,12 @@ def write_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
         def done() -> pa.RecordBatch:
             nonlocal held, spelled, names, lengths, start, file, size, words
             # The words of all batches, equal ones with one number.
-            coded = pa.array(spelled, pa.large_binary()).dictionary_encode()
-            flat = np.frombuffer(coded.dictionary.buffers()[2], dtype="<u4").astype(np.int64)
-            lens = np.diff(np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int64)[: len(coded.dictionary) + 1]) // 4
-            numbers = coded.indices.to_numpy()[np.concatenate(held)]
+            numbers = np.concatenate(held)
+            if len(held) > 1:
+                coded = pa.array(spelled, pa.large_binary()).dictionary_encode()
+                spelled, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy()[numbers]
+            flat = np.frombuffer(b"".join(spelled), dtype="<u4").astype(np.int64)
+            lens = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)) // 4
             name = f"part-{part:07d}-{file:07d}.tok"
             _store(folder, name, write_words(numbers, flat, lens, names, np.concatenate(lengths).tolist(), start=start))
             batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([size], pa.int64()), pa.array([name])], names=["part", "file", "n_ids", "name"])
@@ -614,10 +619,14 @@ def write_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
                 # As many documents as fill the file, the one that reaches its size included.
                 to = min(int(np.searchsorted(total, total[at] + file_ids - size)), len(many))
                 first = int(stop[at - 1]) if at else 0
-                some, number = distinct(numbers[first : stop[to - 1]])
+                if to - at < len(many):
+                    some, number = distinct(numbers[first : stop[to - 1]])
+                    mine = [ids[k] for k in some.tolist()]
+                else:
+                    number, mine = numbers, ids
                 held.append(number + words)
-                spelled += [ids[k] for k in some.tolist()]
-                words += len(some)
+                spelled += mine
+                words += len(mine)
                 names += batch.column("doc_id").slice(at, to - at).to_pylist()
                 lengths.append(np.diff(total[at : to + 1]))
                 size += int(total[to] - total[at])

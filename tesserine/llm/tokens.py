@@ -30,6 +30,7 @@ BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f]")
 #: Bytes of words and ids that a worker holds before it drops those not met since it last did so (twice as many at most), and the
 #: longest word it holds. They bound its memory, not what is encoded.
+#: Of pieces it holds as much and those of one column more, and then drops those that the column has once.
 HELD_BYTES, LONGEST = 64_000_000, 64
 #: Bytes of text to encode at a time: their words are in memory one by one.
 TEXT_BYTES = 2_000_000
@@ -144,18 +145,22 @@ class Encoder:
         cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), text]).dictionary_encode()
         edges = np.frombuffer(cut.dictionary.buffers()[1], dtype=np.int64)[: len(cut.dictionary) + 1].tolist()
         words = cut.dictionary.buffers()[2].to_pybytes()
-        return many, cut.indices.to_numpy(), self._ids_of_pieces([words[a:b] for a, b in zip(edges, edges[1:])])
+        numbers = cut.indices.to_numpy()
+        ids = self._ids_of_pieces([words[a:b] for a, b in zip(edges, edges[1:])])
+        if self.size > HELD_BYTES:
+            # Those that occur several times in a column are the likeliest to come again.
+            again = np.bincount(numbers, minlength=len(ids)) > 1
+            kept = {words[edges[k] : edges[k + 1]]: ids[k] for k in np.flatnonzero(again).tolist() if edges[k + 1] - edges[k] <= LONGEST}
+            self.forget()
+            self._hold(kept)
+            if self.size > HELD_BYTES // 2:
+                self.forget()
+        return many, numbers, ids
 
     def _ids_of_pieces(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of the pieces, which differ."""
-        if self.size > HELD_BYTES:
-            self.older, self.known, self.size = self.known, {}, 0
         found = list(map(self.known.get, words))
         new = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        if self.older:
-            again = {w: self.older[w] for w in new if w in self.older}
-            self._hold(again)
-            new = [w for w in new if w not in again]
         if new:
             # Pieces that start with a space and end visibly are cut again where they were put together.
             size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
@@ -164,7 +169,9 @@ class Encoder:
             many = list(compress(new, fit.tolist()))
             for at in range(0, len(many), _PART):
                 part = many[at : at + _PART]
-                self._hold(dict(zip(part, self._ids_together(part), strict=True)))
+                ids = self._ids_together(part)
+                self.known.update(zip(part, ids, strict=True))
+                self.size += sum(map(len, part)) + sum(map(len, ids)) + _ENTRY * len(part)
             alone = list(compress(new, (~fit).tolist()))
             for at in range(0, len(alone), _PART):
                 part = alone[at : at + _PART]
@@ -172,8 +179,6 @@ class Encoder:
             found = list(map(self.known.__getitem__, words))
             for w in [w for w in new if len(w) > LONGEST]:
                 self.size -= len(w) + len(self.known.pop(w)) + _ENTRY
-        elif self.older:
-            found = list(map(self.known.__getitem__, words))
         return found
 
     def _ids_together(self, words: list[bytes]) -> list[bytes]:
